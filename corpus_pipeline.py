@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import mixing, resharding
+from sieveline.llm import mixing, resharding, simhash
 from sieveline.llm.common import scratch_table, table
 
 
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.dedup_filter(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The largest mixture of sources, weighted by tokens^0.7, that repeats nothing."""
     return mixing.mix_filter(docs)
@@ -21,7 +26,7 @@ def reshard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return resharding.reshard(docs)
 
 
-STAGES = [("mix", mix), ("reshard", reshard)]
+STAGES = [("dedup", dedup), ("mix", mix), ("reshard", reshard)]
 
 #: SQL can't express the first stages; tests/llm holds them against brute force.
 ORACLE_SQL = None

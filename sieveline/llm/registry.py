@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, resharding
+from . import mixing, resharding, simhash
 from .common import table
 
 
@@ -18,9 +18,15 @@ def op7_resharding(spark, sf_dir):
     return resharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark, sf_dir):
+    """Pairs (doc_id, kept_doc_id) of documents that another of their near-duplicate group stands for."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op7_resharding": op7_resharding,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -7,15 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import mixing, resharding, simhash
+from sieveline.llm import decontam, mixing, quality, resharding, simhash
 from sieveline.llm.common import scratch_table, table
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, keeps."""
+    return quality.quality_filter(docs, docs, table(spark, sf_dir, "labels"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return simhash.dedup_filter(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The largest mixture of sources, weighted by tokens^0.7, that repeats nothing."""
     return mixing.mix_filter(docs)
@@ -26,7 +36,7 @@ def reshard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return resharding.reshard(docs)
 
 
-STAGES = [("dedup", dedup), ("mix", mix), ("reshard", reshard)]
+STAGES = [("classify", classify), ("dedup", dedup), ("decontaminate", decontaminate), ("mix", mix), ("reshard", reshard)]
 
 #: SQL can't express the first stages; tests/llm holds them against brute force.
 ORACLE_SQL = None

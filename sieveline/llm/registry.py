@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, resharding, simhash
+from . import decontam, mixing, quality, resharding, simhash
 from .common import table
 
 
+def op1_quality_classifier(spark, sf_dir):
+    """The documents that the classifier keeps: (doc_id, quality_score)."""
+    docs = table(spark, sf_dir, "documents")
+    kept = quality.quality_filter(docs.select("doc_id", "text"), docs, table(spark, sf_dir, "labels"), score_col="quality_score")
+    return kept.select("doc_id", "quality_score")
+
+
+def op2_decontamination(spark, sf_dir):
+    """(doc_id, item_id, distance, item_chars) of the documents that hold a benchmark item."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark, sf_dir):
     """Nested mixtures of documents by source, weights tokens^0.7: (doc_id, source, tokens, tier)."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -24,6 +36,8 @@ def op8_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op7_resharding": op7_resharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, mixing, quality, resharding, simhash
+from . import decontam, mixing, pii, quality, resharding, simhash, toxicity
 from .common import table
 
 
@@ -35,12 +35,25 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_pseudonyms(spark, sf_dir):
+    """Every document with its personal data replaced: (doc_id, text, n_pii, kinds)."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_toxicity(spark, sf_dir):
+    """The toxic documents: (doc_id, score, vote, evidence)."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, toxicity.train(docs, labels)).where(f"score >= {toxicity.THRESHOLD}")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op7_resharding": op7_resharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
+    "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, mixing, pii, quality, resharding, simhash, toxicity
+from . import decontam, mixing, pii, quality, resharding, simhash, styletree, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_site_style_tree(spark, sf_dir):
+    """Every page's text without the template of its host: (page_id, url, text, nodes, removed)."""
+    return styletree.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_resharding(spark, sf_dir):
     """documents with the shard (by source) that holds them and the one of 16 that they go to."""
     return resharding.reshard(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op6_site_style_tree": op6_site_style_tree,
     "op7_resharding": op7_resharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, mixing, pii, quality, resharding, simhash, styletree, toxicity
+from . import decontam, mixing, pii, quality, resharding, simhash, styletree, toxicity, trainorder
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_training_order(spark, sf_dir):
+    """All documents as 1,024-token sequences in training order: (slot, shard, byte_offset, seq, doc_ids, tokens)."""
+    return trainorder.training_order(table(spark, sf_dir, "documents"))
+
+
 def op6_site_style_tree(spark, sf_dir):
     """Every page's text without the template of its host: (page_id, url, text, nodes, removed)."""
     return styletree.extract_pages(table(spark, sf_dir, "pages"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op5_training_order": op5_training_order,
     "op6_site_style_tree": op6_site_style_tree,
     "op7_resharding": op7_resharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, mixing, pii, quality, resharding, simhash, styletree, toxicity, trainorder
+from . import avi, decontam, mixing, pii, quality, resharding, simhash, styletree, toxicity, trainorder
 from .common import table
 
 
@@ -25,6 +25,13 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_avi_clips(spark, sf_dir):
+    """Shots of a media column: (vec_id, clip, start_frame, n_frames, start_s, end_s, width, height, error). The tables
+    hold no media; every row of embeddings is rendered as a film first."""
+    media = table(spark, sf_dir, "embeddings").select("vec_id", avi.rendered("vec_id", "embedding").alias("media"))
+    return avi.clips(media, "vec_id", "media")
+
+
 def op5_training_order(spark, sf_dir):
     """All documents as 1,024-token sequences in training order: (slot, shard, byte_offset, seq, doc_ids, tokens)."""
     return trainorder.training_order(table(spark, sf_dir, "documents"))
@@ -60,6 +67,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_avi_clips": op4_avi_clips,
     "op5_training_order": op5_training_order,
     "op6_site_style_tree": op6_site_style_tree,
     "op7_resharding": op7_resharding,
@@ -71,6 +79,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_mixing": mixing.ORACLE,
+    "op4_avi_clips": avi.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

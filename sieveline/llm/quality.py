@@ -18,7 +18,7 @@ from .common import cut, key_hash
 #: Production parameters. MAX_PER_CLASS bounds the labelled rows that the model is fitted on, taken by hash of
 #: their id; VOCABULARY and DIMS bound its size; NEIGHBOURS vote; a document is kept from THRESHOLD on.
 MAX_PER_CLASS = 2000
-VOCABULARY, DIMS = 3000, 48
+VOCABULARY, DIMS = 2000, 48
 NEIGHBOURS, THRESHOLD = 15, 0.5
 BLOCK = 256
 
@@ -52,24 +52,51 @@ def terms(text: str) -> Counter:
     return found
 
 
+class Rows:
+    """Counts of a text's terms by their row in the vocabulary; tokens met before are looked up, not taken apart."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.known = vocabulary, {}
+
+    def __call__(self, text: str) -> dict[int, int]:
+        known, tokens, out = self.known, text.split(), {}
+        for t, n in Counter(tokens).items():
+            pair = known.get(t)
+            if pair is None:
+                if len(known) > 500_000:
+                    known.clear()
+                v = self.vocabulary
+                pair = known[t] = tuple(r for r in (v.get("s:" + shape(t)), v.get("w:" + t.lower().strip(".,;:!?"))) if r is not None)
+            for r in pair:
+                out[r] = out.get(r, 0) + n
+        again = self.vocabulary.get("r:")
+        if again is not None and (n := sum(map(eq, tokens, islice(tokens, 1, None)))):
+            out[again] = n
+        return out
+
+
+def log_tf(counts) -> np.ndarray:
+    return 1 + np.log(np.fromiter(counts, np.float32, len(counts)))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 class Model:
-    """vocabulary: term -> row of `projection` (idf applied); vectors, labels: the labelled examples."""
+    """vocabulary: term -> row of `projection` (idf applied); vectors, labels, weights: the labelled examples."""
 
     def __init__(self, vocabulary: dict[str, int], projection: np.ndarray, vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray):
         self.vocabulary, self.projection, self.vectors, self.labels, self.weights = vocabulary, projection, vectors, labels, weights
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.projection.shape[1]), np.float32)
+        rows = self.rows = getattr(self, "rows", None) or Rows(self.vocabulary)
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            known = self.vocabulary
-            found = [(known[w], n) for w, n in terms(t).items() if w in known]
-            if found:
-                rows = np.array([r for r, _ in found])
-                out[i] = (1 + np.log(np.array([n for _, n in found], np.float32))) @ self.projection[rows]
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+            if t and (found := rows(t)):
+                out[i] = log_tf(found.values()) @ self.projection[list(found)]
+        return unit(out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return self.vote(self.embed(texts))
@@ -94,46 +121,31 @@ class Model:
         return out
 
 
-def fit(counts: list[Counter], labels: list[int], vocabulary: int = VOCABULARY, dims: int = DIMS, class_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Latent-semantic space of the examples: (1 + log tf) * idf over the most frequent terms, then the leading
-    eigenvectors of the term-term matrix. Without examples the model scores everything 0."""
-    df = Counter(t for c in counts for t in c)
-    chosen = sorted((t for t, n in df.items() if n >= 2), key=lambda t: (-df[t], t))[:vocabulary]
-    index = {t: i for i, t in enumerate(chosen)}
-    n = len(counts)
-    if not n or not index:
+def fit(vocabulary: list[tuple[str, int]], rows: list[tuple[list[int], list[int]]], labels: list[int], dims: int = DIMS,
+        class_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Latent-semantic space of the examples: (1 + log tf) * idf over the vocabulary [(term, examples with it)], unit
+    rows, then the leading eigenvectors of the term-term matrix. rows: (vocabulary rows, counts) of each example.
+    Without examples the model scores everything 0."""
+    n, v = len(rows), len(vocabulary)
+    if not n or not v:
         return Model({}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
-    idf = np.array([math.log(1 + n / df[t]) for t in chosen], np.float32)
-    matrix = np.zeros((n, len(chosen)), np.float32)
-    for i, c in enumerate(counts):
-        for t, x in c.items():
-            if t in index:
-                matrix[i, index[t]] = 1 + math.log(x)
+    idf = np.log(1 + n / np.array([d for _, d in vocabulary], np.float32)).astype(np.float32)
+    matrix = np.zeros((n, v), np.float32)
+    for i, (at, counts) in enumerate(rows):
+        matrix[i, at] = log_tf(counts)
     matrix *= idf
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix /= np.where(norm > 0, norm, 1)
-    d = min(dims, *matrix.shape)
-    gram = matrix @ matrix.T if n < len(chosen) else matrix.T @ matrix
-    values, vectors = np.linalg.eigh(gram.astype(np.float64))
-    top = vectors[:, ::-1][:, :d]
-    basis = top if n >= len(chosen) else (matrix.T @ top) / np.sqrt(np.maximum(values[::-1][:d], 1e-9))
-    projection = (idf[:, None] * basis).astype(np.float32)
+    matrix = unit(matrix)
+    d = min(dims, v)
+    _, vectors = np.linalg.eigh(matrix.T @ matrix)
+    basis = vectors[:, ::-1][:, :d].astype(np.float32)
     y = np.asarray(labels, np.float64)
-    model = Model(index, projection, np.zeros((0, d), np.float32), y, np.where(y > 0, class_weight[1], class_weight[0]))
-    latent = np.zeros((n, d), np.float32)
-    for i, c in enumerate(counts):
-        found = [(index[t], x) for t, x in c.items() if t in index]
-        if found:
-            latent[i] = (1 + np.log(np.array([x for _, x in found], np.float32))) @ projection[[r for r, _ in found]]
-    norm = np.linalg.norm(latent, axis=1, keepdims=True)
-    model.vectors = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0)
-    return model
+    # The rows' lengths cancel: embedded texts are scaled to unit length too.
+    return Model({t: i for i, (t, _) in enumerate(vocabulary)}, idf[:, None] * basis, unit(matrix @ basis), y, np.where(y > 0, class_weight[1], class_weight[0]))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
-def term_counts(texts: pd.Series) -> pd.Series:
-    """Counts by term, bounded: the VOCABULARY most frequent of the text."""
-    return texts.map(lambda t: dict(terms(t).most_common(VOCABULARY)) if t else {})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def term_set(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: list(terms(t)) if t else [])
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int) -> DataFrame:
@@ -155,12 +167,27 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
           per_class: int = MAX_PER_CLASS) -> Model:
     """Fit on a bounded labelled sample. A class that the bound thins is weighted up to its number of labels, halved
     in log scale, so that the vote leans to the larger class but a clear neighbourhood of the smaller one wins."""
-    rows = sample_labelled(docs, labels, label_col, id_col, text_col, per_class).select("id", "label", term_counts("text").alias("terms")).collect()
-    rows.sort(key=lambda r: r["id"])
-    have = Counter(r["label"] for r in rows)
+    sample = cut(sample_labelled(docs, labels, label_col, id_col, text_col, per_class))
+    df = sample.select(F.explode(term_set("text")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    vocabulary = [(r["t"], r["n"]) for r in df.orderBy(F.desc("n"), "t").limit(VOCABULARY).collect()]
+    got = sample.select("id", "label", _rows_udf(docs.sparkSession, vocabulary)("text").alias("r")).collect()
+    got.sort(key=lambda r: r["id"])
+    have = Counter(r["label"] for r in got)
     real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = tuple(math.sqrt(real.get(c, 0) / have[c]) if have[c] else 1.0 for c in (0, 1))
-    return fit([Counter(r["terms"]) for r in rows], [r["label"] for r in rows], class_weight=weight)
+    return fit(vocabulary, [(r["r"]["at"], r["r"]["n"]) for r in got], [r["label"] for r in got], class_weight=weight)
+
+
+def _rows_udf(spark, vocabulary: list[tuple[str, int]]):
+    shared = spark.sparkContext.broadcast({t: i for i, (t, _) in enumerate(vocabulary)})
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rows = Rows(shared.value)
+        for texts in batches:
+            found = [rows(t) if t else {} for t in texts]
+            yield pd.DataFrame({"at": [list(f) for f in found], "n": [list(f.values()) for f in found]})
+
+    return F.pandas_udf(run, T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
 
 
 def scorer(spark, model: Model):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.components import connected_components
 from .common import BROADCAST_ROWS, cut, fresh
 
 BUDGET, WIDE_BUDGET = 17, 36
@@ -212,25 +213,6 @@ def match_edges(prints: DataFrame) -> DataFrame:
     return entries.repartition("key").mapInArrow(_join_partition, "u binary, v binary")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root), root the least node of its component, by alternating large and small stars. Every round is
-    written to the shared folder; rounds go on until one changes nothing."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = F.min("v").over(Window.partitionBy("u"))
-        linked = large.withColumn("m", lowest)
-        small = linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
-
-
 def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct (id, text) of each group of two rows or more: (id, th = hash of the text, n = rows of it,
     root = group, kept_id, kept_th, distinct order)."""

@@ -94,7 +94,7 @@ def stratified_split(df: DataFrame, seed: int, keys: list[str], train: float = 0
     return ranked.withColumn("split", split).drop("_rn", "_n")
 
 
-def global_rank(df: DataFrame, key: Column, ties: str, bucket_chars: int = 2) -> DataFrame:
+def global_rank(df: DataFrame, key: Column, ties: str, bucket_chars: int = 3) -> DataFrame:
     """Adds _rank (from 1, by the hex key) and _total without a one-partition window: ranks within prefixes of the key
     plus the counts of the prefixes before."""
     a = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, bucket_chars))

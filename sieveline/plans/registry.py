@@ -67,7 +67,7 @@ def classified(spark, sf_dir):
     return c.withColumn("stratum", stratum(C.FIXTURE, chunk_text(F.col("source"), F.col("section_path"), F.col("text")), F.lower("source"), F.col("society"), F.col("category")))
 
 
-# --- Chunks ---------------------------------------------------------------------------------------------------------
+# --- Chunks
 
 
 @query(f"WITH {STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY md5(substr(text, 1, 150)) ORDER BY id) AS rn FROM qc) SELECT stratum, source, count(*) AS n FROM r WHERE rn = 1 GROUP BY ALL")
@@ -147,7 +147,7 @@ def p32_stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5(F.concat_ws(":", "source", "text")).alias("example_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- Examples and the funnel ----------------------------------------------------------------------------------------
+# --- Examples and the funnel
 
 _evasive = q("(?i)(?:" + C.EVASIVE_FIXTURE + ")")
 REJECTED = f"{FX.EXAMPLES}, rj AS (SELECT *, CASE WHEN answer IS NULL OR answer = '' OR question = '' OR question IS NULL THEN 1 WHEN length(answer) < 300 THEN 2 WHEN regexp_matches(answer, {_evasive}) THEN 3 WHEN length(question) < 30 THEN 4 END AS rejected_at FROM ex)"
@@ -289,7 +289,7 @@ def p27_echo_strip(spark, sf_dir):
     return b.select("item_id", X.echo_stripped(F.concat(F.lit("<s>system</s>\n<s>assistant</s>\n\nquestion<s>assistant</s>\n\n"), "text"), "<s>assistant</s>").alias("response"))
 
 
-# --- Joins and dedup ------------------------------------------------------------------------------------------------
+# --- Joins and dedup
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -377,7 +377,7 @@ def j10_topk_diverse(spark, sf_dir):
     return dedup.top_k_diverse(v, probe, 5, 3)
 
 
-# --- Reports --------------------------------------------------------------------------------------------------------
+# --- Reports
 
 
 @query(f"WITH {FX.EXAMPLES} SELECT CASE WHEN answer IS NULL THEN 'invalid' ELSE source END AS source, count(*) AS n FROM ex GROUP BY 1")
@@ -523,7 +523,7 @@ def p28_p29_composite_bands(spark, sf_dir):
     return scores(spark).select("case_id", "tier", F.round("composite", 4).alias("composite"), evalstats.band(F.col("composite")).alias("band"))
 
 
-# --- Samples and splits ---------------------------------------------------------------------------------------------
+# --- Samples and splits
 
 _rank = "CASE stratum " + " ".join(f"WHEN {q(s.name)} THEN {k}" for k, s in enumerate(C.FIXTURE.strata)) + " END"
 
@@ -609,7 +609,7 @@ def w13_rank_agreement(spark, sf_dir):
     return evalstats.rank_agreement(judged(spark).withColumn("judge", F.round("judge", 6))).select("case_id", "tier", "judge_rank", "human_rank", "same")
 
 
-# --- Order, sets ----------------------------------------------------------------------------------------------------
+# --- Order, sets
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -649,7 +649,7 @@ def u3_difference(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_anti")
 
 
-# --- Files ----------------------------------------------------------------------------------------------------------
+# --- Files
 
 
 def _stored(spark, what: str):
@@ -732,7 +732,7 @@ def s12_tier_merge(spark, sf_dir):
     return spark.read.parquet(path).groupBy("arena").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- Incremental runs, providers, models ----------------------------------------------------------------------------
+# --- Incremental runs, providers, models
 
 
 @query("SELECT doc_id AS id, 'P' || n_chars AS response FROM documents")

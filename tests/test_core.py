@@ -20,7 +20,7 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
 
 
-# --- Text -----------------------------------------------------------------------------------------------------------
+# --- Text
 
 
 @pytest.mark.parametrize(("text", "expect"), [("\t\n a b  ", "a b"), ("", ""), (" 　", ""), (None, None)])
@@ -77,7 +77,7 @@ def test_example_classifier(spark, text, expect):
     assert one(spark, text, lambda c: stratum(C.EXAMPLES, c)) == expect
 
 
-# --- Funnel ---------------------------------------------------------------------------------------------------------
+# --- Funnel
 
 
 def example(user, assistant, system="s"):
@@ -114,7 +114,7 @@ def test_published_funnel_arithmetic():
         assert n == left
 
 
-# --- Generation -----------------------------------------------------------------------------------------------------
+# --- Generation
 
 
 def test_parse_pairs(spark):
@@ -153,7 +153,7 @@ def test_provider_retries_and_records_failures(spark):
     assert got == {"2": ("LATER", False, 3), "1": (None, True, 3)}
 
 
-# --- Dedup ----------------------------------------------------------------------------------------------------------
+# --- Dedup
 
 
 def dense_rule(n, near, length):
@@ -230,7 +230,7 @@ def test_prefix_dedup_keeps_the_first(spark):
     assert sorted(r["id"] for r in dedup.prefix_dedup(df, 3, [F.col("id")]).collect()) == [1, 2, 4]
 
 
-# --- Samples --------------------------------------------------------------------------------------------------------
+# --- Samples
 
 
 @pytest.mark.parametrize(("counts", "top", "total"), [((45922, 15824, 131079, 4079, 13984, 14877), 63130, 157816), ((47706, 15923, 142249, 4353, 15064, 15775), 65888, 164709), ((1000,), 0, 0), ((500, 500), 52, 104), ((10, 10, 10), 10, 30)])
@@ -280,7 +280,7 @@ def test_round_robin_against_a_loop(spark):
     assert "c" not in got
 
 
-# --- Reports and statistics -----------------------------------------------------------------------------------------
+# --- Reports and statistics
 
 
 @pytest.mark.parametrize(("values", "median"), [([1, 2, 3, 4], 3), ([5], 5), ([1, 1, 9], 1), ([2, 1], 2), ([], None)])
@@ -313,7 +313,7 @@ def test_classifier_needs_two_classes(spark):
     assert quality.train(df, ["f"], "y") is None
 
 
-# --- Streams and files ----------------------------------------------------------------------------------------------
+# --- Streams and files
 
 
 def test_stream_takes_up_where_it_left(spark, tmp_path):

@@ -411,7 +411,7 @@ def clips(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col), F.explode(clips_of(F.col(media_col))).alias("c")).select(id_col, "c.*")
 
 
-# --- Fixture: media rendered from embeddings ------------------------------------------------------------------------
+# --- Fixture: media rendered from embeddings
 
 
 class _Bits:

@@ -49,7 +49,7 @@ def bag(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=repr)
 
 
-# --- Shared ---------------------------------------------------------------------------------------------------------
+# --- Shared
 
 
 def test_cumulative_thresholds_against_brute_force(spark):
@@ -68,7 +68,7 @@ def test_cumulative_thresholds_against_brute_force(spark):
         assert got[name] == expect, name
 
 
-# --- 1 Quality ------------------------------------------------------------------------------------------------------
+# --- 1 Quality
 
 
 def test_quality_held_out(spark):
@@ -106,7 +106,7 @@ def test_quality_edges(spark, edge, empty):
     assert "quality_score" in quality.quality_filter(edge, edge, labels, score_col="quality_score").columns
 
 
-# --- 2 Decontamination ----------------------------------------------------------------------------------------------
+# --- 2 Decontamination
 
 
 def edits(p, t):
@@ -150,7 +150,7 @@ def test_contamination_edges(spark, edge, empty):
     assert decontam.decontaminate(edge, bench.limit(0)).count() == edge.count()
 
 
-# --- 3 Mixing -------------------------------------------------------------------------------------------------------
+# --- 3 Mixing
 
 
 def test_mixing_edges(spark, edge, empty):
@@ -176,7 +176,7 @@ def test_mixing_budgets_are_nested_and_met(spark, sf_dir):
         assert (used.reindex(w.index, fill_value=0) + longest >= share * whole * w - 1).all()
 
 
-# --- 4 AVI ----------------------------------------------------------------------------------------------------------
+# --- 4 AVI
 
 
 @pytest.mark.parametrize("restart", [0, 1, 5])
@@ -228,7 +228,7 @@ def test_slow_drift_is_no_cut():
     assert avi.cuts([]) == []
 
 
-# --- 5 Training order -----------------------------------------------------------------------------------------------
+# --- 5 Training order
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
@@ -265,7 +265,7 @@ def test_training_order_empty(spark, empty):
     assert trainorder.training_order(empty).count() == 0
 
 
-# --- 6 Style tree ---------------------------------------------------------------------------------------------------
+# --- 6 Style tree
 
 
 def page(k, host="h.example.com"):
@@ -307,7 +307,7 @@ def test_styletree_edges(spark):
     assert hosts[4] == "host" and hosts[5] == "c.d" and hosts[1] == ""
 
 
-# --- 7 Resharding ---------------------------------------------------------------------------------------------------
+# --- 7 Resharding
 
 
 def brute_cost(sizes, caps):
@@ -382,7 +382,7 @@ def test_reshard_edges(spark, edge, empty, tmp_path):
     assert resharding.reshard(edge.where("text is null or text = ''"), n_new=2).count() == 3
 
 
-# --- 8 SimHash ------------------------------------------------------------------------------------------------------
+# --- 8 SimHash
 
 
 def groups_by_brute_force(texts):
@@ -464,7 +464,7 @@ def test_near_copies_match_and_others_do_not():
     assert hits / total >= 0.9
 
 
-# --- 9 Pseudonyms ---------------------------------------------------------------------------------------------------
+# --- 9 Pseudonyms
 
 
 @pytest.mark.parametrize("n", [1, 2, 10, 97, 1000, 73049])
@@ -511,7 +511,7 @@ def test_pii_edges(spark, edge, empty):
     assert len(set(texts)) == 1 and texts[0] != "9.8.7.6"
 
 
-# --- 10 Toxicity ----------------------------------------------------------------------------------------------------
+# --- 10 Toxicity
 
 
 @settings(deadline=None, max_examples=60)
@@ -564,7 +564,7 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.toxicity(empty, toxicity.train(empty, labels)).count() == 0
 
 
-# --- Pipeline and queries -------------------------------------------------------------------------------------------
+# --- Pipeline and queries
 
 
 def test_pipeline_against_its_stages_by_brute_force(spark, sf_dir):

@@ -81,13 +81,14 @@ BOILERPLATE = _words("advisory board|all rights reserved|available at: http|copy
 
 #: Refusals and evasions, matched anywhere without word bounds, ignoring case.
 EVASIVE = "|".join((
+    r"I (?:cannot|am sorry|don't have the ability)|I'm (?:sorry|not able to)|as (?:an AI|a language model)",
+    r"busque atenci[oó]n m[eé]dica",
     r"como (?:modelo de (?:lenguaje|IA)|(?:un )?asistente (?:de IA|virtual)|inteligencia artificial)",
     r"consult(?:e a su|ar a(?: un| su)?) m[eé]dico",
+    r"(?:acuda a (?:un |su )?(?:m[eé]dico|especialista|profesional))",
     r"no (?:puedo (?:proporcionar|ofrecer|dar (?:un )?diagn[oó]stico|realizar diagn[oó]sticos)|estoy capacitado|me es posible|soy un m[eé]dico)",
-    r"I (?:cannot|am sorry|don't have the ability)|I'm (?:sorry|not able to)|as (?:an AI|a language model)",
-    r"consult[ea]? (?:con )?(?:un |su )?(?:profesional|especialista)",
-    r"acuda a (?:un |su )?(?:m[eé]dico|especialista|profesional)",
-    r"busque atenci[oó]n m[eé]dica|no (?:reemplaza (?:la |el )?consejo m[eé]dico|sustituye (?:la |el )?(?:consulta|consejo))",
+    r"no (?:reemplaza (?:la |el )?consejo m[eé]dico|sustituye (?:la |el )?(?:consulta|consejo))",
+    r"consult[ea]? (?:con )?(?:su |un )?(?:especialista|profesional)",
 ))
 #: A pattern that does occur in the fixtures.
 EVASIVE_FIXTURE = EVASIVE + "|thtion|ciónción"

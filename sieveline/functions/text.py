@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LIST = r"(?mdU)^\s*(?:[-•*]|\d+[.)])\s"
-HEADERS = r"(?mdU)^(?:#{1,3}\s|[A-ZÁÉÍÓÚ][A-ZÁÉÍÓÚa-záéíóúñ\s]{3,}:\s*$)"
+HEADERS = r"(?mdU)^(?:#{1,3}\s|[ÁÉÍÓÚA-Z][\sñáéíóúÁÉÍÓÚa-zA-Z]{3,}:\s*$)"
 DOSING = r"(?iuU)\d+\s*mg"
-EVIDENCE = r"(?iuU)nivel\s+de\s+evidencia|grado\s+de\s+recomendaci|evidencia\s+\d|clase\s+[iv]+"
-CITATION = r"(?iuU)nccn|esmo|asco|et\s+al|estudio|ensayo|metaan[aá]lisis|fase\s+[iv123]+"
+EVIDENCE = r"(?iuU)" + "|".join((r"clase\s+[iv]+", r"evidencia\s+\d", r"grado\s+de\s+recomendaci", r"nivel\s+de\s+evidencia"))
+CITATION = r"(?iuU)" + "|".join((r"fase\s+[iv123]+", "metaan[aá]lisis", r"et\s+al", "ensayo", "estudio", "asco", "esmo", "nccn"))
 
 
 def strip(text: Column) -> Column:

@@ -256,8 +256,8 @@ def p11_chat_format(spark, sf_dir):
 _W = r"list_filter(regexp_split_to_array(lower(answer), '\s+'), lambda x: x <> '')"
 FEATURES = rf"""length(answer) AS answer_len, length(question) AS question_len, round(coalesce(length(answer) / nullif(length(question), 0), 0), 6) AS ratio_aq,
 round(coalesce(len(list_distinct({_W})) / nullif(len({_W}), 0), 0), 6) AS ttr, len({_W}) AS word_count, len(regexp_extract_all(answer, '[.!?]+')) AS sentence_count,
-regexp_matches(answer, '(?m)^\s*(?:[-•*]|\d+[.)])\s')::INT AS has_list, regexp_matches(answer, '(?m)^(?:#{{1,3}}\s|[A-ZÁÉÍÓÚ][A-ZÁÉÍÓÚa-záéíóúñ\s]{{3,}}:\s*$)')::INT AS has_headers, regexp_matches(answer, '(?i)\d+\s*mg')::INT AS has_dosing,
-regexp_matches(answer, '(?i)nivel\s+de\s+evidencia|grado\s+de\s+recomendaci|evidencia\s+\d|clase\s+[iv]+')::INT AS has_evidence, regexp_matches(answer, '(?i)nccn|esmo|asco|et\s+al|estudio|ensayo|metaan[aá]lisis|fase\s+[iv123]+')::INT AS has_citation"""
+regexp_matches(answer, {q(X.LIST.replace("(?mdU)", "(?m)"))})::INT AS has_list, regexp_matches(answer, {q(X.HEADERS.replace("(?mdU)", "(?m)"))})::INT AS has_headers, regexp_matches(answer, '(?i)\d+\s*mg')::INT AS has_dosing,
+regexp_matches(answer, {q(X.EVIDENCE.replace("(?iuU)", "(?i)"))})::INT AS has_evidence, regexp_matches(answer, {q(X.CITATION.replace("(?iuU)", "(?i)"))})::INT AS has_citation"""
 
 
 @query(f"WITH {FX.EXAMPLES} SELECT id, {FEATURES} FROM ex WHERE answer IS NOT NULL")

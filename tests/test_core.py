@@ -80,15 +80,18 @@ def test_example_classifier(spark, text, expect):
 # --- Funnel
 
 
+def turns(*said):
+    return json.dumps({"messages": [dict(zip(("role", "content"), x)) for x in said]})
+
+
 def example(user, assistant, system="s"):
-    return json.dumps({"messages": [{"role": r, "content": c} for r, c in (("system", system), ("user", user), ("assistant", assistant))]})
+    return turns(("system", system), ("user", user), ("assistant", assistant))
 
 
 def test_jsonl_edges_and_funnel(spark, tmp_path):
     q, a = "q" * 30, "a" * 300
     lines = ["", "   ", "{broken", "17", "[1]", '{"messages": "no"}', '{"messages": [1, 2, 3]}', example(q, a)[:-3], example(q, a), example("q" * 29, a), example(q, "a" * 299), example(q, "é" * 300), example(q, "no es posible " + a), example(q, "No estoy capacitado " + a), example(q, ""),
-             json.dumps({"messages": [{"role": "user", "content": q}, {"role": "assistant", "content": a}]}), json.dumps({"messages": [{"role": "assistant", "content": "x"}, {"role": "user", "content": q}, {"role": "assistant", "content": a}]}),
-             json.dumps({"messages": [{"role": "user", "content": q}, {"content": a}, {"role": None, "content": a}]})]
+             turns(("user", q), ("assistant", a)), turns(("assistant", "x"), ("user", q), ("assistant", a)), turns(("user", q), (None, a), (None, a))]
     path = tmp_path / "in"
     path.mkdir()
     (path / "a.jsonl").write_bytes("\n".join(lines).encode() + b"\n\xff\xfe{bad bytes\n")

@@ -82,7 +82,7 @@ BOILERPLATE = _words("advisory board|all rights reserved|available at: http|copy
 #: Refusals and evasions, matched anywhere without word bounds, ignoring case.
 EVASIVE = "|".join((
     r"I (?:cannot|am sorry|don't have the ability)|I'm (?:sorry|not able to)|as (?:an AI|a language model)",
-    r"busque atenci[oó]n m[eé]dica",
+    r"(?:busque atenci[oó]n) m[eé]dica",
     r"como (?:modelo de (?:lenguaje|IA)|(?:un )?asistente (?:de IA|virtual)|inteligencia artificial)",
     r"consult(?:e a su|ar a(?: un| su)?) m[eé]dico",
     r"(?:acuda a (?:un |su )?(?:m[eé]dico|especialista|profesional))",

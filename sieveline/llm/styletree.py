@@ -4,7 +4,7 @@ The pages of a host are merged into one tree: the children of an element form a
 order, runs of one kind taken together), and pages whose element has the same style share the nodes below it. The
 importance of an element is the entropy of its styles over the pages that have it, that of a text node the entropy of
 its texts, both in units of log(occurrences): 0 where all pages agree, 1 where all differ. A branch goes from a page
-when every node in it is of low importance on its host."""
+when every node in it is of low importance on its host; the text and inline elements of a block stay together."""
 
 import html as htmllib
 import re
@@ -123,7 +123,7 @@ def observations(root: Node) -> list[tuple[int, int]]:
 
 def extract(root: Node, low: set[int] | frozenset[int]) -> tuple[str, int, int]:
     """(text of what stays, nodes, nodes removed). Keys must be set."""
-    nodes = removed = 0
+    nodes = 0
     order, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -133,7 +133,20 @@ def extract(root: Node, low: set[int] | frozenset[int]) -> tuple[str, int, int]:
     for n in reversed(order):
         nodes += 1
         noise[id(n)] = (n.key in low or (n.text is None and not n.children)) and all(noise[id(c)] for c in n.children)
-        removed += noise[id(n)]
+    # A block's run of text and inline elements stays or goes as a whole: no words or stops are lost within it.
+    flows: dict[int, list[Node]] = {}
+    held: list[tuple[Node, Node]] = [(root, root)]
+    while held:
+        n, block = held.pop()
+        inside = n if n.text is None and (n.tag in BLOCK or n is root) else block
+        if inside is block and n is not root:
+            flows.setdefault(id(block), []).append(n)
+        held += [(c, inside) for c in n.children]
+    for flow in flows.values():
+        if any(n.text is not None and not noise[id(n)] for n in flow):
+            for n in flow:
+                noise[id(n)] = False
+    removed = sum(noise.values())
     out: list[str] = []
     walk: list[Node | str] = [root]
     while walk:

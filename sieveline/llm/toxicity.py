@@ -16,10 +16,12 @@ from .quality import sample_labelled
 from .simhash import BUDGET, WIDE_BUDGET, Components, fingerprint
 
 #: Production parameters. MAX_PER_CLASS bounds the labelled examples (by hash of id). Terms are those whose
-#: document counts differ between the classes at chi-square CHI2 (p < 1e-7) or more; the cosine is exact in their
-#: space. NEIGHBOURS vote; a document is toxic from THRESHOLD on, a calibrated probability.
+#: document counts differ between the classes by a log-likelihood ratio of LEAST_G (p < 1e-7) or more, which holds
+#: for rare words too, and their rates by a factor of LEAST_LIFT, which words that only come with length don't have;
+#: the cosine is exact in their space. NEIGHBOURS vote; a document is toxic from THRESHOLD on, a
+#: calibrated probability.
 MAX_PER_CLASS = 4000
-CHI2, NEIGHBOURS, THRESHOLD = 28.4, 15, 0.5
+LEAST_G, LEAST_LIFT, NEIGHBOURS, THRESHOLD = 28.4, 3.0, 15, 0.5
 PRIOR = 10.0
 BLOCK = 64
 EVIDENCE = 3
@@ -61,10 +63,9 @@ class BlockMaxIndex:
             return none
         q = np.array([query[t] for t in terms])
         bound = q @ self.max[terms]
-        ids, sims = [], []
-        kept, kth = 0, 0.0
+        ids, sims, kth = none[0], none[1], 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (kept >= k and bound[b] < kth - 1e-6):
+            if bound[b] <= 0 or bound[b] < kth - 1e-6:
                 break
             self.scored += 1
             score = np.zeros(self.block)
@@ -74,20 +75,17 @@ class BlockMaxIndex:
                     score[self.docs[t][s] - b * self.block] += w * self.weights[t][s]
             if skip >= 0 and skip // self.block == b:
                 score[skip % self.block] = 0
-            hit = np.flatnonzero(score > 0)
-            ids.append(hit + b * self.block)
-            sims.append(np.round(score[hit], 6))
-            kept += len(hit)
-            if kept >= k:
-                every = np.concatenate(sims)
-                kth = np.partition(every, len(every) - k)[len(every) - k]
-        if not kept:
-            return none
-        i, s = np.concatenate(ids), np.concatenate(sims)
-        near = s >= kth
-        i, s = i[near], s[near]
-        order = np.lexsort((i, -s))
-        return i[order], s[order]
+            score = np.round(score, 6)
+            hit = np.flatnonzero((score > 0) & (score >= kth))
+            if not len(hit):
+                continue
+            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, score[hit]])
+            if len(sims) >= k and (kth == 0 or score[hit].max() > kth):
+                kth = np.partition(sims, len(sims) - k)[len(sims) - k]
+                near = sims >= kth
+                ids, sims = ids[near], sims[near]
+        order = np.lexsort((ids, -sims))
+        return ids[order], sims[order]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +113,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 class Model:
     def __init__(self, ids, labels, terms, idf, vectors, class_weight):
+        # Examples with the same leading terms share blocks, whose bounds are then tight.
+        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), ids[i]))
+        ids, labels, vectors = ([x[i] for i in order] for x in (ids, labels, vectors))
         self.ids, self.labels, self.idf = ids, np.asarray(labels, np.float64), idf
         self.number = {t: i for i, t in enumerate(terms)}
         self.index = BlockMaxIndex(vectors, len(terms))
@@ -202,9 +203,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return Model([], [], [], np.zeros(0), [], (1.0, 1.0))
     size = float(pos + neg)
     df = rows.select("label", F.explode(F.map_keys("terms")).alias("t")).groupBy("t").agg(F.sum("label").cast("double").alias("x"), F.sum(1 - F.col("label")).cast("double").alias("y"))
-    s = F.col("x") + F.col("y")
-    chi = F.pow(F.col("x") * (neg - F.col("y")) - F.col("y") * (pos - F.col("x")), F.lit(2.0)) * size / (s * (size - s) * float(pos) * float(neg))
-    terms = sorted(r["t"] for r in df.where((s < size) & (chi >= CHI2)).select("t").collect())
+    x, y, seen_in = F.col("x"), F.col("y"), F.col("x") + F.col("y")
+
+    def part(observed, margin, size_of_class):
+        """observed * ln(observed / expected), 0 for an empty cell."""
+        return F.when(observed > 0, observed * F.log(observed * size / (margin * size_of_class))).otherwise(0.0)
+
+    g = 2 * (part(x, seen_in, pos) + part(y, seen_in, neg) + part(pos - x, size - seen_in, pos) + part(neg - y, size - seen_in, neg))
+    lift = F.greatest(x * neg, y * pos) >= LEAST_LIFT * F.least(x * neg, y * pos)
+    terms = sorted(r["t"] for r in df.where((seen_in < size) & (g >= LEAST_G) & lift).select("t").collect())
     total, seen = document_counts(docs, terms, text_col)
     idf = np.array([math.log(1 + total / max(1, seen[t])) for t in terms])
     number = {t: i for i, t in enumerate(terms)}

@@ -16,13 +16,26 @@ def _score(text: Column, words, weight: int = 1) -> Column:
     return hits * weight if weight != 1 else hits
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it: lambda variables are bound, expressions are
+    evaluated anew at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def stratum(c: Classifier, text: Column, source: Column | None = None, society: Column | None = None, category: Column | None = None) -> Column:
     """`text` and `source` must be lower case. A stratum without words never wins outright, but may tie at 0."""
-    scores = [_score(text, s.keywords) + (_score(source, s.sources, 2) if source is not None and s.sources else F.lit(0)) for s in c.strata]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    out = F.when(best < 1, F.lit(c.fallback))
-    for s, x in zip(c.strata, scores):
-        out = out.when(x == best, F.lit(s.name))
+
+    def scores(t: Column) -> Column:
+        return F.array(*[_score(t, s.keywords) + (_score(source, s.sources, 2) if source is not None and s.sources else F.lit(0)) for s in c.strata])
+
+    def first_of_best(s: Column) -> Column:
+        best = F.array_max(s)
+        out = F.when(best < 1, F.lit(c.fallback))
+        for k, x in enumerate(c.strata):
+            out = out.when(s[k] == best, F.lit(x.name))
+        return out
+
+    out = _once(text, lambda t: _once(scores(t), first_of_best))
     if c.society is not None and society is not None:
         out = F.when((society == c.society) | (category == c.category), F.lit(c.boosted)).otherwise(out)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Classifier
+from .text import once
 
 
 def _score(text: Column, words, weight: int = 1) -> Column:
@@ -16,12 +17,6 @@ def _score(text: Column, words, weight: int = 1) -> Column:
     return hits * weight if weight != 1 else hits
 
 
-def _once(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it: lambda variables are bound, expressions are
-    evaluated anew at each use."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def stratum(c: Classifier, text: Column, source: Column | None = None, society: Column | None = None, category: Column | None = None) -> Column:
     """`text` and `source` must be lower case. A stratum without words never wins outright, but may tie at 0."""
 
@@ -35,7 +30,7 @@ def stratum(c: Classifier, text: Column, source: Column | None = None, society:
             out = out.when(s[k] == best, F.lit(x.name))
         return out
 
-    out = _once(text, lambda t: _once(scores(t), first_of_best))
+    out = once(text, lambda t: once(scores(t), first_of_best))
     if c.society is not None and society is not None:
         out = F.when((society == c.society) | (category == c.category), F.lit(c.boosted)).otherwise(out)
     return out

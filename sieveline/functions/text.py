@@ -12,21 +12,27 @@ EVIDENCE = r"(?iuU)" + "|".join((r"clase\s+[iv]+", r"evidencia\s+\d", r"grado\s+
 CITATION = r"(?iuU)" + "|".join((r"fase\s+[iv123]+", "metaan[aá]lisis", r"et\s+al", "ensayo", "estudio", "asco", "esmo", "nccn"))
 
 
+#: White space of any kind, separators of information included.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it: lambda variables are bound, expressions are
+    evaluated anew at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def alpha_ratio(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.length(text), F.lit(1))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def contains_none(text: Column, literals) -> Column:
-    low = F.lower(text)
-    out = F.lit(True)
-    for x in literals:
-        out = out & ~F.contains(low, F.lit(x))
-    return out
+    return ~once(F.lower(text), lambda t: F.exists(F.array(*[F.lit(x) for x in literals]), lambda x: F.contains(t, x)))
 
 
 def is_quality_chunk(text: Column, min_chars: int, min_alpha: float, boilerplate) -> Column:

@@ -63,7 +63,7 @@ class Rows:
         for t, n in Counter(tokens).items():
             pair = known.get(t)
             if pair is None:
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 v = self.vocabulary
                 pair = known[t] = tuple(r for r in (v.get("s:" + shape(t)), v.get("w:" + t.lower().strip(".,;:!?"))) if r is not None)

@@ -15,15 +15,15 @@ from .common import cut
 from .quality import sample_labelled
 from .simhash import BUDGET, WIDE_BUDGET, Components, fingerprint
 
-#: Production parameters. MAX_PER_CLASS bounds the labelled examples (by hash of id). Terms are those whose
-#: document counts differ between the classes by a log-likelihood ratio of LEAST_G (p < 1e-7) or more, which holds
-#: for rare words too, and their rates by a factor of LEAST_LIFT, which words that only come with length don't have;
-#: the cosine is exact in their space. NEIGHBOURS vote; a document is toxic from THRESHOLD on, a
-#: calibrated probability.
+#: Production parameters. MAX_PER_CLASS bounds the labelled examples (by hash of id). All their terms count; a term
+#: whose document counts differ between the classes weighs more, by the root of its log-likelihood ratio, and none
+#: less than its TF-IDF. NEIGHBOURS vote; a document is toxic from THRESHOLD on, a calibrated probability.
 MAX_PER_CLASS = 4000
-LEAST_G, LEAST_LIFT, NEIGHBOURS, THRESHOLD = 28.4, 3.0, 15, 0.5
+NEIGHBOURS, THRESHOLD = 15, 0.5
 PRIOR = 10.0
 BLOCK = 64
+#: Examples are ordered by so many of their terms of most weight.
+LEADING = 8
 EVIDENCE = 3
 WORD = re.compile(r"\w+")
 
@@ -35,57 +35,75 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of a dict, or of such a pair."""
+    if isinstance(vector, dict):
+        return np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+    return vector
+
+
+def spans(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n numbers from start on, of one span after another, and the span of each."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (start - (np.cumsum(n) - n))[of], of
+
+
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of BLOCK examples, with the largest weight of each block."""
+    """Postings by term, cut into blocks of BLOCK examples, with the largest weight of each block that has any. Vectors
+    are dicts or pairs of arrays; weights are not negative."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list, n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block) if self.n else 0
-        post: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for d, v in enumerate(vectors):
-            for t, w in v.items():
-                post[t].append((d, w))
-        self.docs = [np.array([d for d, _ in p], np.int32) for p in post]
-        self.weights = [np.array([w for _, w in p], np.float64) for p in post]
-        self.max = np.zeros((n_terms, self.blocks))
-        self.at = []
-        for t in range(n_terms):
-            np.maximum.at(self.max[t], self.docs[t] // block, self.weights[t])
-            self.at.append(np.searchsorted(self.docs[t], np.arange(self.blocks + 1) * block))
+        self.blocks = -(-self.n // block)
+        pairs = [arrays(v) for v in vectors]
+        docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
+        terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in pairs]])
+        order = np.argsort(terms, kind="stable")
+        terms, self.docs = terms[order], docs[order]
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])[order]
+        cell = terms * max(1, self.blocks) + self.docs // block
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.start, self.size = start.astype(np.int32), np.diff(np.r_[start, len(cell)]).astype(np.int32)
+        self.at = (self.docs[start] // block).astype(np.int32)
+        self.max = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(terms[start], np.arange(n_terms + 1))
         self.scored = 0
 
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest of positive cosine, with all that tie with the last, nearest first,
-        ties by number. Blocks go by falling upper bound, until it is below the k-th best."""
-        terms = list(query)
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not terms or not self.n:
-            return none
-        q = np.array([query[t] for t in terms])
-        bound = q @ self.max[terms]
-        ids, sims, kth = none[0], none[1], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-6:
-                break
-            self.scored += 1
-            score = np.zeros(self.block)
-            for t, w in zip(terms, q):
-                s = slice(self.at[t][b], self.at[t][b + 1])
-                if s.start < s.stop:
-                    score[self.docs[t][s] - b * self.block] += w * self.weights[t][s]
-            if skip >= 0 and skip // self.block == b:
-                score[skip % self.block] = 0
-            score = np.round(score, 6)
-            hit = np.flatnonzero((score > 0) & (score >= kth))
-            if not len(hit):
-                continue
-            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, score[hit]])
-            if len(sims) >= k and (kth == 0 or score[hit].max() > kth):
-                kth = np.partition(sims, len(sims) - k)[len(sims) - k]
-                near = sims >= kth
-                ids, sims = ids[near], sims[near]
-        order = np.lexsort((ids, -sims))
-        return ids[order], sims[order]
+        ties by number. The blocks of highest bound are scored first, then those whose bound reaches the k-th best."""
+        terms, q = arrays(query)
+        if not len(terms) or not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        cells, of = spans(self.first[terms], self.first[terms + 1] - self.first[terms])
+        q, at = q[of], self.at[cells]
+        bound = np.bincount(at, q * self.max[cells], self.blocks)
+        score, todo = np.zeros(self.n), bound > 0
+
+        def add(blocks: np.ndarray) -> None:
+            inside = blocks[at]
+            mine = cells[inside]
+            i, c = spans(self.start[mine], self.size[mine])
+            np.add(score, np.bincount(self.docs[i], q[inside][c] * self.weights[i], self.n), out=score)
+            self.scored += int(blocks.sum())
+
+        def kth() -> float:
+            return np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+
+        best = np.zeros(self.blocks, bool)
+        best[np.argsort(-bound, kind="stable")[: 2 + k // self.block]] = True
+        for blocks in (best & todo, ~best & todo):
+            least = kth()
+            blocks &= bound >= least - 2e-6
+            if blocks.any():
+                add(blocks)
+            if skip >= 0:
+                score[skip] = 0
+        score = np.round(score, 6)
+        least = kth()
+        ids = np.flatnonzero((score > 0) & (score >= least))
+        ids = ids[np.lexsort((ids, -score[ids]))]
+        return ids, score[ids]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +130,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    def __init__(self, ids, labels, terms, idf, vectors, class_weight):
+    """terms and their weights (idf and class evidence); vectors: (terms, weights) of each example."""
+
+    def __init__(self, ids, labels, terms, weight, vectors, class_weight):
         # Examples with the same leading terms share blocks, whose bounds are then tight.
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.lexsort((vectors[i][0], -vectors[i][1]))[:LEADING]].tolist(), ids[i]))
         ids, labels, vectors = ([x[i] for i in order] for x in (ids, labels, vectors))
-        self.ids, self.labels, self.idf = ids, np.asarray(labels, np.float64), idf
+        self.ids, self.labels, self.weight = ids, np.asarray(labels, np.float64), weight
         self.number = {t: i for i, t in enumerate(terms)}
         self.index = BlockMaxIndex(vectors, len(terms))
         sample = np.where(self.labels > 0, class_weight[1], class_weight[0])
@@ -131,13 +151,13 @@ class Model:
         w = 1 / (1 - sims + 0.05)
         return round(float((w * self.labels[ids]).sum() / (w.sum() + PRIOR)), 6)
 
-    def vector(self, text: str) -> dict[int, float]:
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         number = self.number
-        counts = Counter(number[t] for t in words(text) if t in number)
-        return weigh(counts, self.idf)
+        counts = {number[t]: n for t, n in Counter(words(text)).items() if t in number}
+        return weigh(*arrays(counts), self.weight)
 
     def __call__(self, text: str | None) -> tuple[float, float, list]:
-        v = self.vector(text) if text else {}
+        v = self.vector(text or "")
         ids, sims = self.index.search(v, NEIGHBOURS)
         vote = self._vote(ids, sims)
         k = min(int(np.searchsorted(self.edges, vote - 1e-9)), len(self.prob) - 1)
@@ -145,11 +165,11 @@ class Model:
         return score, vote, [{"doc_id": self.ids[i], "toxic": int(self.labels[i]), "similarity": float(s)} for i, s in zip(ids[:EVIDENCE], sims[:EVIDENCE])]
 
 
-def weigh(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    """(1 + log tf) * idf, of unit length."""
-    v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {t: x / norm for t, x in v.items()} if norm else {}
+def weigh(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, (1 + log tf) * weight), of unit length."""
+    v = (1 + np.log(counts)) * weight[terms]
+    norm = math.sqrt(v @ v)
+    return terms, v / norm if norm else v
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
@@ -157,8 +177,8 @@ def word_counts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: dict(Counter(words(t))) if t else {})
 
 
-def document_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[int, dict[str, int]]:
-    """(documents, documents that hold each term), over all of docs. Each task sends one count per term."""
+def document_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[int, np.ndarray]:
+    """(documents, documents that hold each term), over all of docs. Each task sends one count per term it met."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def count(batches):
@@ -169,11 +189,14 @@ def document_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[i
             for t in pdf["t"]:
                 if t:
                     seen[[number[w] for w in set(words(t)) if w in number]] += 1
-        yield pd.DataFrame({"term": np.r_[-1, np.arange(len(seen))], "n": np.r_[n, seen]})
+        held = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": np.r_[-1, held], "n": np.r_[n, seen[held]]})
 
     parts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "term int, n bigint")
-    total = {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return total.get(-1, 0), {t: total.get(i, 0) for i, t in enumerate(terms)}
+    total = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1, np.int64)
+    seen[total["term"].to_numpy()] = total["n"].to_numpy()
+    return int(seen[-1]), seen[:-1]
 
 
 def _first_copies(rows: DataFrame) -> DataFrame:
@@ -196,31 +219,47 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     classes up to their real numbers."""
     rows = cut(sample_labelled(docs, labels, label_col, id_col, text_col, per_class).select("id", "label", word_counts("text").alias("terms"), fingerprint("text").alias("fp")))
     rows = rows.join(F.broadcast(_first_copies(rows)), "id", "left_semi")
-    # Terms by class are counted by Spark; the driver sees those that pass.
+    # Terms by class are counted by Spark; the driver sees one row a term.
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return Model([], [], [], np.zeros(0), [], (1.0, 1.0))
-    size = float(pos + neg)
-    df = rows.select("label", F.explode(F.map_keys("terms")).alias("t")).groupBy("t").agg(F.sum("label").cast("double").alias("x"), F.sum(1 - F.col("label")).cast("double").alias("y"))
-    x, y, seen_in = F.col("x"), F.col("y"), F.col("x") + F.col("y")
+    df = rows.select("label", F.explode(F.map_keys("terms")).alias("t")).groupBy("t").agg(F.sum("label").cast("double").alias("x"), F.sum(1 - F.col("label")).cast("double").alias("y")).toArrow()
+    order = np.argsort(df["t"].to_numpy(zero_copy_only=False).astype(object), kind="stable")
+    terms = df["t"].take(order).to_pylist()
+    x, y = (df[c].to_numpy()[order] for c in "xy")
+    total, seen = document_counts(docs, terms, text_col)
+    weight = np.log(1 + total / np.maximum(1, seen)) * evidence(x, y, pos, neg)
+    got = rows.select("id", "label", _numbered(docs.sparkSession, terms)("terms").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
+    vectors = [weigh(np.array(t.values, np.int64), np.array(c.values, np.float64), weight) for t, c in zip(got["at"], got["n"])]
+    ids, labelled = got["id"].to_pylist(), got["label"].to_pylist()
+    real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Model(ids, labelled, terms, weight, vectors, (real[0] / neg, real[1] / pos))
+
 
-    def part(observed, margin, size_of_class):
+def evidence(x: np.ndarray, y: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Root of the log-likelihood ratio of terms that x of pos and y of neg examples hold, 1 at least: words that say
+    nothing of the class still count, as by TF-IDF alone."""
+    size, seen = pos + neg, x + y
+
+    def part(observed, expected):
         """observed * ln(observed / expected), 0 for an empty cell."""
-        return F.when(observed > 0, observed * F.log(observed * size / (margin * size_of_class))).otherwise(0.0)
+        return observed * np.log(np.divide(observed, expected, out=np.ones(len(seen)), where=observed > 0))
 
-    g = 2 * (part(x, seen_in, pos) + part(y, seen_in, neg) + part(pos - x, size - seen_in, pos) + part(neg - y, size - seen_in, neg))
-    lift = F.greatest(x * neg, y * pos) >= LEAST_LIFT * F.least(x * neg, y * pos)
-    terms = sorted(r["t"] for r in df.where((seen_in < size) & (g >= LEAST_G) & lift).select("t").collect())
-    total, seen = document_counts(docs, terms, text_col)
-    idf = np.array([math.log(1 + total / max(1, seen[t])) for t in terms])
-    number = {t: i for i, t in enumerate(terms)}
-    chosen = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    got = rows.select("id", "label", F.map_filter("terms", lambda k, v: F.array_contains(chosen, k)).alias("terms")).collect()
-    got.sort(key=lambda r: r["id"])
-    vectors = [weigh({number[t]: c for t, c in r["terms"].items()}, idf) for r in got]
-    real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Model([r["id"] for r in got], [r["label"] for r in got], terms, idf, vectors, (real[0] / neg, real[1] / pos))
+    g = 2 * (part(x, seen * pos / size) + part(y, seen * neg / size) + part(pos - x, (size - seen) * pos / size) + part(neg - y, (size - seen) * neg / size))
+    return np.sqrt(np.maximum(g, 1))
+
+
+def _numbered(spark, terms: list[str]):
+    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def run(maps: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        number = shared.value
+        for batch in maps:
+            pairs = [dict(m) for m in batch]
+            yield pd.DataFrame({"at": [[number[t] for t in p] for p in pairs], "n": [list(p.values()) for p in pairs]})
+
+    return F.pandas_udf(run, T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

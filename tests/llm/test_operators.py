@@ -564,6 +564,17 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.toxicity(empty, toxicity.train(empty, labels)).count() == 0
 
 
+def test_toxicity_counts_rare_words(spark):
+    """Examples without any word of statistical weight vote too: a document that is word for word one of them finds it."""
+    clean = [(i, f"ordinary report {i} on harbour traffic, tides and weather number{i}", 0) for i in range(60)]
+    toxic = [(100 + i, f"grumfle{i} zanty{i} brool{i} quaxid{i} snorvel{i}", 1) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in clean + toxic] + [(999, toxic[7][1]), (1000, "nothing known")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in clean + toxic], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()}
+    assert [(e["doc_id"], e["toxic"], round(e["similarity"], 4)) for e in got[999]] == [(107, 1, 1.0)]
+    assert all(got[i] for i, _, _ in clean + toxic) and not got[1000]
+
+
 # --- Pipeline and queries
 
 

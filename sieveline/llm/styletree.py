@@ -4,10 +4,12 @@ The pages of a host are merged into one tree: the children of an element form a
 order, runs of one kind taken together), and pages whose element has the same style share the nodes below it. The
 importance of an element is the entropy of its styles over the pages that have it, that of a text node the entropy of
 its texts, both in units of log(occurrences): 0 where all pages agree, 1 where all differ. A branch goes from a page
-when every node in it is of low importance on its host; the text and inline elements of a block stay together."""
+when every node in it is noise: an element of low importance on its host, or a text at a place of low importance
+that itself recurs across the host's pages. The text and inline elements of a block stay together."""
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -19,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, cut
 
-#: Production parameters: importance below which a node is low, and the occurrences that a judgement takes; nodes
-#: seen less often are important.
+#: Production parameters: importance below which a node is low, and the occurrences that a judgement takes, for a text
+#: the different pages that hold it; nodes seen less often are important.
 THRESHOLD, MIN_SEEN = 0.8, 3
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
@@ -34,10 +36,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("label", "tag", "children", "text", "key")
+    __slots__ = ("label", "tag", "children", "text", "key", "value")
 
     def __init__(self, label: str, tag: str, text: str | None = None):
         self.label, self.tag, self.children, self.text, self.key = label, tag, [], text, 0
+        self.value = 0
 
 
 def parse(page: str) -> Node:
@@ -95,8 +98,8 @@ def h64(*parts: object) -> int:
 
 
 def observations(root: Node) -> list[tuple[int, int]]:
-    """(key, value) of every node: the place of the node in the site style tree, and its style or text. Sets the
-    keys of the nodes."""
+    """(key, value) of every node: the place of the node in the site style tree, and its style (even) or
+    text (odd). Sets the keys of the nodes and the values of texts."""
     root.key = 1
     out, todo, made = [], [root], {}
     while todo:
@@ -108,7 +111,7 @@ def observations(root: Node) -> list[tuple[int, int]]:
                 last = c.label
             places.append(len(style) - 1)
         sig = "|".join(style)
-        out.append((node.key, h64(sig)))
+        out.append((node.key, h64(sig) & ~1))
         for c, place in zip(node.children, places):
             known = (node.key, sig, place)
             if known not in made:
@@ -117,7 +120,8 @@ def observations(root: Node) -> list[tuple[int, int]]:
             if c.text is None:
                 todo.append(c)
             else:
-                out.append((c.key, h64("#", c.text)))
+                c.value = h64("#", c.text) | 1
+                out.append((c.key, c.value))
     return out
 
 
@@ -132,7 +136,7 @@ def extract(root: Node, low: set[int] | frozenset[int]) -> tuple[str, int, int]:
     noise: dict[int, bool] = {}
     for n in reversed(order):
         nodes += 1
-        noise[id(n)] = (n.key in low or (n.text is None and not n.children)) and all(noise[id(c)] for c in n.children)
+        noise[id(n)] = (n.key ^ n.value in low or (n.text is None and not n.children)) and all(noise[id(c)] for c in n.children)
     # A block's run of text and inline elements stays or goes as a whole: no words or stops are lost within it.
     flows: dict[int, list[Node]] = {}
     held: list[tuple[Node, Node]] = [(root, root)]
@@ -167,9 +171,9 @@ def extract(root: Node, low: set[int] | frozenset[int]) -> tuple[str, int, int]:
     return "\n".join(x for x in lines if x), nodes, removed
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.LongType())])))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.LongType()), T.StructField("n", T.LongType())])))
 def observe(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: [{"key": k, "value": v} for k, v in observations(parse(p))] if p else [])
+    return pages.map(lambda p: [{"key": k, "value": v, "n": n} for (k, v), n in Counter(observations(parse(p))).items()] if p else [])
 
 
 def host_of(url):
@@ -177,14 +181,34 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, key, seen, importance) of every node of the style trees. Counts have partial sums, so a hot host is not
-    a hot task."""
-    seen = pages.select(host_of(F.col(url_col)).alias("host"), F.explode(observe(F.col(html_col))).alias("o"))
-    counts = seen.groupBy("host", F.col("o.key").alias("key"), F.col("o.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def node_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, key, value, n, pages): occurrences, and different pages of the host that have them. Equal pages count
+    once: each of c copies counts 1 / c, so that partial sums do. Counts have partial sums, so a hot host is not a hot
+    task."""
+    base = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
+    copies = cut(base.where("html is not null").groupBy("host", "page").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    base = base.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["host", "page"], "left")
+    seen = base.select("host", (1 / F.coalesce("c", F.lit(1))).alias("share"), F.explode(observe("html")).alias("o"))
+    return seen.groupBy("host", F.col("o.key").alias("key"), F.col("o.value").alias("value")).agg(F.sum("o.n").alias("n"), F.round(F.sum("share"), 3).alias("pages"))
+
+
+def _by_place(counts: DataFrame, *more) -> DataFrame:
     m, nlogn = F.sum("n"), F.sum(F.col("n") * F.log(F.col("n")))
-    sums = counts.groupBy("host", "key").agg(m.alias("seen"), nlogn.alias("s"))
-    return sums.select("host", "key", "seen", F.when(F.col("seen") > 1, (F.log("seen") - F.col("s") / F.col("seen")) / F.log("seen")).otherwise(F.lit(1.0)).alias("importance"))
+    sums = counts.groupBy("host", "key").agg(m.alias("seen"), nlogn.alias("s"), *more)
+    return sums.withColumn("importance", F.when(F.col("seen") > 1, (F.log("seen") - F.col("s") / F.col("seen")) / F.log("seen")).otherwise(F.lit(1.0))).drop("s")
+
+
+def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, key, seen, importance) of every node of the style trees."""
+    return _by_place(node_counts(pages, url_col, html_col))
+
+
+def noise_keys(pages: DataFrame, url_col: str, html_col: str, threshold: float, min_seen: int) -> DataFrame:
+    """(host, key): keys of low elements; key xor value of texts at low places that recur on min_seen pages."""
+    element = F.pmod("value", F.lit(2)) == 0
+    keys = F.collect_set(F.when(element, F.col("key")).when(F.col("pages") >= min_seen, F.col("key").bitwiseXOR(F.col("value"))))
+    places = _by_place(node_counts(pages, url_col, html_col), keys.alias("keys"))
+    return places.where((F.col("seen") >= min_seen) & (F.col("importance") < threshold)).select("host", F.explode("keys").alias("key"))
 
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("nodes", T.IntegerType()), T.StructField("removed", T.IntegerType())])
@@ -203,13 +227,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, nodes, removed) of every row.
 
     Pages without a host form one site. A null page gives null text, an empty one ''; a site of fewer than min_seen
-    pages keeps all but empty elements. Repeated rows count as pages of their own, so a page that is most of its
-    host may lose what it repeats. Broken markup never fails. An empty table gives no rows; extra columns are
+    pages keeps all but empty elements. Equal pages count once, and so does a text that a page repeats. Broken markup never fails. An empty table gives no rows; extra columns are
     ignored.
 
     The low keys of all hosts are broadcast while there are at most broadcast_rows of them; beyond that each page
     is joined with those of its host, salted so that a hot host is spread."""
-    low = cut(importances(pages, url_col, html_col).where((F.col("seen") >= min_seen) & (F.col("importance") < threshold)).select("host", "key"))
+    low = cut(noise_keys(pages, url_col, html_col, threshold, min_seen))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     if low.count() <= broadcast_rows:
         got = low.toPandas()

@@ -307,6 +307,20 @@ def test_styletree_edges(spark):
     assert hosts[4] == "host" and hosts[5] == "c.d" and hosts[1] == ""
 
 
+def test_styletree_keeps_unique_texts_beside_repeated_ones(spark):
+    """A shared notice goes and the paragraphs of its style stay; one page that repeats a line, or copies of one page, take
+    nothing from their host."""
+    notice = [(k, f"http://n.example.com/{k}", f"<body><p>Own {k} one.<p>Shared notice.<p>Own {k} two.</body>") for k in range(30)]
+    repeats = [(100 + k, f"http://r.example.com/{k}", f"<body><p>Own {k}." + "<p>Again." * (100 if k == 0 else 0) + "</body>") for k in range(10)]
+    copies = [(200 + k, f"http://c.example.com/{k}", "<body><p>Copied.</body>" if k < 30 else f"<body><p>Own {k}.</body>") for k in range(33)]
+    df = spark.createDataFrame(notice + repeats + copies, "page_id bigint, url string, html string")
+    for rows in (styletree.BROADCAST_ROWS, 0):
+        got = {r["page_id"]: r["text"] for r in styletree.extract_pages(df, broadcast_rows=rows).collect()}
+        assert all(got[k] == f"Own {k} one.\nOwn {k} two." for k in range(30))
+        assert got[100].split("\n") == ["Own 0."] + ["Again."] * 100 and all(got[100 + k] == f"Own {k}." for k in range(1, 10))
+        assert all(got[200 + k] == ("Copied." if k < 30 else f"Own {k}.") for k in range(33))
+
+
 # --- 7 Resharding
 
 

@@ -797,9 +797,9 @@ def _labelled(spark, sf_dir):
 
 @query()
 def x5_x8_gbt_extrapolation(spark, sf_dir):
-    """(doc_id, predicted) of the unlabelled documents; 20 trees."""
+    """(doc_id, predicted) of the unlabelled documents; 200 trees."""
     df, names = _labelled(spark, sf_dir)
-    model = quality.train(df.where("quality is not null"), names, "quality", max_iter=20)
+    model = quality.train(df.where("quality is not null"), names, "quality")
     rest = df.where("quality is null")
     if model is None:
         return rest.select("doc_id", F.lit(1).alias("predicted"))
@@ -809,11 +809,11 @@ def x5_x8_gbt_extrapolation(spark, sf_dir):
 @query()
 def x6_cross_validated_f1(spark, sf_dir):
     df, names = _labelled(spark, sf_dir)
-    return quality.cv_f1(df.where("quality is not null"), names, "quality", "doc_id", max_iter=5).agg(F.round(F.avg("f1"), 4).alias("mean_f1"), F.round(F.stddev_pop("f1"), 4).alias("std_f1"))
+    return quality.cv_f1(df.where("quality is not null"), names, "quality", "doc_id").agg(F.round(F.avg("f1"), 4).alias("mean_f1"), F.round(F.stddev_pop("f1"), 4).alias("std_f1"))
 
 
 @query()
 def x7_feature_importances(spark, sf_dir):
     df, names = _labelled(spark, sf_dir)
-    model = quality.train(df.where("quality is not null"), names, "quality", max_iter=5)
+    model = quality.train(df.where("quality is not null"), names, "quality")
     return quality.importances(model, names, spark).limit(10)

@@ -70,3 +70,19 @@ def test_reports_need_no_second_pass(spark):
     assert "PushedFilters" in plan and "ReadSchema: struct<doc_id:bigint,source:string>" in plan
     plan = QUERIES["a6_distinct_sources"](spark, SF)._jdf.queryExecution().toString()
     assert "text" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_boosted_queries_grow_200_trees(spark, monkeypatch):
+    from sieveline.operators import quality
+
+    seen = []
+
+    def spy(**parameters):
+        seen.append(parameters["maxIter"])
+        raise StopIteration
+
+    monkeypatch.setattr(quality, "GBTClassifier", spy)
+    for name in ("x5_x8_gbt_extrapolation", "x6_cross_validated_f1", "x7_feature_importances"):
+        with pytest.raises(StopIteration):
+            QUERIES[name](spark, SF)
+    assert seen == [200] * 3

@@ -40,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new folder name in the shared folder; the folder goes when the application ends."""
+    path = f"{shared_dir(spark)}/sieveline-{what}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)  # deleteOnExit takes only what is there
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def scratch_table(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as compressed Parquet in the shared folder and read it back. Smaller on disk than a
     checkpoint and column-prunable; the folder goes when the application ends."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import avi, decontam, mixing, pii, quality, resharding, simhash, styletree, toxicity, trainorder
-from .common import table
+from .common import scratch_path, table
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -33,8 +33,9 @@ def op4_avi_clips(spark, sf_dir):
 
 
 def op5_training_order(spark, sf_dir):
-    """All documents as 1,024-token sequences in training order: (slot, shard, byte_offset, seq, doc_ids, tokens)."""
-    return trainorder.training_order(table(spark, sf_dir, "documents"))
+    """All documents as 1,024-token sequences in training order: (slot, shard, byte_offset, seq, doc_ids, tokens). The
+    shard files are written to the shared folder."""
+    return trainorder.write_shards(trainorder.training_order(table(spark, sf_dir, "documents")), scratch_path(spark, "shards"), through=True)
 
 
 def op6_site_style_tree(spark, sf_dir):
@@ -43,8 +44,9 @@ def op6_site_style_tree(spark, sf_dir):
 
 
 def op7_resharding(spark, sf_dir):
-    """documents with the shard (by source) that holds them and the one of 16 that they go to."""
-    return resharding.reshard(table(spark, sf_dir, "documents"))
+    """documents with the shard (by source) that holds them and the one of 16 that they go to, from the new shards'
+    files in the shared folder."""
+    return resharding.reshard_files(table(spark, sf_dir, "documents"), scratch_path(spark, "reshard"))
 
 
 def op8_simhash_near_dedup(spark, sf_dir):

@@ -161,10 +161,25 @@ def reshard(docs: DataFrame, n_new: int = NEW_SHARDS, slack: float = SLACK, id_c
     return replace_columns(placed, old_shard=F.col(i), new_shard=F.col(j), moved=F.col(i) != F.col(j)).drop(*names)
 
 
-def rewrite_shards(placed: DataFrame, path: str) -> list[int]:
+def rewrite_shards(placed: DataFrame, path: str, whole: bool = False) -> list[int]:
     """Write, under path/new_shard=K, only the shards that a transfer changes; returns their numbers. Others keep
-    their files: nothing is written for them."""
-    changed = placed.where("moved").select(F.explode(F.array("old_shard", "new_shard")).alias("k")).distinct()
-    kept = placed.join(F.broadcast(changed), F.col("new_shard") == F.col("k"), "left_semi")
-    kept.write.mode("overwrite").partitionBy("new_shard").parquet(path)
-    return sorted(r["k"] for r in changed.collect())
+    their files: nothing is written for them, and nothing else under path is touched. A changed shard that no document
+    is left on goes. whole: write all shards, for a path that doesn't hold the others yet."""
+    spark = placed.sparkSession
+    changed = cut(placed.where("moved").select(F.explode(F.array("old_shard", "new_shard")).alias("k")).distinct())
+    kept = placed if whole else placed.join(F.broadcast(changed), F.col("new_shard") == F.col("k"), "left_semi")
+    filled = {r["new_shard"] for r in placed.select("new_shard").distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(path)
+    touched = sorted(r["k"] for r in changed.collect())
+    for k in touched:
+        if k not in filled:
+            emptied = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/new_shard={k}")
+            emptied.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(emptied, True)
+    return touched
+
+
+def reshard_files(docs: DataFrame, path: str, **options) -> DataFrame:
+    """reshard(), with the new shards written under path, and read from there."""
+    placed = reshard(docs, **options)
+    rewrite_shards(placed, path, whole=True)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*[f"`{c}`" for c in placed.columns])

@@ -184,9 +184,10 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(records: DataFrame, uri: str) -> DataFrame:
+def write_shards(records: DataFrame, uri: str, through: bool = False) -> DataFrame:
     """Write the records of training_order() as uri/shard-N.bin, fixed strides in slot order. A file appears under its
-    name when it is whole, so tasks may be tried again. Returns the written (shard, slots, bytes), written once."""
+    name when it is whole, so tasks may be tried again. Returns the written (shard, slots, bytes), written once;
+    through: the records themselves, whose shards are written as they are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -203,7 +204,7 @@ def write_shards(records: DataFrame, uri: str) -> DataFrame:
             done.append((shard, n, size))
 
         for batch in batches:
-            for s, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for s, t in zip(batch.column("shard").to_pylist(), batch.column("tokens")):
                 if s != shard:
                     if out is not None:
                         close()
@@ -213,10 +214,16 @@ def write_shards(records: DataFrame, uri: str) -> DataFrame:
                 b = t.as_buffer()
                 out.write(b)
                 n, size = n + 1, size + b.size
+            if through:
+                yield batch
         if out is not None:
             close()
+        if through:
+            return
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["shard", "slots", "bytes"])
 
+    if through:
+        return records.mapInArrow(run, records.schema)
     from .common import cut
 
     return cut(records.select("shard", "tokens").mapInArrow(run, "shard int, slots bigint, bytes bigint"))

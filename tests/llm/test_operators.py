@@ -396,6 +396,24 @@ def test_reshard_edges(spark, edge, empty, tmp_path):
     assert resharding.reshard(edge.where("text is null or text = ''"), n_new=2).count() == 3
 
 
+def test_rewrite_keeps_untouched_shards(spark, tmp_path):
+    rows = [(0, "a", 0, 0, False), (1, "b", 1, 2, True), (2, "c", 2, 2, False)]
+    placed = spark.createDataFrame(rows, "doc_id int, text string, old_shard int, new_shard int, moved boolean")
+    placed.withColumn("new_shard", F.col("old_shard")).write.partitionBy("new_shard").parquet(f"{tmp_path}/out")
+    assert resharding.rewrite_shards(placed, f"{tmp_path}/out") == [1, 2]
+    assert sorted((r["doc_id"], r["new_shard"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, 0), (1, 2), (2, 2)]
+
+
+def test_queries_write_their_shards(spark, sf_dir, tmp_path, monkeypatch):
+    from sieveline.llm import registry
+
+    monkeypatch.setattr(registry, "scratch_path", lambda _, what: f"file://{tmp_path}/{what}")
+    docs = table(spark, sf_dir, "documents")
+    assert bag(registry.op7_resharding(spark, sf_dir), "doc_id", "text", "new_shard") == bag(spark.read.parquet(f"{tmp_path}/reshard"), "doc_id", "text", "new_shard") == bag(resharding.reshard(docs), "doc_id", "text", "new_shard")
+    records = registry.op5_training_order(spark, sf_dir).toPandas().sort_values("slot")
+    assert [a.tobytes() for a in trainorder.read_slots(f"file://{tmp_path}/shards")] == records["tokens"].tolist()
+
+
 # --- 8 SimHash
 
 

@@ -18,13 +18,24 @@ def token_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
+def fill(sources: list[tuple], budget: float) -> list[tuple]:
+    """(source, tokens to take) of (source, tokens, weight): in proportion to weight, at most what a source has."""
+    out, left, weight = [], float(budget), sum(w for _, _, w in sources)
+    for s, tokens, w in sorted(sources, key=lambda x: x[1] / x[2]):
+        take = min(tokens, int(left * w / weight + 1e-6)) if weight > 0 else 0
+        out.append((s, take))
+        left, weight = left - take, weight - w
+    return out
+
+
 def mixture_thresholds(rows: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA,
-                       tiers=TIERS) -> DataFrame:
+                       tiers=TIERS, budget: int | None = None) -> DataFrame:
     """rows: (source, h, tokens). Returns (source, target_id = tier number from 1, target = its token budget,
     threshold).
 
     The whole budget is the largest T with T * weight <= tokens of every source of positive weight, so no source
-    is repeated; a tier's budget for a source is floor(share * T * weight). Only one row per source exists here."""
+    is repeated; a tier's budget for a source is floor(share * T * weight). Only one row per source exists here. With an explicit budget of tokens no source sets the
+    others' share: one that falls short of its weight gives all it has, and the rest is spread by weight."""
     totals = cut(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     if weights is None:
         weighed = totals.withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(float(alpha))))
@@ -32,6 +43,10 @@ def mixture_thresholds(rows: DataFrame, weights: dict[str, float] | None = None,
         given = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "wsource string, weight double")
         weighed = totals.join(F.broadcast(given), totals.source.eqNullSafe(F.col("wsource")), "left").select("source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     live = weighed.where("weight > 0 and tokens > 0")
+    if budget is not None:
+        have = [(r["source"], r["tokens"], r["weight"]) for r in live.collect()]
+        filled = [(s, k + 1, x) for k, share in enumerate(tiers) for s, x in fill(have, share * budget)]
+        return cumulative_thresholds(rows, "source", "h", "tokens", rows.sparkSession.createDataFrame(filled, "source string, target_id int, target bigint"))
     whole = live.agg(F.min(F.col("tokens") / F.col("weight")).alias("t"))
     shares = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("target_id"), F.lit(float(s)).alias("share")) for k, s in enumerate(tiers)]))
     targets = (live.crossJoin(F.broadcast(whole)).select("source", "weight", "t", shares.alias("s"))
@@ -40,7 +55,7 @@ def mixture_thresholds(rows: DataFrame, weights: dict[str, float] | None = None,
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, tiers=TIERS,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:", budget: int | None = None) -> DataFrame:
     """Rows (doc_id, source, tokens, tier) of the documents in the mixture; tier is the smallest nested budget that
     holds the document, so tier <= k is the mixture of budget k.
 
@@ -48,7 +63,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     tokens of a mixed source are kept where their hash is below the threshold. Repeated ids share a hash and stay
     or go together. An empty table gives no rows; other columns are ignored."""
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key_hash(F.col(id_col), seed).alias("h"), token_count(F.col(text_col)).alias("tokens")))
-    return _tiered(rows, mixture_thresholds(rows, weights, alpha, tiers)).select("doc_id", "source", "tokens", "tier")
+    return _tiered(rows, mixture_thresholds(rows, weights, alpha, tiers, budget)).select("doc_id", "source", "tokens", "tier")
 
 
 def _tiered(rows: DataFrame, thresholds: DataFrame, source: str = "source", h: str = "h") -> DataFrame:
@@ -60,11 +75,11 @@ def _tiered(rows: DataFrame, thresholds: DataFrame, source: str = "source", h: s
 
 
 def mix_filter(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA,
-               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:", budget: int | None = None) -> DataFrame:
     """`docs`, all columns, less what the whole budget leaves out. Sums go over narrow rows; the documents
     themselves are only filtered by threshold, not shuffled or sorted. Cases as in mix()."""
     rows = cut(docs.select(F.col(source_col).alias("source"), key_hash(F.col(id_col), seed).alias("h"), token_count(F.col(text_col)).alias("tokens")))
-    limits = mixture_thresholds(rows, weights, alpha, (1.0,)).select(F.col("source").alias("_sv_source"), F.col("threshold").alias("_sv_threshold"))
+    limits = mixture_thresholds(rows, weights, alpha, (1.0,), budget).select(F.col("source").alias("_sv_source"), F.col("threshold").alias("_sv_threshold"))
     src, thr = fresh(docs, "source", "threshold")
     limits = limits.toDF(src, thr)
     kept = docs.join(F.broadcast(limits) if limits.count() <= 100_000 else limits, docs[source_col].eqNullSafe(limits[src]) & (key_hash(docs[id_col], seed) < limits[thr]), "left_semi")

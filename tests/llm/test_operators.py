@@ -176,6 +176,14 @@ def test_mixing_budgets_are_nested_and_met(spark, sf_dir):
         assert (used.reindex(w.index, fill_value=0) + longest >= share * whole * w - 1).all()
 
 
+def test_mixing_with_a_budget_is_not_set_by_the_smallest_source(spark):
+    rows = [(i, "word " * 10, "ab"[i % 2]) for i in range(200)] + [(999, "a straggler", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    used = {r["source"]: r["t"] for r in mixing.mix(docs, tiers=(1.0,), budget=1002).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert used == {"a": 500, "b": 500, None: 2}
+    assert mixing.mix_filter(docs, budget=10**9).count() == len(rows)
+
+
 # --- 4 AVI
 
 

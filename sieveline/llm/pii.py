@@ -23,7 +23,7 @@ PATTERN = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<aws>(?<!\w)AKIA[A-Z0-9]{12,20}(?!\w))"
     r"|(?P<secret>(?<=[\s=:\"'])(?<!\w)[0-9a-f]{16,64}(?!\w))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w]|[./-]\d))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w]|[./-]\d))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -150,17 +150,23 @@ class Pseudonymiser:
 
     def _date(self, value: str) -> str | None:
         sep = next(c for c in value if not c.isdigit())
-        ymd = value.split(sep)
-        iso = len(ymd[0]) == 4
-        try:
-            day = datetime.date(*map(int, ymd if iso else ymd[::-1])).toordinal() - DAY0
-        except ValueError:
+        parts = value.split(sep)
+        if len(parts) != 3 or not all(p.isdigit() for p in parts):
             return None
-        if not 0 <= day < DAYS:
-            return None
-        new = datetime.date.fromordinal(self.feistel(DAYS, "date")(day) + DAY0)
-        p = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-        return sep.join(p if iso else p[::-1])
+        # Places of year, month and day: year first, else day first, else month first.
+        for order in [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]:
+            try:
+                day = datetime.date(*(int(parts[k]) for k in order)).toordinal() - DAY0
+            except ValueError:
+                continue
+            if not 0 <= day < DAYS:
+                return None
+            new = datetime.date.fromordinal(self.feistel(DAYS, "date")(day) + DAY0)
+            width = 1 if any(len(p) == 1 for p in parts) else 2
+            for k, x in zip(order, (f"{new.year:04d}", f"{new.month:0{width}d}", f"{new.day:0{width}d}")):
+                parts[k] = x
+            return sep.join(parts)
+        return None
 
     def _iban(self, value: str) -> str | None:
         x = value.replace(" ", "")

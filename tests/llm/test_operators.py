@@ -533,6 +533,16 @@ def test_invalid_values_stay():
         assert p.text(t)[0] == t
 
 
+def test_dates_month_first_and_of_one_digit():
+    p = pii.Pseudonymiser("key")
+    day = lambda v, order: datetime.date(*(int(v.split("/")[k]) for k in order))
+    got = {v: p._date(v) for v in ("25/12/1980", "12/25/1980", "3/4/1980", "03/04/1980", "31/31/1980")}
+    assert got["31/31/1980"] is None
+    assert day(got["25/12/1980"], (2, 1, 0)) == day(got["12/25/1980"], (2, 0, 1)) != datetime.date(1980, 12, 25)
+    assert day(got["3/4/1980"], (2, 1, 0)) == day(got["03/04/1980"], (2, 1, 0)) != datetime.date(1980, 4, 3)
+    assert all(pii.PATTERN.search(f"born {v}.").group("date") == v for v in got)
+
+
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.integers(0, 10**15 - 1), min_size=2, max_size=20, unique=True))
 def test_cards_have_distinct_pseudonyms(bodies):

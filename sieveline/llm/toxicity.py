@@ -21,14 +21,17 @@ from .simhash import BUDGET, WIDE_BUDGET, Components, fingerprint
 MAX_PER_CLASS = 4000
 NEIGHBOURS, THRESHOLD = 15, 0.5
 PRIOR = 10.0
-BLOCK = 64
+#: Examples of a block; terms with a weight for every example; texts that are searched together.
+BLOCK, DENSE, QUERIES = 32, 512, 64
 #: Examples are ordered by so many of their terms of most weight.
 LEADING = 8
 EVIDENCE = 3
 WORD = re.compile(r"\w+")
 
-RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("vote", T.DoubleType()),
-                       T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("similarity", T.DoubleType())])))])
+
+def result(id_type: T.DataType) -> T.StructType:
+    found = T.StructType([T.StructField("doc_id", id_type), T.StructField("toxic", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+    return T.StructType([T.StructField("score", T.DoubleType()), T.StructField("vote", T.DoubleType()), T.StructField("evidence", T.ArrayType(found))])
 
 
 def words(text: str) -> list[str]:
@@ -42,68 +45,88 @@ def arrays(vector) -> tuple[np.ndarray, np.ndarray]:
     return vector
 
 
-def spans(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n numbers from start on, of one span after another, and the span of each."""
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) + (start - (np.cumsum(n) - n))[of], of
-
-
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of BLOCK examples, with the largest weight of each block that has any. Vectors
-    are dicts or pairs of arrays; weights are not negative."""
+    """Postings by term, and blocks of `block` examples with the largest weight of each common term. The `dense` terms
+    that most examples hold are common: they have a weight for every example, so that a block's part of their sums is a
+    matrix product. Vectors are dicts or pairs of arrays; weights are not negative."""
 
-    def __init__(self, vectors: list, n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list, n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
         pairs = [arrays(v) for v in vectors]
         docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
         terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in pairs]])
+        weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
+        head = np.sort(np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:dense])
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.slot[head] = np.arange(len(head))
+        common = self.slot[terms] >= 0
+        rows = np.zeros((self.blocks * block, len(head)))
+        rows[docs[common], self.slot[terms[common]]] = weights[common]
+        self.dense = rows.reshape(self.blocks, block, len(head))
+        self.max = self.dense.max(axis=1)
+        terms, docs, weights = (x[~common] for x in (terms, docs, weights))
         order = np.argsort(terms, kind="stable")
-        terms, self.docs = terms[order], docs[order]
-        self.weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])[order]
-        cell = terms * max(1, self.blocks) + self.docs // block
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.start, self.size = start.astype(np.int32), np.diff(np.r_[start, len(cell)]).astype(np.int32)
-        self.at = (self.docs[start] // block).astype(np.int32)
-        self.max = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0)
-        self.first = np.searchsorted(terms[start], np.arange(n_terms + 1))
+        self.docs, self.weights = docs[order].astype(np.int64), weights[order]
+        self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
         self.scored = 0
 
     def search(self, query, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest of positive cosine, with all that tie with the last, nearest first,
-        ties by number. The blocks of highest bound are scored first, then those whose bound reaches the k-th best."""
-        terms, q = arrays(query)
-        if not len(terms) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        cells, of = spans(self.first[terms], self.first[terms + 1] - self.first[terms])
-        q, at = q[of], self.at[cells]
-        bound = np.bincount(at, q * self.max[cells], self.blocks)
-        score, todo = np.zeros(self.n), bound > 0
+        ties by number."""
+        return self.search_many([query], k, [skip])[0]
+
+    def search_many(self, queries: list, k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of each query. The postings of its rare terms are summed; with the block maxima of its common terms
+        they bound each block. Blocks of highest bound are scored first, then those whose bound reaches the k-th best.
+        skip: an example that isn't to be found, by query."""
+        if not self.n or not queries:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        n = len(queries)
+        common, score = np.zeros((n, self.dense.shape[2])), np.zeros((n, self.blocks * self.block))
+        for i, (terms, q) in enumerate(map(arrays, queries)):
+            slot = self.slot[terms]
+            held = slot >= 0
+            common[i, slot[held]] = q[held]
+            terms, q = terms[~held], q[~held]
+            start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+            if len(size) and (total := int(size.sum())):
+                at = np.arange(total)
+                at += np.repeat(start - (np.cumsum(size) - size), size)
+                w = self.weights.take(at)
+                w *= np.repeat(q, size)
+                score[i] = np.bincount(self.docs.take(at), w, score.shape[1])
+        score = score.reshape(n, self.blocks, self.block)
+        bound = common @ self.max.T + score.max(axis=2)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, : 6 + k // self.block]
+        seen = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(seen, best, True, axis=1)
 
         def add(blocks: np.ndarray) -> None:
-            inside = blocks[at]
-            mine = cells[inside]
-            i, c = spans(self.start[mine], self.size[mine])
-            np.add(score, np.bincount(self.docs[i], q[inside][c] * self.weights[i], self.n), out=score)
+            for b in np.flatnonzero(blocks.any(axis=0)):
+                rows = np.flatnonzero(blocks[:, b])
+                score[rows, b] += common[rows] @ self.dense[b].T
+            for i, x in enumerate(skip or ()):
+                if x >= 0:
+                    score[i, x // self.block, x % self.block] = 0
             self.scored += int(blocks.sum())
 
-        def kth() -> float:
-            return np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-
-        best = np.zeros(self.blocks, bool)
-        best[np.argsort(-bound, kind="stable")[: 2 + k // self.block]] = True
-        for blocks in (best & todo, ~best & todo):
-            least = kth()
-            blocks &= bound >= least - 2e-6
-            if blocks.any():
-                add(blocks)
-            if skip >= 0:
-                score[skip] = 0
-        score = np.round(score, 6)
-        least = kth()
-        ids = np.flatnonzero((score > 0) & (score >= least))
-        ids = ids[np.lexsort((ids, -score[ids]))]
-        return ids, score[ids]
+        add(seen)
+        some = np.take_along_axis(score, best[:, :, None], axis=1).reshape(n, -1)
+        low = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] if some.shape[1] > k else np.zeros(n)
+        more = ~seen & (bound > 0) & (bound >= low[:, None] - 2e-6)
+        add(more)
+        seen |= more
+        out = []
+        for i in range(n):
+            at = np.flatnonzero(seen[i])
+            s = np.round(score[i, at].ravel(), 6)
+            least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+            found = np.flatnonzero((s > 0) & (s >= least))
+            ids = at[found // self.block] * self.block + found % self.block
+            order = np.lexsort((ids, -s[found]))
+            out.append((ids[order], s[found][order]))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +153,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """terms and their weights (idf and class evidence); vectors: (terms, weights) of each example."""
+    """terms and their weights (idf and class evidence); vectors: (terms, weights) of each example; id_type: that of
+    their ids."""
 
-    def __init__(self, ids, labels, terms, weight, vectors, class_weight):
-        # Examples with the same leading terms share blocks, whose bounds are then tight.
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.lexsort((vectors[i][0], -vectors[i][1]))[:LEADING]].tolist(), ids[i]))
+    def __init__(self, ids, labels, terms, weight, vectors, class_weight, id_type: T.DataType | None = None):
+        # Examples of like language and leading terms share blocks, whose bounds are then tight.
+        side = _sides(vectors, len(terms))
+        order = sorted(range(len(ids)), key=lambda i: (side[i], vectors[i][0][np.lexsort((vectors[i][0], -vectors[i][1]))[:LEADING]].tolist(), ids[i]))
         ids, labels, vectors = ([x[i] for i in order] for x in (ids, labels, vectors))
-        self.ids, self.labels, self.weight = ids, np.asarray(labels, np.float64), weight
+        self.ids, self.labels, self.weight, self.id_type = ids, np.asarray(labels, np.float64), weight, id_type or T.LongType()
+        self.rank = np.argsort(np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64))
         self.number = {t: i for i, t in enumerate(terms)}
         self.index = BlockMaxIndex(vectors, len(terms))
         sample = np.where(self.labels > 0, class_weight[1], class_weight[0])
-        raw = np.array([self._vote(*self.index.search(v, NEIGHBOURS, skip=i)) for i, v in enumerate(vectors)])
+        raw = np.array([self._vote(*x) for a in range(0, len(ids), QUERIES) for x in self.index.search_many(vectors[a : a + QUERIES], NEIGHBOURS, list(range(a, min(len(ids), a + QUERIES))))])
         self.edges, self.prob = isotonic(raw, self.labels, sample) if len(raw) else (np.zeros(0), np.zeros(0))
 
     def _vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
@@ -156,13 +182,28 @@ class Model:
         counts = {number[t]: n for t, n in Counter(words(text)).items() if t in number}
         return weigh(*arrays(counts), self.weight)
 
-    def __call__(self, text: str | None) -> tuple[float, float, list]:
-        v = self.vector(text or "")
-        ids, sims = self.index.search(v, NEIGHBOURS)
-        vote = self._vote(ids, sims)
-        k = min(int(np.searchsorted(self.edges, vote - 1e-9)), len(self.prob) - 1)
-        score = float(self.prob[k]) if len(self.prob) else 0.0
-        return score, vote, [{"doc_id": self.ids[i], "toxic": int(self.labels[i]), "similarity": float(s)} for i, s in zip(ids[:EVIDENCE], sims[:EVIDENCE])]
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, float, list]]:
+        """(score, vote, evidence) of each text; ties in the evidence by id."""
+        out = []
+        for a in range(0, len(texts), QUERIES):
+            for ids, sims in self.index.search_many([self.vector(t or "") for t in texts[a : a + QUERIES]], NEIGHBOURS):
+                vote = self._vote(ids, sims)
+                k = min(int(np.searchsorted(self.edges, vote - 1e-9)), len(self.prob) - 1)
+                first = np.lexsort((self.rank[ids], -sims))[:EVIDENCE]
+                out.append((float(self.prob[k]) if len(self.prob) else 0.0, vote, [{"doc_id": self.ids[ids[j]], "toxic": int(self.labels[ids[j]]), "similarity": float(sims[j])} for j in first]))
+        return out
+
+
+def _sides(vectors: list, n_terms: int) -> np.ndarray:
+    """Which sides of the three leading axes of their commonest terms the vectors lie on: a number, language above
+    all."""
+    held = BlockMaxIndex(vectors, n_terms)
+    rows = held.dense.reshape(held.blocks * held.block, held.dense.shape[2])[: held.n]
+    if not rows.size:
+        return np.zeros(len(vectors), np.int64)
+    rows = rows - rows.mean(axis=0)
+    axes = np.linalg.eigh(rows.T @ rows)[1][:, ::-1][:, :3]
+    return (rows @ axes > 0) @ (1 << np.arange(axes.shape[1]))
 
 
 def weigh(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return Model([], [], [], np.zeros(0), [], (1.0, 1.0))
+        return Model([], [], [], np.zeros(0), [], (1.0, 1.0), rows.schema["id"].dataType)
     df = rows.select("label", F.explode(F.map_keys("terms")).alias("t")).groupBy("t").agg(F.sum("label").cast("double").alias("x"), F.sum(1 - F.col("label")).cast("double").alias("y")).toArrow()
     order = np.argsort(df["t"].to_numpy(zero_copy_only=False).astype(object), kind="stable")
     terms = df["t"].take(order).to_pylist()
@@ -234,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     vectors = [weigh(np.array(t.values, np.int64), np.array(c.values, np.float64), weight) for t, c in zip(got["at"], got["n"])]
     ids, labelled = got["id"].to_pylist(), got["label"].to_pylist()
     real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Model(ids, labelled, terms, weight, vectors, (real[0] / neg, real[1] / pos))
+    return Model(ids, labelled, terms, weight, vectors, (real[0] / neg, real[1] / pos), rows.schema["id"].dataType)
 
 
 def evidence(x: np.ndarray, y: np.ndarray, pos: int, neg: int) -> np.ndarray:
@@ -275,6 +316,6 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            yield pd.DataFrame([m(t if isinstance(t, str) else None) for t in texts], columns=["score", "vote", "evidence"])
+            yield pd.DataFrame(m([t if isinstance(t, str) else None for t in texts]), columns=["score", "vote", "evidence"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, RESULT)(F.col(text_col)).alias("r")).select("doc_id", "r.*")
+    return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, result(model.id_type))(F.col(text_col)).alias("r")).select("doc_id", "r.*")

@@ -6,7 +6,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +65,26 @@ def scratch_table(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def document_counts(docs: DataFrame, text_col: str, n_terms: int, numberer: Callable) -> tuple[int, np.ndarray]:
+    """(documents, documents that hold each of n_terms terms), over all of docs. numberer() is called once a task and
+    gives a function from a text to the numbers of its terms, each once. Each task sends one count per term it met."""
+
+    def count(batches):
+        numbers, n, seen = numberer(), 0, np.zeros(n_terms, np.int64)
+        for pdf in batches:
+            n += len(pdf)
+            for t in pdf["t"]:
+                if t:
+                    seen[list(numbers(t))] += 1
+        held = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": np.r_[-1, held], "n": np.r_[n, seen[held]]})
+
+    total = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(n_terms + 1, np.int64)
+    seen[total["term"].to_numpy()] = total["n"].to_numpy()
+    return int(seen[-1]), seen[:-1]
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that don't clash with those of `df`, ignoring case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, key_hash
+from .common import cut, document_counts, key_hash
 
 #: Production parameters. MAX_PER_CLASS bounds the labelled rows that the model is fitted on, taken by hash of
-#: their id; VOCABULARY and DIMS bound its size; NEIGHBOURS vote; a document is kept from THRESHOLD on.
+#: their id, and with them the vocabulary: all terms that two of them share. DIMS axes are found by ITERATIONS of a
+#: block of DIMS + SPARE vectors; NEIGHBOURS vote; a document is kept from THRESHOLD on.
 MAX_PER_CLASS = 2000
-VOCABULARY, DIMS = 2000, 48
+DIMS, SPARE, ITERATIONS = 48, 16, 15
 NEIGHBOURS, THRESHOLD = 15, 0.5
 BLOCK = 256
 
@@ -34,8 +35,8 @@ def shape(token: str) -> str:
     """Runs of capitals to A, of other letters to a, capitalised words to Aa, digits to 9; the rest as it is."""
     core = token.rstrip(".,;:!?%&*#$")
     if core.isalpha():
-        return (_kind(core) + token[len(core) :])[:12]
-    return DIGITS.sub("9", LETTERS.sub(lambda m: _kind(m.group()), token))[:12]
+        return _kind(core) + token[len(core) :]
+    return DIGITS.sub("9", LETTERS.sub(lambda m: _kind(m.group()), token))
 
 
 def terms(text: str) -> Counter:
@@ -52,6 +53,10 @@ def terms(text: str) -> Counter:
     return found
 
 
+#: A task keeps the terms of so many tokens of at most so many characters at hand.
+KNOWN, KNOWN_CHARS = 100_000, 40
+
+
 class Rows:
     """Counts of a text's terms by their row in the vocabulary; tokens met before are looked up, not taken apart."""
 
@@ -63,10 +68,12 @@ class Rows:
         for t, n in Counter(tokens).items():
             pair = known.get(t)
             if pair is None:
-                if len(known) > 100_000:
-                    known.clear()
                 v = self.vocabulary
-                pair = known[t] = tuple(r for r in (v.get("s:" + shape(t)), v.get("w:" + t.lower().strip(".,;:!?"))) if r is not None)
+                pair = tuple(r for r in (v.get("s:" + shape(t)), v.get("w:" + t.lower().strip(".,;:!?"))) if r is not None)
+                if len(t) <= KNOWN_CHARS:
+                    if len(known) > KNOWN:
+                        known.clear()
+                    known[t] = pair
             for r in pair:
                 out[r] = out.get(r, 0) + n
         again = self.vocabulary.get("r:")
@@ -121,26 +128,48 @@ class Model:
         return out
 
 
+def leading_axes(start: np.ndarray, at: np.ndarray, values: np.ndarray, n_terms: int, dims: int) -> np.ndarray:
+    """(n_terms, dims): leading right singular vectors of the sparse rows (at, values)[start[i] : start[i + 1]], by
+    block power iteration from a fixed start, which never forms a matrix of terms by terms."""
+    n = len(start) - 1
+    width = min(dims + SPARE, n, n_terms)
+    spans = list(zip(start[:-1].tolist(), start[1:].tolist()))
+    by_term = np.argsort(at, kind="stable")
+    row_of = np.repeat(np.arange(n), np.diff(start))[by_term]
+    sorted_values, sorted_terms = values[by_term], at[by_term]
+    q = np.random.default_rng(0).standard_normal((n, width)).astype(np.float32)
+    basis = np.zeros((n_terms, width), np.float32)
+    for _ in range(ITERATIONS):
+        basis[:] = 0
+        for a in range(0, len(by_term), 1 << 17):  # rows^T q, sums by term
+            t = sorted_terms[a : a + (1 << 17)]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            basis[t[first]] += np.add.reduceat(sorted_values[a : a + (1 << 17), None] * q[row_of[a : a + (1 << 17)]], first, axis=0)
+        basis = np.linalg.qr(basis)[0]
+        q = np.stack([values[a:b] @ basis[at[a:b]] for a, b in spans])
+    axes = np.linalg.svd(q, full_matrices=False)[2][:dims]
+    return basis @ axes.T
+
+
 def fit(vocabulary: list[tuple[str, int]], rows: list[tuple[list[int], list[int]]], labels: list[int], dims: int = DIMS,
-        class_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Latent-semantic space of the examples: (1 + log tf) * idf over the vocabulary [(term, examples with it)], unit
-    rows, then the leading eigenvectors of the term-term matrix. rows: (vocabulary rows, counts) of each example.
-    Without examples the model scores everything 0."""
+        class_weight: tuple[float, float] = (1.0, 1.0), n_docs: int | None = None) -> Model:
+    """Latent-semantic space of the examples: (1 + log tf) * idf over the vocabulary [(term, documents with it)] of
+    n_docs documents (the examples, if not given), unit rows, and their leading right singular vectors. rows:
+    (vocabulary rows, counts) of each example. Without examples the model scores everything 0."""
     n, v = len(rows), len(vocabulary)
-    if not n or not v:
+    start = np.cumsum([0, *[len(at) for at, _ in rows]])
+    if not n or not v or not start[-1]:
         return Model({}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
-    idf = np.log(1 + n / np.array([d for _, d in vocabulary], np.float32)).astype(np.float32)
-    matrix = np.zeros((n, v), np.float32)
-    for i, (at, counts) in enumerate(rows):
-        matrix[i, at] = log_tf(counts)
-    matrix *= idf
-    matrix = unit(matrix)
-    d = min(dims, v)
-    _, vectors = np.linalg.eigh(matrix.T @ matrix)
-    basis = vectors[:, ::-1][:, :d].astype(np.float32)
+    idf = np.log(1 + (n_docs or n) / np.maximum(1, np.array([d for _, d in vocabulary], np.float32))).astype(np.float32)
+    at = np.concatenate([np.asarray(a, np.int64) for a, _ in rows])
+    values = (1 + np.log(np.concatenate([np.asarray(c, np.float32) for _, c in rows]))) * idf[at]
+    norm = np.sqrt(np.bincount(np.repeat(np.arange(n), np.diff(start)), values**2, n)).astype(np.float32)
+    values = values / np.repeat(norm, np.diff(start))
+    basis = leading_axes(start, at, values.astype(np.float32), v, dims)
     y = np.asarray(labels, np.float64)
+    vectors = unit(np.stack([values[a:b] @ basis[at[a:b]] for a, b in zip(start[:-1], start[1:])]).astype(np.float32))
     # The rows' lengths cancel: embedded texts are scaled to unit length too.
-    return Model({t: i for i, (t, _) in enumerate(vocabulary)}, idf[:, None] * basis, unit(matrix @ basis), y, np.where(y > 0, class_weight[1], class_weight[0]))
+    return Model({t: i for i, (t, _) in enumerate(vocabulary)}, idf[:, None] * basis, vectors, y, np.where(y > 0, class_weight[1], class_weight[0]))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -165,22 +194,22 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
           per_class: int = MAX_PER_CLASS) -> Model:
-    """Fit on a bounded labelled sample. A class that the bound thins is weighted up to its number of labels, halved
+    """Fit on a bounded labelled sample; document frequencies of its terms come from all of docs. A class that the bound thins is weighted up to its number of labels, halved
     in log scale, so that the vote leans to the larger class but a clear neighbourhood of the smaller one wins."""
     sample = cut(sample_labelled(docs, labels, label_col, id_col, text_col, per_class))
-    df = sample.select(F.explode(term_set("text")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    vocabulary = [(r["t"], r["n"]) for r in df.orderBy(F.desc("n"), "t").limit(VOCABULARY).collect()]
-    got = sample.select("id", "label", _rows_udf(docs.sparkSession, vocabulary)("text").alias("r")).collect()
-    got.sort(key=lambda r: r["id"])
-    have = Counter(r["label"] for r in got)
+    shared = sample.select(F.explode(term_set("text")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
+    vocabulary = sorted(shared.toArrow()["t"].to_pylist())
+    numbers = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    n_docs, held = document_counts(docs, text_col, len(vocabulary), lambda: Rows(numbers.value))
+    got = sample.select("id", "label", _rows_udf(numbers)("text").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
+    label = got["label"].to_pylist()
+    have = Counter(label)
     real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = tuple(math.sqrt(real.get(c, 0) / have[c]) if have[c] else 1.0 for c in (0, 1))
-    return fit(vocabulary, [(r["r"]["at"], r["r"]["n"]) for r in got], [r["label"] for r in got], class_weight=weight)
-
+    return fit(list(zip(vocabulary, held.tolist())), [(a.values.to_numpy(), n.values.to_numpy()) for a, n in zip(got["at"], got["n"])], label, class_weight=weight, n_docs=n_docs)
 
-def _rows_udf(spark, vocabulary: list[tuple[str, int]]):
-    shared = spark.sparkContext.broadcast({t: i for i, (t, _) in enumerate(vocabulary)})
 
+def _rows_udf(shared):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = Rows(shared.value)
         for texts in batches:
@@ -206,7 +235,8 @@ def quality_filter(docs: DataFrame, source: DataFrame, labels: DataFrame, text_c
     """`docs`, all columns, less the rows that score below threshold; with the score if score_col names one.
 
     The model is fitted on labelled rows of `source`. Null, empty and blank texts, and any without a known term,
-    score 0 and go. Repeated rows score alike. Row by row: no shuffle. Without labels every row scores 0."""
+    score 0 and go. Repeated rows score alike. Row by row: no shuffle. Without labels every row scores 0; with labels of
+    one class a text near any example scores 1 (class 1) or 0 (class 0)."""
     score = scorer(docs.sparkSession, train(source, labels, id_col=id_col, text_col=text_col))
     if score_col is None:
         return docs.where(score(docs[text_col]) >= threshold)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, document_counts
 from .quality import sample_labelled
 from .simhash import BUDGET, WIDE_BUDGET, Components, fingerprint
 
@@ -218,28 +218,6 @@ def word_counts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: dict(Counter(words(t))) if t else {})
 
 
-def document_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[int, np.ndarray]:
-    """(documents, documents that hold each term), over all of docs. Each task sends one count per term it met."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-
-    def count(batches):
-        number, n = shared.value, 0
-        seen = np.zeros(len(number), np.int64)
-        for pdf in batches:
-            n += len(pdf)
-            for t in pdf["t"]:
-                if t:
-                    seen[[number[w] for w in set(words(t)) if w in number]] += 1
-        held = np.flatnonzero(seen)
-        yield pd.DataFrame({"term": np.r_[-1, held], "n": np.r_[n, seen[held]]})
-
-    parts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "term int, n bigint")
-    total = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(len(terms) + 1, np.int64)
-    seen[total["term"].to_numpy()] = total["n"].to_numpy()
-    return int(seen[-1]), seen[:-1]
-
-
 def _first_copies(rows: DataFrame) -> DataFrame:
     """ids of the examples less near copies, which would make any word of theirs look significant. The examples are
     bounded, so their fingerprints are compared on the driver."""
@@ -269,9 +247,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     order = np.argsort(df["t"].to_numpy(zero_copy_only=False).astype(object), kind="stable")
     terms = df["t"].take(order).to_pylist()
     x, y = (df[c].to_numpy()[order] for c in "xy")
-    total, seen = document_counts(docs, terms, text_col)
+    numbers = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def numberer():
+        number = numbers.value
+        return lambda text: [number[w] for w in set(words(text)) if w in number]
+
+    total, seen = document_counts(docs, text_col, len(terms), numberer)
     weight = np.log(1 + total / np.maximum(1, seen)) * evidence(x, y, pos, neg)
-    got = rows.select("id", "label", _numbered(docs.sparkSession, terms)("terms").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
+    got = rows.select("id", "label", _numbered(numbers)("terms").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
     vectors = [weigh(np.array(t.values, np.int64), np.array(c.values, np.float64), weight) for t, c in zip(got["at"], got["n"])]
     ids, labelled = got["id"].to_pylist(), got["label"].to_pylist()
     real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -291,9 +275,7 @@ def evidence(x: np.ndarray, y: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return np.sqrt(np.maximum(g, 1))
 
 
-def _numbered(spark, terms: list[str]):
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-
+def _numbered(shared):
     def run(maps: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         number = shared.value
         for batch in maps:

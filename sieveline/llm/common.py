@@ -12,10 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows and bytes above which a side is no longer broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Bytes above which a side is no longer broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -65,6 +65,27 @@ def scratch_table(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held_bytes(df: DataFrame) -> int:
+    """About the bytes that the rows of `df` take, strings by their length; call it on a table that is written, or a
+    checkpoint."""
+    def of(field) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+        if isinstance(field.dataType, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 16 + 24
+        return F.lit(16)
+
+    each = sum((of(f) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(each.cast("bigint")), F.lit(0))).first()[0]
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` marked for broadcast if its rows hold no more than `most` bytes (BROADCAST_BYTES); beyond that Spark joins
+    it by a shuffle."""
+    return F.broadcast(df) if held_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
+
+
 def document_counts(docs: DataFrame, text_col: str, n_terms: int, numberer: Callable) -> tuple[int, np.ndarray]:
     """(documents, documents that hold each of n_terms terms), over all of docs. numberer() is called once a task and
     gives a function from a text to the numbers of its terms, each once. Each task sends one count per term it met."""
@@ -75,7 +96,7 @@ def document_counts(docs: DataFrame, text_col: str, n_terms: int, numberer: Call
             n += len(pdf)
             for t in pdf["t"]:
                 if t:
-                    seen[list(numbers(t))] += 1
+                    seen[numbers(t)] += 1
         held = np.flatnonzero(seen)
         yield pd.DataFrame({"term": np.r_[-1, held], "n": np.r_[n, seen[held]]})
 

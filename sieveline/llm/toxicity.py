@@ -38,6 +38,22 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def hashes(terms) -> np.ndarray:
+    """64-bit hashes of terms, which stand for them: a model of hundreds of thousands of terms holds no strings."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(t) for t in terms], np.uint64).view(np.int64)
+
+
+def number(terms: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted terms, whether they are there) of hashes."""
+    if not len(terms):
+        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+    at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
+    return at, terms[at] == found
+
+
 def arrays(vector) -> tuple[np.ndarray, np.ndarray]:
     """(terms, weights) of a dict, or of such a pair."""
     if isinstance(vector, dict):
@@ -153,8 +169,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """terms and their weights (idf and class evidence); vectors: (terms, weights) of each example; id_type: that of
-    their ids."""
+    """Sorted hashes of terms and their weights (idf and class evidence); vectors: (terms, weights) of each example;
+    id_type: that of their ids."""
 
     def __init__(self, ids, labels, terms, weight, vectors, class_weight, id_type: T.DataType | None = None):
         # Examples of like language and leading terms share blocks, whose bounds are then tight.
@@ -163,7 +179,7 @@ class Model:
         ids, labels, vectors = ([x[i] for i in order] for x in (ids, labels, vectors))
         self.ids, self.labels, self.weight, self.id_type = ids, np.asarray(labels, np.float64), weight, id_type or T.LongType()
         self.rank = np.argsort(np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64))
-        self.number = {t: i for i, t in enumerate(terms)}
+        self.terms = np.asarray(terms, np.int64)
         self.index = BlockMaxIndex(vectors, len(terms))
         sample = np.where(self.labels > 0, class_weight[1], class_weight[0])
         raw = np.array([self._vote(*x) for a in range(0, len(ids), QUERIES) for x in self.index.search_many(vectors[a : a + QUERIES], NEIGHBOURS, list(range(a, min(len(ids), a + QUERIES))))])
@@ -178,9 +194,9 @@ class Model:
         return round(float((w * self.labels[ids]).sum() / (w.sum() + PRIOR)), 6)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        number = self.number
-        counts = {number[t]: n for t, n in Counter(words(text)).items() if t in number}
-        return weigh(*arrays(counts), self.weight)
+        counts = Counter(words(text))
+        at, known = number(self.terms, hashes(counts))
+        return weigh(at[known], np.fromiter(counts.values(), np.float64, len(counts))[known], self.weight)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, float, list]]:
         """(score, vote, evidence) of each text; ties in the evidence by id."""
@@ -213,9 +229,15 @@ def weigh(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np
     return terms, v / norm if norm else v
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+@F.pandas_udf(T.MapType(T.LongType(), T.IntegerType()))
 def word_counts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: dict(Counter(words(t))) if t else {})
+    """Counts of words by their hash."""
+
+    def of(text: str | None) -> dict[int, int]:
+        counts = Counter(words(text)) if text else Counter()
+        return dict(zip(hashes(counts).tolist(), counts.values()))
+
+    return texts.map(of)
 
 
 def _first_copies(rows: DataFrame) -> DataFrame:
@@ -242,20 +264,24 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return Model([], [], [], np.zeros(0), [], (1.0, 1.0), rows.schema["id"].dataType)
+        return Model([], [], np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), rows.schema["id"].dataType)
     df = rows.select("label", F.explode(F.map_keys("terms")).alias("t")).groupBy("t").agg(F.sum("label").cast("double").alias("x"), F.sum(1 - F.col("label")).cast("double").alias("y")).toArrow()
-    order = np.argsort(df["t"].to_numpy(zero_copy_only=False).astype(object), kind="stable")
-    terms = df["t"].take(order).to_pylist()
-    x, y = (df[c].to_numpy()[order] for c in "xy")
-    numbers = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    order = np.argsort(df["t"].to_numpy(), kind="stable")
+    terms, x, y = (df[c].to_numpy()[order] for c in "txy")
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def numberer():
-        number = numbers.value
-        return lambda text: [number[w] for w in set(words(text)) if w in number]
+        terms = shared.value
+
+        def of(text: str) -> np.ndarray:
+            at, known = number(terms, hashes(set(words(text))))
+            return at[known]
+
+        return of
 
     total, seen = document_counts(docs, text_col, len(terms), numberer)
     weight = np.log(1 + total / np.maximum(1, seen)) * evidence(x, y, pos, neg)
-    got = rows.select("id", "label", _numbered(numbers)("terms").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
+    got = rows.select("id", "label", _numbered(shared)("terms").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
     vectors = [weigh(np.array(t.values, np.int64), np.array(c.values, np.float64), weight) for t, c in zip(got["at"], got["n"])]
     ids, labelled = got["id"].to_pylist(), got["label"].to_pylist()
     real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -277,10 +303,9 @@ def evidence(x: np.ndarray, y: np.ndarray, pos: int, neg: int) -> np.ndarray:
 
 def _numbered(shared):
     def run(maps: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        number = shared.value
         for batch in maps:
             pairs = [dict(m) for m in batch]
-            yield pd.DataFrame({"at": [[number[t] for t in p] for p in pairs], "n": [list(p.values()) for p in pairs]})
+            yield pd.DataFrame({"at": [np.searchsorted(shared.value, np.fromiter(p, np.int64, len(p))).tolist() for p in pairs], "n": [list(p.values()) for p in pairs]})
 
     return F.pandas_udf(run, T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
 

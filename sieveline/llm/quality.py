@@ -200,7 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     shared = sample.select(F.explode(term_set("text")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
     vocabulary = sorted(shared.toArrow()["t"].to_pylist())
     numbers = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
-    n_docs, held = document_counts(docs, text_col, len(vocabulary), lambda: Rows(numbers.value))
+
+    def numberer():
+        rows = Rows(numbers.value)
+        return lambda text: list(rows(text))
+
+    n_docs, held = document_counts(docs, text_col, len(vocabulary), numberer)
     got = sample.select("id", "label", _rows_udf(numbers)("text").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
     label = got["label"].to_pylist()
     have = Counter(label)

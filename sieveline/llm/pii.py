@@ -3,18 +3,24 @@
 import datetime
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import replace_columns
+from .common import fresh, replace_columns
 
-#: Production parameters. The key is a secret of the deployment; equal keys give equal pseudonyms.
-KEY = "sieveline-demo-key"
+#: Production parameters. The key is a secret of the deployment, in the session's configuration under KEY_CONF; equal
+#: keys give equal pseudonyms. Without one a key is drawn that ends with the query.
+KEY_CONF = "spark.sieveline.pseudonym.key"
 ROUNDS = 8
+#: Mail names of at most so many letters and digits may become any of them, as few have their very classes.
+SHORT_NAME = 3
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # 1900-01-01 to 2099-12-31
 
 #: Candidates in order of precedence. A candidate counts only if its validator accepts it.
@@ -77,6 +83,43 @@ class Feistel:
         return x
 
 
+class Derangement:
+    """A keyed permutation of [0, n) without a fixed point (n > 1): into Feistel order, a keyed step around the ring, and
+    back."""
+
+    def __init__(self, key: str | bytes, n: int, tweak: str = ""):
+        self.n, self.feistel = n, Feistel(key, n, tweak)
+        self.step = 1 + int.from_bytes(hashlib.blake2b(b"step", key=self.feistel.key, digest_size=32).digest(), "big") % max(1, n - 1)
+
+    def __call__(self, x: int) -> int:
+        return self.feistel.inverse((self.feistel(x) + self.step) % self.n) if self.n > 1 else x
+
+    def inverse(self, x: int) -> int:
+        return self.feistel.inverse((self.feistel(x) - self.step) % self.n) if self.n > 1 else x
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """The characters that c may become: ASCII letters of its case, digits, else letters or digits of its category in
+    its 256 code points (in its plane, if it is alone there); '' where it stays."""
+    if c in "0123456789":
+        return "0123456789"
+    if c.isascii():
+        return "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else ""
+    if not c.isalnum():
+        return ""
+    kind = unicodedata.category(c)
+    for size in (256, 65536):
+        first = ord(c) // size * size
+        same = "".join(x for x in map(chr, range(max(128, first), first + size)) if unicodedata.category(x) == kind and x.isalnum())
+        if len(same) > 1:
+            return same
+    return ""
+
+
+ALPHANUMERIC = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def luhn_digit(payload: str) -> str:
     s = sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(payload))))
     return str(-s % 10)
@@ -93,30 +136,36 @@ def _into(template: str, digits: str) -> str:
 
 
 class Pseudonymiser:
-    """replace() gives the pseudonym of a valid value, else None. Values that differ in layout only have pseudonyms
-    that differ in layout only."""
+    """replace() gives the pseudonym of a valid value, never the value itself, else None. Values that differ in layout
+    only have pseudonyms that differ in layout only. Without a key one is drawn."""
 
-    def __init__(self, key: str = KEY):
-        self.key, self._made = key, {}
+    def __init__(self, key: str | None = None):
+        self.key, self._made = key or secrets.token_hex(32), {}
 
-    def feistel(self, n: int, tweak: str) -> Feistel:
+    def permutation(self, n: int, tweak: str) -> Derangement:
         if (n, tweak) not in self._made:
-            self._made[n, tweak] = Feistel(self.key, n, tweak)
+            if len(self._made) > 10_000:
+                self._made.clear()
+            self._made[n, tweak] = Derangement(self.key, n, tweak)
         return self._made[n, tweak]
 
     def replace(self, kind: str, value: str) -> str | None:
-        return getattr(self, "_" + kind)(value)
+        new = getattr(self, "_" + kind)(value)
+        return None if new == value else new
 
-    def _digits(self, value: str, tweak: str) -> str:
-        return str(self.feistel(10 ** len(value), tweak)(int(value))).zfill(len(value))
+    def _digits(self, value: str, tweak: str, valid=lambda d: True) -> str:
+        """Cycle-walking keeps the permutation within the valid values; where value alone is valid it comes back."""
+        p, x = self.permutation(10 ** len(value), tweak), int(value)
+        while True:
+            x = p(x)
+            if valid(d := str(x).zfill(len(value))) or d == value:
+                return d
 
     def _card(self, value: str) -> str | None:
         d = re.sub(r"\D", "", value)
         if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
             return None
-        body = self._digits(d[:-1], "card")
-        while body == d[:-1] or len(set(body)) == 1:  # walk on: never the value itself, never one that isn't valid
-            body = self._digits(body, "card")
+        body = self._digits(d[:-1], "card", lambda x: len(set(x)) > 1)
         return _into(value, body + luhn_digit(body))
 
     def _ssn(self, value: str) -> str | None:
@@ -124,14 +173,7 @@ class Pseudonymiser:
             return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
         d = value.replace("-", "")
-        return _into(value, self._walk(d, "ssn", valid)) if valid(d) else None
-
-    def _walk(self, d: str, tweak: str, valid) -> str:
-        """Cycle-walking keeps the permutation within the valid values."""
-        x = self._digits(d, tweak)
-        while not valid(x):
-            x = self._digits(x, tweak)
-        return x
+        return _into(value, self._digits(d, "ssn", valid)) if valid(d) else None
 
     def _phone(self, value: str) -> str | None:
         d = re.sub(r"\D", "", value)
@@ -145,7 +187,7 @@ class Pseudonymiser:
         parts = value.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts) or int(parts[0]) == 0:
             return None
-        x = self.feistel(2**32 - 2**24, "ip")(int.from_bytes(bytes(map(int, parts)), "big") - 2**24) + 2**24
+        x = self.permutation(2**32 - 2**24, "ip")(int.from_bytes(bytes(map(int, parts)), "big") - 2**24) + 2**24
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _date(self, value: str) -> str | None:
@@ -161,7 +203,7 @@ class Pseudonymiser:
                 continue
             if not 0 <= day < DAYS:
                 return None
-            new = datetime.date.fromordinal(self.feistel(DAYS, "date")(day) + DAY0)
+            new = datetime.date.fromordinal(self.permutation(DAYS, "date")(day) + DAY0)
             width = 1 if any(len(p) == 1 for p in parts) else 2
             for k, x in zip(order, (f"{new.year:04d}", f"{new.month:0{width}d}", f"{new.day:0{width}d}")):
                 parts[k] = x
@@ -177,32 +219,34 @@ class Pseudonymiser:
         new = iter(x[:2] + f"{check:02d}" + body)
         return "".join(c if c == " " else next(new) for c in value)
 
-    def _mixed(self, value: str, tweak: str) -> str:
-        """Each digit stays a digit, each letter a letter of its case; other characters stay."""
-        classes = [("0123456789", c) if c in "0123456789" else ("abcdefghijklmnopqrstuvwxyz", c) if "a" <= c <= "z" else ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", c) if "A" <= c <= "Z" else ("", c) for c in value]
-        n = x = 0
-        n = 1
-        for alphabet, c in classes:
-            if alphabet:
-                x, n = x * len(alphabet) + alphabet.index(c), n * len(alphabet)
-        x, out = self.feistel(n, tweak + ":" + "".join(a[:1] or c for a, c in classes))(x), []
-        for alphabet, c in reversed(classes):
-            if alphabet:
-                x, r = divmod(x, len(alphabet))
-                out.append(alphabet[r])
+    def _mixed(self, value: str, tweak: str, of=alphabet) -> str:
+        """Each character becomes one of its alphabet; those without one stay."""
+        sets = [of(c) for c in value]
+        n, x = 1, 0
+        for chars, c in zip(sets, value):
+            if chars:
+                x, n = x * len(chars) + chars.index(c), n * len(chars)
+        x, out = self.permutation(n, tweak + ":" + "".join(chars[:1] or c for chars, c in zip(sets, value)))(x), []
+        for chars, c in zip(reversed(sets), reversed(value)):
+            if chars:
+                x, r = divmod(x, len(chars))
+                out.append(chars[r])
             else:
                 out.append(c)
         return "".join(reversed(out))
 
     def _email(self, value: str) -> str | None:
+        """The domain stays: it names the provider."""
         local, _, domain = value.partition("@")
+        if sum(c in ALPHANUMERIC for c in local) <= SHORT_NAME and local.isascii():
+            return self._mixed(local, "short", lambda c: ALPHANUMERIC if c in ALPHANUMERIC else "") + "@" + domain
         return self._mixed(local, "email") + "@" + domain
 
     def _aws(self, value: str) -> str | None:
         return "AKIA" + self._mixed(value[4:], "aws")
 
     def _secret(self, value: str) -> str | None:
-        return f"{self.feistel(16 ** len(value), 'hex')(int(value, 16)):0{len(value)}x}"
+        return f"{self.permutation(16 ** len(value), 'hex')(int(value, 16)):0{len(value)}x}"
 
     def text(self, text: str | None) -> tuple[str | None, int, list[str]]:
         if not text:
@@ -226,10 +270,10 @@ class Pseudonymiser:
 
     def _retry(self, kind: str, value: str) -> tuple[str | None, str, str]:
         if kind == "secret" and value.isdigit():
-            return self._card(value), value, "card"
+            return self.replace("card", value), value, "card"
         if kind == "card":  # a number beside other digits: its longest valid part before a separator
             for end in sorted((m.start() for m in re.finditer(r"[ -]", value)), reverse=True):
-                if (new := self._card(value[:end])) is not None:
+                if (new := self.replace("card", value[:end])) is not None:
                     return new, value[:end], "card"
         return None, value, kind
 
@@ -246,19 +290,19 @@ def pseudonymise_udf(spark, key: str):
     return F.pandas_udf(run, RESULT)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """`docs`, all columns, with pseudonyms in the text column, and n_pii (their number) and kinds (sorted).
 
-    Card numbers (Luhn), IBANs (mod 97), national numbers, phone numbers, IPv4 addresses, dates (1900 to 2099), mail
-    addresses, access keys and hexadecimal secrets after a word such as token are permuted within their format with
-    the key, so a value has one pseudonym in all documents; what fails validation stays as it is. Null texts stay
-    null, empty ones empty, both with n_pii 0; long texts are treated whole; repeated rows alike. Input columns
-    named n_pii or kinds give way. Row by row: no shuffle."""
+    Card numbers (Luhn), IBANs (mod 97), national numbers, phone numbers, IPv4 addresses, dates (1900 to 2099), names of
+    mail addresses, access keys and hexadecimal secrets after a word such as token are permuted within their format
+    with the key, so a value has one pseudonym in all documents, which differs from it; what fails validation stays as
+    it is, and so do mail names without a letter or digit and the domains of mail addresses. Null texts stay null, empty
+    ones empty, both with n_pii 0; long texts are treated whole; repeated rows alike. An empty table stays empty. Input
+    columns named n_pii or kinds give way. Without a key that of the configuration (KEY_CONF) counts; if there is none,
+    one is drawn, and pseudonyms are linked within this result only. Row by row: no shuffle."""
     spark = docs.sparkSession
-    done = pseudonymise_udf(spark, key)(docs[text_col])
-    from .common import fresh
-
+    key = key or spark.conf.get(KEY_CONF, None) or secrets.token_hex(32)
     (x,) = fresh(docs, "pii")
-    with_ = docs.withColumn(x, done)
+    with_ = docs.withColumn(x, pseudonymise_udf(spark, key)(docs[text_col]))
     out = replace_columns(with_, n_pii=F.col(x)["n_pii"], kinds=F.col(x)["kinds"])
     return out.withColumn(text_col, F.col(x)["text"]).drop(x)

@@ -2,7 +2,10 @@
 Feistel permutation, in fixed-stride shards."""
 
 import base64
+import math
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -11,32 +14,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_table
+from .common import bounded, cut, key_hash, scratch_path, scratch_table
 
 #: Production parameters: vocabulary file (ranks, GPT-2 style), end-of-text id, tokens of a sequence, slots of a
 #: shard and the key of the order. Ids are little-endian uint16.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 EOT, SEQUENCE, SHARD_SLOTS, KEY = 50256, 1024, 8192, 20240229
-#: Rows of the token table are at most this long, so that very long texts need no very long rows.
-PIECE = 16384
+#: Rows of the token files are at most this long, so that very long texts need no very long rows; so many of the rows
+#: that place documents are summed at a time.
+PIECE, RUN = 16384, 100_000
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[bytes, object] = {}
 
 
-def encoder(ranks_path: str):
-    """One encoder per process and file."""
-    if ranks_path not in _ENCODERS:
+def read_ranks(ranks_path: str = RANKS) -> bytes:
+    with open(ranks_path, "rb") as f:
+        return f.read()
+
+
+def encoder(ranks: bytes):
+    """One encoder per process and vocabulary, of the content of its file."""
+    name = blake2b(ranks).digest()
+    if name not in _ENCODERS:
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[ranks_path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[ranks_path]
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+        _ENCODERS[name] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    return _ENCODERS[name]
 
 
-def encode(text: str, ranks_path: str = RANKS) -> np.ndarray:
-    ids = encoder(ranks_path).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+def encode(text: str, ranks: bytes | None = None) -> np.ndarray:
+    ids = encoder(read_ranks() if ranks is None else ranks).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
     return np.append(ids, EOT).astype("<u2")
 
 
@@ -78,85 +87,139 @@ class SlotPermutation:
         return self._walk(x, self.keys[::-1], True)
 
 
-def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
-    """(part, local, doc_id, n, tokens): ids of every text, an end-of-text after each, in rows of at most PIECE ids.
-    The stream of a part (a task's number) is its rows by local, the tokens before them in the part. Written to the
-    shared folder, so the order is fixed whatever is computed again later."""
+def _settle(where, made: str, path: str) -> None:
+    """Give a whole file its name, in place of one that is there: another attempt's, which is equal, or an older one."""
+    from pyarrow import fs
+
+    if where.get_file_info(path).type == fs.FileType.File:
+        where.delete_file(path)
+    where.move(made, path)
+
+
+def _token_file(root: str, part: int) -> str:
+    return f"{root}/part-{part:08d}.parquet"
+
+
+def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
+    """Write the ids of every text, an end-of-text after each, to one file a task under folder, in rows of at most PIECE
+    ids. Returns (h, th, n, part, c): c documents of n ids with the hashes h (of id and text) and th (of the text) are in
+    the file of `part`. A file appears when it is whole."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, local = TaskContext.get().partitionId(), 0
+        from pyarrow import fs, parquet
+
+        where, root = fs.FileSystem.from_uri(folder)
+        part, counts, writer = TaskContext.get().partitionId(), Counter(), None
+        made, e = f"{root}/.{part:08d}.{TaskContext.get().taskAttemptId()}", encoder(shared.value)
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (text := text.as_py()) is None:
-                    continue
-                ids = encode(text, ranks_path)
+            at: list[int] = []
+            for k, (h, th, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3))):
+                ids = np.append(e.encode_to_numpy(text.as_py(), allowed_special=set(), disallowed_special=()), EOT).astype("<u2")
+                counts[h, th, len(ids)] += 1
                 for a in range(0, len(ids), PIECE):
-                    some = ids[a : a + PIECE]
-                    for c, v in zip(cols, (part, local, doc_id, len(some), some.tobytes())):
+                    at.append(k)
+                    for c, v in zip(cols, (h, th, len(ids), a, ids[a : a + PIECE].tobytes())):
                         c.append(v)
-                    local += len(some)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "local", "doc_id", "n", "tokens"])
+            table = pa.table([*[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], batch.column(2).take(pa.array(at, pa.int64()))], names=["h", "th", "n", "at", "tokens", "doc_id"])
+            if writer is None:
+                where.create_dir(root, recursive=True)
+                out = where.open_output_stream(made)
+                writer = parquet.ParquetWriter(out, table.schema, compression="zstd")
+            writer.write_table(table)
+        if writer is not None:
+            writer.close()
+            out.close()
+            _settle(where, made, _token_file(root, part))
+        rows = list(counts.items())
+        yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k, _ in rows], pa.int64()) for j in range(3)], pa.array([part] * len(rows), pa.int32()), pa.array([c for _, c in rows], pa.int64())], names=["h", "th", "n", "part", "c"])
+
+    th = F.xxhash64(F.col(text_col))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), th.cast("string"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(key_hash(key, "order:").alias("h"), th.alias("th"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return scratch_table(rows.mapInArrow(run, "h bigint, th bigint, n bigint, part int, c bigint"), "order")
+
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch_table(rows.mapInArrow(run, "part int, local bigint, doc_id bigint, n int, tokens binary"), "tokens")
+def places(counts: DataFrame, rows: int) -> DataFrame:
+    """(part, h, th, n, start): where the first of the documents of that key in the file of part begins in the stream of
+    all documents, which is in the order of their keys. Keys are summed within ranges of h, then the ranges."""
+    bits = max(0, math.ceil(math.log2(max(1, rows) / RUN)))
+    run = counts.withColumn("range", F.shiftright("h", 60 - bits)).withColumn("size", F.col("n") * F.col("c"))
+    ranges = cut(run.groupBy("range").agg(F.sum("size").alias("size")))
+    bases = ranges.select(F.col("range").alias("r"), (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("base"))
+    inside = F.sum("size").over(Window.partitionBy("range").orderBy("h", "th", "n", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    return run.withColumn("inside", inside).join(bounded(bases), F.col("range") == F.col("r")).select("part", "h", "th", "n", (F.col("inside") + F.col("base")).alias("start"))
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, sequence: int = SEQUENCE,
                    shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
     """(slot, shard, byte_offset, seq, doc_ids, tokens): one row per sequence of `sequence` ids.
 
-    The streams of the parts, one after another, are cut into sequences; the last is filled with end-of-text ids.
-    Sequence seq has slot permutation(seq), which is place slot % shard_slots of shard slot // shard_slots; all
-    sequences have the same stride, so the slot gives the byte offset. Partitions hold whole shards, sorted by slot.
-
-    A null text gives nothing, an empty one its end-of-text id. Repeated rows are texts of their own; ids may be
-    null. Texts without a token in them and special strings are ordinary text. An empty table gives no rows; extra
-    columns are ignored. The tokens are shuffled once; offsets of parts are one row per task."""
-    tokens = token_table(docs, id_col, text_col, ranks_path)
-    ends = tokens.groupBy("part").agg(F.sum("n").alias("total"))
-    starts = ends.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    total = ends.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    The texts, in the order of a hash of their ids and texts, are cut into sequences; the last is filled with end-of-text
+    ids. Sequence seq has slot permutation(seq), which is place slot % shard_slots of shard slot // shard_slots; all
+    sequences have the same stride, so the slot gives the byte offset. Partitions hold whole shards, sorted by slot. The
+    same rows give the same slots, however they lie in files and tasks.
+
+    A null text gives nothing, an empty one its end-of-text id. Repeated rows are texts of their own; ids are of any type
+    and may be null. Texts without a token in them and special strings are ordinary text. An empty table gives no rows;
+    extra columns are ignored. The tokens are shuffled once; the order is that of narrow rows, of which equal ones are one
+    a task."""
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    folder = scratch_path(spark, "tokens")
+    counts = token_files(docs, folder, id_col, text_col, ranks_path)
+    rows, parts, total = counts.agg(F.count(F.lit(1)), F.max("part"), F.coalesce(F.sum(F.col("n") * F.col("c")), F.lit(0))).first()
     n = -(-total // sequence)
     if not n:
-        return docs.sparkSession.createDataFrame([], "slot bigint, shard int, byte_offset bigint, seq bigint, doc_ids array<bigint>, tokens binary")
+        return spark.createDataFrame([], f"slot bigint, shard int, byte_offset bigint, seq bigint, doc_ids array<{id_type}>, tokens binary")
     shards = -(-n // shard_slots)
     slots = SlotPermutation(n, key)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        where, root = fs.FileSystem.from_uri(folder)
+        starts: dict[int, dict[tuple[int, int, int], int]] = {}
         for batch in batches:
-            at = batch.column(0).to_numpy() + batch.column(1).to_numpy()
-            out: tuple[list, ...] = ([], [], [], [])
-            for o, doc_id, raw in zip(at.tolist(), batch.column(2).to_pylist(), batch.column(3)):
-                view = raw.as_buffer()
-                size, done = view.size // 2, 0
-                while done < size:
-                    s, inside = divmod(o + done, sequence)
-                    take = min(sequence - inside, size - done)
-                    for c, v in zip(out, (s, inside, doc_id, view.slice(2 * done, 2 * take).to_pybytes())):
-                        c.append(v)
-                    done += take
-            seq = np.array(out[0], np.int64)
-            arrays = [pa.array(slots(seq)), pa.array(seq), *[pa.array(c, k) for c, k in zip(out[1:], (pa.int32(), pa.int64(), pa.binary()))]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["slot", "seq", "inside", "doc_id", "tokens"])
+            for part, h, th, size, start in zip(*[c.to_pylist() for c in batch.columns]):
+                starts.setdefault(part, {})[h, th, size] = start
+        for part, first in starts.items():
+            o = 0
+            for batch in parquet.ParquetFile(where.open_input_file(_token_file(root, part))).iter_batches(1024):
+                out: tuple[list, ...] = ([], [], [], [])
+                for k, (h, th, size, at, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(4)], batch.column(4))):
+                    if not at:
+                        o = first[h, th, size]
+                        first[h, th, size] = o + size
+                    view = raw.as_buffer()
+                    some, done = view.size // 2, 0
+                    while done < some:
+                        s, inside = divmod(o + at + done, sequence)
+                        take = min(sequence - inside, some - done)
+                        for c, v in zip(out, (s, inside, k, view.slice(2 * done, 2 * take).to_pybytes())):
+                            c.append(v)
+                        done += take
+                seq = np.array(out[0], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slots(seq)), pa.array(seq), pa.array(out[1], pa.int32()), batch.column(5).take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.binary())],
+                                                 names=["slot", "seq", "inside", "doc_id", "tokens"])
 
-    placed = tokens.join(F.broadcast(starts) if shards < 1_000_000 else starts, "part").select("base", "local", "doc_id", "tokens")
-    pieces = placed.mapInArrow(cut_up, "slot bigint, seq bigint, inside int, doc_id bigint, tokens binary")
+    placed = places(counts, rows).repartitionById(parts + 1, F.col("part"))
+    pieces = placed.mapInArrow(cut_up, f"slot bigint, seq bigint, inside int, doc_id {id_type}, tokens binary")
     by_shard = pieces.repartitionById(shards, F.floor(F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot", "inside")
     fill = np.full(sequence, EOT, "<u2").tobytes()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted pieces to whole sequences; a sequence may run on into the next batch."""
-        slot = seq = None
+        slot = seq = kind = None
         raw: list[bytes] = []
-        ids: list[int | None] = []
+        ids: list = []
 
         def whole() -> bytes:
             b = b"".join(raw)
             return b + fill[len(b) :]
 
         for batch in batches:
+            kind = batch.column(3).type
             done: tuple[list, ...] = ([], [], [], [])
             for s, q, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if s != slot:
@@ -167,17 +230,17 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw.append(t.as_py())
                 if not ids or ids[-1] != d:
                     ids.append(d)
-            yield records(done)
+            yield records(done, kind)
         if slot is not None:
-            yield records(([slot], [seq], [ids], [whole()]))
+            yield records(([slot], [seq], [ids], [whole()]), kind)
 
-    def records(done: tuple[list, ...]) -> pa.RecordBatch:
+    def records(done: tuple[list, ...], kind: pa.DataType) -> pa.RecordBatch:
         slot = np.array(done[0], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot % shard_slots * (2 * sequence)), pa.array(done[1], pa.int64()),
-                                           pa.array(done[2], pa.list_(pa.int64())), pa.array(done[3], pa.binary())],
+                                           pa.array(done[2], pa.list_(kind)), pa.array(done[3], pa.binary())],
                                           names=["slot", "shard", "byte_offset", "seq", "doc_ids", "tokens"])
 
-    return by_shard.mapInArrow(join, "slot bigint, shard int, byte_offset bigint, seq bigint, doc_ids array<bigint>, tokens binary")
+    return by_shard.mapInArrow(join, f"slot bigint, shard int, byte_offset bigint, seq bigint, doc_ids array<{id_type}>, tokens binary")
 
 
 def shard_name(shard: int) -> str:
@@ -186,8 +249,9 @@ def shard_name(shard: int) -> str:
 
 def write_shards(records: DataFrame, uri: str, through: bool = False) -> DataFrame:
     """Write the records of training_order() as uri/shard-N.bin, fixed strides in slot order. A file appears under its
-    name when it is whole, so tasks may be tried again. Returns the written (shard, slots, bytes), written once;
-    through: the records themselves, whose shards are written as they are taken."""
+    name when it is whole, so tasks may be tried again. A shard that is there is replaced; others in the folder stay, so
+    a shorter order needs a new folder. Without records no file is written. Returns the written (shard, slots, bytes),
+    written once; through: the records themselves, whose shards are written as they are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -200,7 +264,7 @@ def write_shards(records: DataFrame, uri: str, through: bool = False) -> DataFra
 
         def close() -> None:
             out.close()
-            where.move(part, f"{root}/{shard_name(shard)}")
+            _settle(where, part, f"{root}/{shard_name(shard)}")
             done.append((shard, n, size))
 
         for batch in batches:
@@ -224,8 +288,6 @@ def write_shards(records: DataFrame, uri: str, through: bool = False) -> DataFra
 
     if through:
         return records.mapInArrow(run, records.schema)
-    from .common import cut
-
     return cut(records.select("shard", "tokens").mapInArrow(run, "shard int, slots bigint, bytes bigint"))
 
 

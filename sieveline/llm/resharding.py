@@ -5,12 +5,13 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cumulative_thresholds, cut, fresh, key_hash, replace_columns
+from .common import bounded, cumulative_thresholds, cut, fresh, key_hash, replace_columns
 
 #: Production parameters: number of new shards and slack of their equal capacities.
 NEW_SHARDS = 16
@@ -18,7 +19,8 @@ SLACK = 0.05
 
 
 class MinCostFlow:
-    """Successive shortest paths with potentials over integer capacities and nonnegative integer costs."""
+    """Shortest paths with potentials over integer capacities and nonnegative integer costs. Each round finds the
+    distances once and then fills all paths of that length, so there are as many rounds as path costs, not as paths."""
 
     def __init__(self, n: int):
         self.n, self.to, self.cap, self.cost, self.out = n, [], [], [], [[] for _ in range(n)]
@@ -33,35 +35,63 @@ class MinCostFlow:
         return k
 
     def solve(self, s: int, t: int) -> tuple[int, int]:
+        """(flow, cost)."""
         flow = total = 0
         potential = [0] * self.n
         while True:
-            dist, via = [math.inf] * self.n, [-1] * self.n
-            dist[s], heap = 0, [(0, s)]
+            dist, heap = [math.inf] * self.n, [(0, s)]
+            dist[s] = 0
             while heap:
                 d, u = heapq.heappop(heap)
                 if d > dist[u]:
                     continue
                 for k in self.out[u]:
                     if self.cap[k] > 0 and (nd := d + self.cost[k] + potential[u] - potential[self.to[k]]) < dist[self.to[k]]:
-                        dist[self.to[k]], via[self.to[k]] = nd, k
+                        dist[self.to[k]] = nd
                         heapq.heappush(heap, (nd, self.to[k]))
             if dist[t] == math.inf:
                 return flow, total
             for u in range(self.n):
                 if dist[u] < math.inf:
                     potential[u] += dist[u]
-            push, v = math.inf, t
-            while v != s:
-                push = min(push, self.cap[via[v]])
-                v = self.to[via[v] ^ 1]
-            v = t
-            while v != s:
-                self.cap[via[v]] -= push
-                self.cap[via[v] ^ 1] += push
-                total += push * self.cost[via[v]]
-                v = self.to[via[v] ^ 1]
-            flow += push
+            tight = lambda u, k: self.cap[k] > 0 and dist[u] < math.inf and dist[self.to[k]] < math.inf and not self.cost[k] + potential[u] - potential[self.to[k]]  # noqa: B023, E731
+            while more := self._fill(s, t, tight):
+                flow += more
+                total += more * (potential[t] - potential[s])
+
+    def _fill(self, s: int, t: int, tight) -> int:
+        """Flow added along shortest paths, by number of edges, of tight edges until none is left (a blocking flow)."""
+        level, queue = {s: 0}, [s]
+        for u in queue:
+            for k in self.out[u]:
+                if self.to[k] not in level and tight(u, k):
+                    level[self.to[k]] = level[u] + 1
+                    queue.append(self.to[k])
+        added, next_, path, u = 0, [0] * self.n, [], s
+        while t in level:
+            if u == t:
+                push = min(self.cap[k] for k in path)
+                added += push
+                for k in path:
+                    self.cap[k] -= push
+                    self.cap[k ^ 1] += push
+                full = next(i for i, k in enumerate(path) if not self.cap[k])
+                u = self.to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while next_[u] < len(self.out[u]):
+                k = self.out[u][next_[u]]
+                if level.get(self.to[k]) == level[u] + 1 and tight(u, k):
+                    path.append(k)
+                    u = self.to[k]
+                    break
+                next_[u] += 1
+            else:
+                if u == s:
+                    break
+                u = self.to[path.pop() ^ 1]
+                next_[u] += 1
+        return added
 
 
 def plan_transfers(sizes: Sequence[int], capacities: Sequence[int], costs: Mapping[tuple[int, int], int] | None = None) -> list[tuple[int, int, int]]:
@@ -156,25 +186,36 @@ def reshard(docs: DataFrame, n_new: int = NEW_SHARDS, slack: float = SLACK, id_c
     ranges = ranges.toDF(*names)
     old, i, j, lo, hi = names
     h = key_hash(docs[id_col], seed)
-    small = F.broadcast(ranges) if ranges.count() <= 100_000 else ranges
-    placed = docs.join(small, docs[shard_col].cast("string").eqNullSafe(ranges[old]) & (h >= ranges[lo]) & (h < ranges[hi]), "inner")
+    placed = docs.join(bounded(ranges), docs[shard_col].cast("string").eqNullSafe(ranges[old]) & (h >= ranges[lo]) & (h < ranges[hi]), "inner")
     return replace_columns(placed, old_shard=F.col(i), new_shard=F.col(j), moved=F.col(i) != F.col(j)).drop(*names)
 
 
+def _files(spark, path: str):
+    """(Hadoop's file system of path, a maker of its paths)."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
 def rewrite_shards(placed: DataFrame, path: str, whole: bool = False) -> list[int]:
     """Write, under path/new_shard=K, only the shards that a transfer changes; returns their numbers. Others keep
     their files: nothing is written for them, and nothing else under path is touched. A changed shard that no document
-    is left on goes. whole: write all shards, for a path that doesn't hold the others yet."""
+    is left on goes. whole: write all shards, for a path that doesn't hold the others yet.
+
+    The new files are written beside the old ones first, in a hidden folder of path, and then take their places shard by
+    shard, so that `placed` may be read from path itself. An empty table changes nothing."""
     spark = placed.sparkSession
+    files, of = _files(spark, path)
     changed = cut(placed.where("moved").select(F.explode(F.array("old_shard", "new_shard")).alias("k")).distinct())
-    kept = placed if whole else placed.join(F.broadcast(changed), F.col("new_shard") == F.col("k"), "left_semi")
-    filled = {r["new_shard"] for r in placed.select("new_shard").distinct().collect()}
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(path)
+    kept = placed if whole else placed.join(bounded(changed), F.col("new_shard") == F.col("k"), "left_semi")
+    beside = f"{path}/.rewrite-{uuid.uuid4().hex}"
+    kept.write.partitionBy("new_shard").parquet(beside)
     touched = sorted(r["k"] for r in changed.collect())
-    for k in touched:
-        if k not in filled:
-            emptied = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/new_shard={k}")
-            emptied.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(emptied, True)
+    made = {s.getPath().getName() for s in files.listStatus(of(beside)) if s.isDirectory()}
+    for name in sorted(made | {f"new_shard={k}" for k in touched}):
+        files.delete(of(f"{path}/{name}"), True)
+        if name in made:
+            files.rename(of(f"{beside}/{name}"), of(f"{path}/{name}"))
+    files.delete(of(beside), True)
     return touched
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cumulative_thresholds, cut, fresh, key_hash
+from .common import bounded, cumulative_thresholds, cut, fresh, key_hash
 
 #: Production parameters. ALPHA: without explicit weights a source weighs tokens^ALPHA. TIERS: nested budgets,
 #: as shares of the largest mixture that repeats nothing.
@@ -82,7 +82,7 @@ def mix_filter(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     limits = mixture_thresholds(rows, weights, alpha, (1.0,), budget).select(F.col("source").alias("_sv_source"), F.col("threshold").alias("_sv_threshold"))
     src, thr = fresh(docs, "source", "threshold")
     limits = limits.toDF(src, thr)
-    kept = docs.join(F.broadcast(limits) if limits.count() <= 100_000 else limits, docs[source_col].eqNullSafe(limits[src]) & (key_hash(docs[id_col], seed) < limits[thr]), "left_semi")
+    kept = docs.join(bounded(limits), docs[source_col].eqNullSafe(limits[src]) & (key_hash(docs[id_col], seed) < limits[thr]), "left_semi")
     return kept
 
 

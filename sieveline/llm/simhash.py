@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from .common import BROADCAST_ROWS, cut, fresh
+from .common import bounded, cut, fresh
 
 BUDGET, WIDE_BUDGET = 17, 36
 #: Offsets and lengths of the 9 blocks of the first 128 bits.
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, all columns, with one row of each group; cases as in near_duplicates().
 
-    Only keys of dropped rows are joined back: broadcast up to BROADCAST_ROWS of them, else by a shuffle."""
+    Only keys of dropped rows are joined back: broadcast up to BROADCAST_BYTES of them, else by a shuffle."""
     rows = duplicate_rows(docs, id_col, text_col)
     i, th, rank = fresh(docs, "id", "th", "rank")
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th"))
@@ -249,10 +249,7 @@ def dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = rows.where(same & (F.col("n") > 1)).select(F.col("id").alias(i), F.col("th").alias(th))
     of = F.xxhash64(docs[text_col])
 
-    def checked(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-    gone, again = checked(gone), checked(again)
+    gone, again = bounded(gone), bounded(again)
     left = docs.join(gone, docs[id_col].eqNullSafe(gone[i]) & (of == gone[th]) & docs[text_col].isNotNull(), "left_anti")
     on = left[id_col].eqNullSafe(again[i]) & (F.xxhash64(left[text_col]) == again[th]) & left[text_col].isNotNull()
     once = left.join(again, on, "left_anti")

@@ -15,15 +15,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_BYTES, bounded, cut, held_bytes
 
 #: Production parameters: importance below which a node is low, and the occurrences that a judgement takes, for a text
 #: the different pages that hold it; nodes seen less often are important.
 THRESHOLD, MIN_SEEN = 0.8, 3
+#: Low nodes of all hosts that every task may hold (BROADCAST_BYTES of them at most); pages of a host that go to one task
+#: beyond that.
+BROADCAST_ROWS, GROUP_PAGES = 500_000, 1000
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -187,7 +191,7 @@ def node_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     task."""
     base = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
     copies = cut(base.where("html is not null").groupBy("host", "page").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    base = base.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["host", "page"], "left")
+    base = base.join(bounded(copies), ["host", "page"], "left")
     seen = base.select("host", (1 / F.coalesce("c", F.lit(1))).alias("share"), F.explode(observe("html")).alias("o"))
     return seen.groupBy("host", F.col("o.key").alias("key"), F.col("o.value").alias("value")).agg(F.sum("o.n").alias("n"), F.round(F.sum("share"), 3).alias("pages"))
 
@@ -227,14 +231,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, nodes, removed) of every row.
 
     Pages without a host form one site. A null page gives null text, an empty one ''; a site of fewer than min_seen
-    pages keeps all but empty elements. Equal pages count once, and so does a text that a page repeats. Broken markup never fails. An empty table gives no rows; extra columns are
-    ignored.
+    pages keeps all but empty elements. Equal pages count once, and so does a text that a page repeats. Broken markup
+    never fails. An empty table gives no rows; extra columns are ignored.
 
-    The low keys of all hosts are broadcast while there are at most broadcast_rows of them; beyond that each page
-    is joined with those of its host, salted so that a hot host is spread."""
+    The low keys of all hosts are broadcast while there are at most broadcast_rows of them, of BROADCAST_BYTES. Beyond
+    that pages meet the keys of their host, which each group of some GROUP_PAGES pages of a host gets once, in a sort."""
     low = cut(noise_keys(pages, url_col, html_col, threshold, min_seen))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    if low.count() <= broadcast_rows:
+    if low.count() <= broadcast_rows and held_bytes(low) <= BROADCAST_BYTES:
         got = low.toPandas()
         shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(k.tolist()) for h, k in got.groupby("host")["key"].apply(np.array).items()} if len(got) else {})
 
@@ -244,14 +248,37 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 yield pd.DataFrame([_page(p, lows.get(h, ())) for p, h in zip(htmls, hosts)], columns=["text", "nodes", "removed"])
 
         return base.withColumn("r", F.pandas_udf(run, RESULT)("html", host_of(F.col("url")))).select("page_id", "url", "r.*")
-
-    salts = 32
-    lists = low.groupBy("host").agg(F.collect_list("key").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for htmls, keys in batches:
-            yield pd.DataFrame([_page(p, frozenset(() if k is None else k)) for p, k in zip(htmls, keys)], columns=["text", "nodes", "removed"])
-
-    salted = base.withColumn("h", host_of(F.col("url"))).withColumn("s", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    both = salted.join(lists, (salted.h == lists.host) & (salted.s == lists.salt), "left")
-    return both.withColumn("r", F.pandas_udf(joined, RESULT)("html", "low")).select("page_id", "url", "r.*")
+    return _grouped(base, low)
+
+
+def _grouped(base: DataFrame, low: DataFrame) -> DataFrame:
+    """The pages with the low keys of their host before them: rows of both, by group, sorted. A group is a share of a
+    host's pages, so that neither a hot host nor its keys meet in one task alone."""
+    hosted = base.withColumn("h", host_of(F.col("url")))
+    large = cut(hosted.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_PAGES).select(F.col("h").alias("host"), F.ceil(F.col("n") / GROUP_PAGES).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    pages = hosted.join(bounded(large), F.col("h") == F.col("host"), "left").select("h", F.pmod(F.xxhash64("page_id", "url", "html"), salts).cast("int").alias("s"), F.lit(1).alias("kind"), F.lit(None).cast("array<bigint>").alias("low"), "page_id", "url", "html")
+    lists = low.groupBy("host").agg(F.collect_list("key").alias("low")).join(bounded(large), "host", "left")
+    nulls = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in ("page_id", "url", "html")]
+    lists = lists.select(F.col("host").alias("h"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"), F.lit(0).alias("kind"), "low", *nulls)
+    both = lists.unionByName(pages).repartition("h", "s").sortWithinPartitions("h", "s", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys = None, frozenset()
+        for batch in batches:
+            rows, done = [], []
+            html = batch.column("html")
+            for k, (h, s, kind, some) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("h", "s", "kind")], batch.column("low"))):
+                if kind == 0:
+                    group, keys = (h, s), frozenset(some.as_py())
+                    continue
+                if (h, s) != group:
+                    group, keys = (h, s), frozenset()
+                rows.append(k)
+                done.append(_page(html[k].as_py(), keys))
+            at = pa.array(rows, pa.int64())
+            results = [pa.array([d[j] for d in done], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(at), batch.column("url").take(at), *results], names=["page_id", "url", "text", "nodes", "removed"])
+
+    schema = T.StructType([T.StructField(c, base.schema[c].dataType) for c in ("page_id", "url")] + RESULT.fields)
+    return both.mapInArrow(run, schema)

@@ -82,7 +82,7 @@ BOILERPLATE = _words("advisory board|all rights reserved|available at: http|copy
 #: Refusals and evasions, matched anywhere without word bounds, ignoring case.
 EVASIVE = "|".join((
     r"I (?:cannot|am sorry|don't have the ability)|I'm (?:sorry|not able to)|as (?:an AI|a language model)",
-    r"(?:busque atenci[oó]n) m[eé]dica",
+    r"busque atenci[oó]n m[eé]dica",
     r"como (?:modelo de (?:lenguaje|IA)|(?:un )?asistente (?:de IA|virtual)|inteligencia artificial)",
     r"consult(?:e a su|ar a(?: un| su)?) m[eé]dico",
     r"(?:acuda a (?:un |su )?(?:m[eé]dico|especialista|profesional))",
@@ -118,12 +118,27 @@ class FunnelConfig:
     evasive: str = EVASIVE
     classifier: Classifier = EXAMPLES
     system_prompt: str = "You answer from the given guidelines."
+    #: Stages that aren't built into the plan; trees of the extrapolation.
     skip: frozenset[str] = field(default_factory=frozenset)
+    trees: int = 200
+    #: Files of the whole run: JSON lines and their source, scores, results. A dry run leaves a report only.
+    input_dir: str = "data"
+    output_dir: str = "data/clean"
+    inputs: tuple[tuple[str, str], ...] = (("all_examples.jsonl", "sonnet"), ("batch1.jsonl", "minimax"), ("batch2.jsonl", "minimax"))
+    scores_file: str | None = None
+    dry_run: bool = False
 
 
 @dataclass(frozen=True)
 class GenerationConfig:
+    """limit: chunks to take, by id (0: all); resume: leave out what the output has; partitions: calls at a time;
+    per_minute: calls (0: no limit); timeout: seconds a call may take (0: any)."""
+
     limit: int = 0
+    resume: bool = True
+    partitions: int = 8
+    per_minute: float = 0
+    timeout: float = 0
     pairs_per_chunk: int = 3
     input_tokens: int = 800
     output_tokens: int = 600

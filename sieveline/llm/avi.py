@@ -17,6 +17,11 @@ WINDOW, FACTOR, FLOOR, MIN_SHOT = 8, 4.0, 0.3, 2
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
                    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 _DCT = np.array([[(np.sqrt(1 / 8) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+#: Coefficients in zigzag order to pixels in rows.
+_IDCT = np.einsum("ux,vy->uvxy", _DCT, _DCT).reshape(64, 64)[ZIGZAG]
+
+#: Blocks that are decoded before they are counted, over all frames that are decoded together, and bytes of those frames.
+WINDOW_BLOCKS, TOGETHER_BYTES = 1 << 16, 48 << 20
 
 
 def _std_tables() -> dict[tuple[int, int], bytes]:
@@ -69,53 +74,111 @@ def huffman_codes(table: bytes) -> dict[int, tuple[int, int]]:
     return out
 
 
+class Frame:
+    """Headers of a baseline JPEG: height, width, parts (id, h, v, quantisation table), Huffman tables by part, restart
+    interval, and the entropy-coded segments; missing Huffman tables are the standard ones."""
+
+    def __init__(self, data: bytes):
+        if data[:2] != b"\xff\xd8":
+            raise MediaError("no JPEG")
+        quant: dict[int, np.ndarray] = {}
+        huff, frame, self.restart, at = dict(STANDARD), None, 0, 2
+        while at + 4 <= len(data):
+            if data[at] != 0xFF:
+                at += 1
+                continue
+            marker = data[at + 1]
+            if marker in (0xFF, 0x00, 0x01) or 0xD0 <= marker <= 0xD8:
+                at += 1 if marker == 0xFF else 2
+                continue
+            if marker == 0xD9:
+                break
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            body, at = data[at + 4 : at + 2 + size], at + 2 + size
+            if marker == 0xDB:
+                while body:
+                    wide, n = body[0] >> 4, body[0] & 15
+                    length = 128 if wide else 64
+                    if len(body) < 1 + length:
+                        raise MediaError("bad quantisation table")
+                    quant[n] = np.frombuffer(body[1 : 1 + length], ">u2" if wide else np.uint8).astype(np.float64)
+                    body = body[1 + length :]
+            elif marker == 0xC4:
+                while len(body) >= 17:
+                    n = 17 + sum(body[1:17])
+                    huff[body[0] >> 4, body[0] & 15] = bytes(body[1:n])
+                    body = body[n:]
+            elif marker in (0xC0, 0xC1):
+                if len(body) < 6 or body[0] != 8:
+                    raise MediaError("only 8-bit frames")
+                parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, min(len(body) - 2, 6 + 3 * body[5]), 3)]
+                frame = (int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), parts)
+            elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise MediaError("only baseline frames")
+            elif marker == 0xDD:
+                self.restart = int.from_bytes(body[:2], "big")
+            elif marker == 0xDA:
+                if frame is None or not frame[0] or not frame[1] or not frame[2]:
+                    raise MediaError("scan before frame")
+                chosen = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2)}
+                break
+        else:
+            raise MediaError("no scan")
+        if frame is None or marker != 0xDA:
+            raise MediaError("no scan")
+        self.height, self.width, parts = frame
+        if not all(p[1] and p[2] for p in parts):
+            raise MediaError("bad sampling")
+        self.hmax, self.vmax = max(p[1] for p in parts), max(p[2] for p in parts)
+        if any(p[0] not in chosen or p[3] not in quant for p in parts):
+            raise MediaError("missing table")
+        self.parts = tuple(p[1:3] for p in parts)
+        self.tables = tuple((huff.get((0, chosen[p[0]][0])), huff.get((1, chosen[p[0]][1]))) for p in parts)
+        if any(t is None for pair in self.tables for t in pair):
+            raise MediaError("missing table")
+        self.quant = [quant[p[3]] for p in parts]
+        self.mx, self.my = -(-self.width // (8 * self.hmax)), -(-self.height // (8 * self.vmax))
+        self.segments = _segments(data, at)
+
+    def layout(self) -> tuple:
+        """Frames of one layout can be decoded together."""
+        return self.height, self.width, self.parts, self.tables
+
+    def plane(self, c: int) -> tuple[int, int]:
+        h, v = self.parts[c]
+        return -(-self.height * v // self.vmax), -(-self.width * h // self.hmax)
+
+    def runs(self) -> list[tuple[int, int, bytes]]:
+        """(first unit, units, bytes) of each segment that can be decoded alone."""
+        units = self.mx * self.my
+        per, out, done = self.restart or units, [], 0
+        for seg in self.segments:
+            if done >= units:
+                break
+            out.append((done, min(per, units - done), seg))
+            done += out[-1][1]
+        if done < units:
+            raise MediaError("truncated scan")
+        return out
+
+
 def decode_jpeg(data: bytes) -> list[np.ndarray]:
-    """The planes (uint8) of a baseline JPEG, each at its own sampling; missing Huffman tables are the standard
-    ones."""
-    if data[:2] != b"\xff\xd8":
-        raise MediaError("no JPEG")
-    quant: dict[int, np.ndarray] = {}
-    huff, frame, restart, at = dict(STANDARD), None, 0, 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
-            at += 1
-            continue
-        marker = data[at + 1]
-        if marker in (0xFF, 0x00, 0x01) or 0xD0 <= marker <= 0xD8:
-            at += 1 if marker == 0xFF else 2
-            continue
-        if marker == 0xD9:
-            break
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        body, at = data[at + 4 : at + 2 + size], at + 2 + size
-        if marker == 0xDB:
-            while body:
-                wide, n = body[0] >> 4, body[0] & 15
-                length = 128 if wide else 64
-                if len(body) < 1 + length:
-                    raise MediaError("bad quantisation table")
-                quant[n] = np.frombuffer(body[1 : 1 + length], ">u2" if wide else np.uint8).astype(np.float64)
-                body = body[1 + length :]
-        elif marker == 0xC4:
-            while len(body) >= 17:
-                n = 17 + sum(body[1:17])
-                huff[body[0] >> 4, body[0] & 15] = bytes(body[1:n])
-                body = body[n:]
-        elif marker in (0xC0, 0xC1):
-            if len(body) < 6 or body[0] != 8:
-                raise MediaError("only 8-bit frames")
-            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, min(len(body) - 2, 6 + 3 * body[5]), 3)]
-            frame = (int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), parts)
-        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise MediaError("only baseline frames")
-        elif marker == 0xDD:
-            restart = int.from_bytes(body[:2], "big")
-        elif marker == 0xDA:
-            if frame is None or not frame[0] or not frame[1] or not frame[2]:
-                raise MediaError("scan before frame")
-            chosen = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2)}
-            return _scan(data, at, frame, chosen, quant, huff, restart)
-    raise MediaError("no scan")
+    """The planes (uint8) of a baseline JPEG, each at its own sampling; one frame by itself, unit by unit."""
+    f = Frame(data)
+    coefs: list[list] = [[] for _ in f.parts]
+    plan = [(c, *huffman_lookup(f.tables[c][0]), *huffman_lookup(f.tables[c][1])) for c, (h, v) in enumerate(f.parts) for _ in range(h * v)]
+    for _, n, seg in f.runs():
+        _entropy(seg, n, plan, coefs)
+    planes = []
+    for c, ((h, v), blocks) in enumerate(zip(f.parts, coefs)):
+        x = np.zeros((len(blocks), 64))
+        for k, (places, values) in enumerate(blocks):
+            x[k, places] = values
+        pixels = np.clip(np.rint((x * f.quant[c]) @ _IDCT + 128), 0, 255).astype(np.uint8)
+        image = pixels.reshape(f.my, f.mx, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(f.my * v * 8, f.mx * h * 8)
+        rows, cols = f.plane(c)
+        planes.append(image[:rows, :cols])
+    return planes
 
 
 def _segments(data: bytes, at: int) -> list[bytes]:
@@ -137,46 +200,6 @@ def _segments(data: bytes, at: int) -> list[bytes]:
     return [s.replace(b"\xff\x00", b"\xff") for s in out]
 
 
-def _scan(data, at, frame, chosen, quant, huff, restart) -> list[np.ndarray]:
-    height, width, parts = frame
-    hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
-    if not hmax or not vmax:
-        raise MediaError("bad sampling")
-    mx, my = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-    if mx * my > 1 << 20:
-        raise MediaError("frame too large")
-    coefs, plan = [], []
-    for c, (ident, h, v, q) in enumerate(parts):
-        if ident not in chosen or q not in quant:
-            raise MediaError("missing table")
-        coefs.append([])
-        dc, ac = huffman_lookup(huff[0, chosen[ident][0]]), huffman_lookup(huff[1, chosen[ident][1]])
-        plan += [(c, *dc, *ac)] * (h * v)
-    segments = _segments(data, at)
-    per = restart or mx * my
-    done = 0
-    for seg in segments:
-        if done >= mx * my:
-            break
-        n = min(per, mx * my - done)
-        _entropy(seg, n, plan, coefs)
-        done += n
-    if done < mx * my:
-        raise MediaError("truncated scan")
-    planes = []
-    for (ident, h, v, q), blocks in zip(parts, coefs):
-        x = np.zeros((len(blocks), 64))
-        for k, (places, values) in enumerate(blocks):
-            x[k, places] = values
-        x *= quant[q]
-        natural = np.empty_like(x)
-        natural[:, ZIGZAG] = x
-        pixels = _DCT.T @ natural.reshape(-1, 8, 8) @ _DCT + 128
-        image = np.clip(np.rint(pixels), 0, 255).astype(np.uint8).reshape(my, mx, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(my * v * 8, mx * h * 8)
-        planes.append(image[: -(-height * v // vmax), : -(-width * h // hmax)])
-    return planes
-
-
 def _entropy(seg: bytes, mcus: int, plan, coefs) -> None:
     """Decode the blocks of `mcus` units: (zigzag places, values) each."""
     pred = [0] * len(coefs)
@@ -229,6 +252,108 @@ def _entropy(seg: bytes, mcus: int, plan, coefs) -> None:
         raise MediaError("truncated scan")
 
 
+@lru_cache(maxsize=16)
+def _codes(tables: tuple[tuple[bytes, bytes], ...]) -> np.ndarray:
+    """length | symbol << 5 by the next 16 bits, of the DC and AC tables of each part in turn."""
+    out = np.zeros((2 * len(tables), 65536), np.int64)
+    for k, table in enumerate(t for pair in tables for t in pair):
+        lengths, symbols = huffman_lookup(table)
+        out[k] = np.array(lengths) | np.array(symbols) << 5
+    return out.ravel()
+
+
+def level_counts(frames: list[Frame]) -> tuple[np.ndarray, np.ndarray]:
+    """((frames, parts, 256) counts of pixel values, whether the frame could be decoded) of frames of one layout.
+
+    The segments of all frames are decoded side by side, one symbol of each at a time, over arrays. After some units the
+    blocks are turned to pixels and counted, and their room is used again, so memory doesn't depend on the frames' size."""
+    f = frames[0]
+    counts, good = np.zeros((len(frames), len(f.parts), 256), np.int64), np.ones(len(frames), bool)
+    of, first, units, segs = [], [], [], []
+    for i, x in enumerate(frames):
+        try:
+            runs = x.runs()
+        except MediaError:
+            good[i] = False
+            continue
+        for a, n, seg in runs:
+            of.append(i)
+            first.append(a)
+            units.append(n)
+            segs.append(seg)
+    if not of:
+        return counts, good
+    of, first, units = (np.array(x, np.int64) for x in (of, first, units))
+    sizes = np.array([len(x) for x in segs], np.int64)
+    base = np.cumsum(np.r_[0, sizes[:-1] + 16])
+    buffer = (b"\xff" * 16).join(segs) + b"\xff" * 24
+    words = np.ndarray((len(buffer) - 7,), ">u8", buffer, 0, (1,))  # the 8 bytes from each byte on
+    part = np.array([c for c, (h, v) in enumerate(f.parts) for _ in range(h * v)])
+    nb, nc, codes = len(part), len(f.parts), _codes(f.tables)
+    table = np.stack([2 * part, 2 * part + 1], axis=1).ravel() << 16
+    half = np.array([0, *[1 << s for s in range(15)]], np.int64)
+    full = np.array([(1 << s) - 1 for s in range(16)], np.int64)
+    quant = [np.stack([x.quant[c] for x in frames]) for c in range(nc)]
+    lanes = len(of)
+    pos, end = 8 * base, 8 * (base + sizes + 2)
+    pred, done, alive = np.zeros(lanes * nc, np.int64), np.zeros(lanes, np.int64), np.ones(lanes, bool)
+    wide = max(1, min(int(units.max()), WINDOW_BLOCKS // (lanes * nb)))
+    while (open_ := np.flatnonzero(alive & (done < units))).size:
+        coefs = np.zeros(len(open_) * wide * nb * 64 + 1, np.int32)  # the last is for what isn't written
+        limit = np.minimum(wide, units[open_] - done[open_]) * nb
+        lane, row, p = open_, np.arange(len(open_)), pos[open_]
+        k = np.zeros(len(open_), np.int64)
+        block = np.zeros(len(open_), np.int64)
+        while len(lane):
+            w = words[p >> 3].astype(np.uint64) << (p & 7).astype(np.uint64)
+            j = block % nb
+            dc = k == 0
+            e = codes[table[2 * j + ~dc] + (w >> np.uint64(48)).astype(np.int64)]
+            n, sym = e & 31, e >> 5
+            size, run = sym & 15, sym >> 4
+            v = ((w << n.astype(np.uint64)) >> np.uint64(1) >> (63 - size).astype(np.uint64)).astype(np.int64)
+            v -= full[size] * (v < half[size])
+            at = lane * nc + part[j]
+            total = pred[at] + v * dc
+            pred[at] = total
+            v = np.where(dc, total, v)
+            stop = ~dc & (size == 0) & (sym != 0xF0)
+            k = np.where(stop, k, k + run)
+            put = dc | (size > 0)
+            wrong = (n == 0) | (dc & (run > 0)) | (put & (k > 63)) | (p > end[lane])
+            coefs[np.where(put & ~wrong, (row * wide * nb + block) * 64 + k, len(coefs) - 1)] = v
+            p = p + n + size
+            over = stop | (k >= 63)
+            block = block + over
+            k = np.where(over, 0, k + 1)
+            out = wrong | (block == limit[row])
+            if out.any():
+                alive[lane[wrong]] = False
+                pos[lane[out]] = p[out]
+                lane, row, p, k, block = (x[~out] for x in (lane, row, p, k, block))
+        alive[open_] &= pos[open_] <= end[open_]
+        blocks = coefs[:-1].reshape(len(open_), wide, nb, 64)
+        unit = first[open_, None] + done[open_, None] + np.arange(wide)
+        there = np.arange(wide) < (limit // nb)[:, None]
+        for c in range(nc):
+            (h, v), (rows, cols) = f.parts[c], f.plane(c)
+            mine = np.flatnonzero(part == c)
+            x = blocks[:, :, mine][there]
+            frame = np.repeat(of[open_], there.sum(axis=1))
+            pixels = np.clip(np.rint((x * quant[c][frame][:, None]).reshape(-1, 64) @ _IDCT + 128), 0, 255).astype(np.int64)
+            u = unit[there][:, None]
+            top, left = 8 * (u // f.mx * v + np.arange(h * v) // h), 8 * (u % f.mx * h + np.arange(h * v) % h)
+            cell = np.repeat(frame, h * v)[:, None] * 256 + pixels
+            cut = (top + 8 > rows) | (left + 8 > cols)
+            if cut.any():
+                inside = (top.reshape(-1, 1) + np.arange(64) // 8 < rows) & (left.reshape(-1, 1) + np.arange(64) % 8 < cols)
+                cell = cell[inside]
+            counts[:, c] += np.bincount(cell.ravel(), minlength=256 * len(frames)).reshape(-1, 256)
+        done[open_] += limit // nb
+    good[of[~alive]] = False
+    return counts, good
+
+
 class Avi:
     """Header and frame index of an AVI file. Frames come from OpenDML indexes, else from idx1, else from a walk over
     the movi list; an index that doesn't point at chunks is not trusted."""
@@ -338,16 +463,26 @@ class Avi:
             at += 8 + size + (size & 1)
 
 
+def _bins(bins: int) -> np.ndarray:
+    """(256, bins): the shares of a pixel value in its two nearest bins."""
+    x = np.arange(256) * (bins - 1) / 255
+    lo, out = x.astype(np.int64), np.zeros((256, bins + 1))
+    out[np.arange(256), lo] += 1 - (x - lo)
+    out[np.arange(256), lo + 1] += x - lo
+    return out[:, :bins]
+
+
+LUMA, CHROMA = _bins(32), _bins(16)
+
+
 def histogram(planes: list[np.ndarray]) -> np.ndarray:
-    """32 luma bins and 16 for each chroma plane, shares of the pixels. A value counts in its two nearest bins, so
-    that slow drift over a bin's edge changes little."""
-    out = []
-    for k, p in enumerate(planes[:3]):
-        bins = 16 if k else 32
-        x = p.ravel().astype(np.float64) * (bins - 1) / 255
-        lo = x.astype(np.int64)
-        h = np.bincount(lo, 1 - (x - lo), bins + 1) + np.bincount(lo + 1, x - lo, bins + 1)
-        out.append(h[:bins] / len(x))
+    return histogram_of([np.bincount(p.ravel(), minlength=256) for p in planes])
+
+
+def histogram_of(counts) -> np.ndarray:
+    """32 luma bins and 16 for each chroma plane, shares of the pixels, from counts of pixel values. A value counts in
+    its two nearest bins, so that slow drift over a bin's edge changes little."""
+    out = [c @ (CHROMA if k else LUMA) / c.sum() for k, c in enumerate(counts[:3])]
     weight = [0.6, 0.2, 0.2] if len(out) == 3 else [1 / len(out)] * len(out)
     return np.concatenate([h * w for h, w in zip(out, weight)])
 
@@ -368,37 +503,90 @@ def cuts(hists: list[np.ndarray], window: int = WINDOW, factor: float = FACTOR,
     return starts
 
 
-def clip_rows(data: bytes | None) -> list[dict]:
-    """One row per shot; of media that can't be read, one row with the error."""
-    if data is None:
-        return []
-    none = dict.fromkeys(("clip", "start_frame", "n_frames", "start_s", "end_s", "width", "height", "error"))
+def histograms(frames: list[bytes]) -> list[tuple[np.ndarray, tuple[int, int]] | None]:
+    """(histogram, size) of each JPEG, None where it can't be decoded. Those of one layout are decoded together."""
+    out: list = [None] * len(frames)
+    groups: dict[tuple, list[tuple[int, Frame]]] = {}
+    for i, data in enumerate(frames):
+        try:
+            f = Frame(data)
+            groups.setdefault(f.layout(), []).append((i, f))
+        except (MediaError, IndexError, ValueError):
+            pass
+    for group in groups.values():
+        try:
+            counts, good = level_counts([f for _, f in group])
+        except MediaError:
+            continue
+        for (i, f), c, ok in zip(group, counts, good):
+            if ok:
+                out[i] = (histogram_of(c), f.plane(0))
+    return out
+
+
+_NONE = dict.fromkeys(("clip", "start_frame", "n_frames", "start_s", "end_s", "width", "height", "error"))
+
+
+def _opened(data: bytes) -> tuple[Avi, list[tuple[int, int]]] | str:
     try:
-        avi = Avi(data)
-        hists: list[np.ndarray] = []
-        size, bad, last = (0, 0), 0, None
-        for at, n in avi.frames():
-            if n:
-                try:
-                    planes = decode_jpeg(data[at : at + n])
-                    last, size = histogram(planes), planes[0].shape
-                except MediaError:
-                    bad += 1
-            if last is not None:
-                hists.append(last)
-        if not hists:
-            raise MediaError("no frame can be decoded")
-        starts = cuts(hists)
-        return [none | {"clip": k, "start_frame": a, "n_frames": b - a, "start_s": a * avi.usec / 1e6, "end_s": b * avi.usec / 1e6, "width": size[1], "height": size[0],
-                        "error": f"{bad} frames can't be decoded" if bad else None} for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(hists)]))]
+        film = Avi(data)
+        return film, film.frames()
     except (MediaError, struct.error, IndexError, ValueError, RecursionError) as e:
-        return [none | {"error": str(e) or type(e).__name__}]
+        return str(e) or type(e).__name__
+
+
+def films_rows(films: list[bytes | None]) -> list[list[dict]]:
+    """The rows of each film: one per shot; of media that can't be read, one row with the error. Frames of all films
+    are decoded together, TOGETHER_BYTES of them at a time."""
+    opened = [None if d is None else _opened(d) for d in films]
+    found: list[list] = [[] if isinstance(o, tuple) else None for o in opened]
+    some: list[tuple[int, bytes]] = []
+
+    def decode() -> None:
+        for (i, _), h in zip(some, histograms([b for _, b in some])):
+            found[i].append(h)
+        some.clear()
+
+    held = 0
+    for i, o in enumerate(opened):
+        for at, n in o[1] if isinstance(o, tuple) else ():
+            if n:
+                some.append((i, films[i][at : at + n]))
+                held += n
+                if held > TOGETHER_BYTES:
+                    decode()
+                    held = 0
+    decode()
+    return [[] if o is None else [_NONE | {"error": o}] if isinstance(o, str) else _shots(*o, found[i]) for i, o in enumerate(opened)]
+
+
+def _shots(film: Avi, frames: list[tuple[int, int]], decoded: list) -> list[dict]:
+    hists: list[np.ndarray] = []
+    size, bad, last, them = (0, 0), 0, None, iter(decoded)
+    for _, n in frames:
+        if n:
+            h = next(them)
+            if h is None:
+                bad += 1
+            else:
+                last, size = h
+        if last is not None:
+            hists.append(last)
+    if not hists:
+        return [_NONE | {"error": "no frame can be decoded"}]
+    starts = cuts(hists)
+    return [_NONE | {"clip": k, "start_frame": a, "n_frames": b - a, "start_s": a * film.usec / 1e6, "end_s": b * film.usec / 1e6, "width": size[1], "height": size[0],
+                     "error": f"{bad} frames can't be decoded" if bad else None} for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(hists)]))]
+
+
+def clip_rows(data: bytes | None) -> list[dict]:
+    return films_rows([data])[0]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("clip", T.IntegerType()), ("start_frame", T.IntegerType()), ("n_frames", T.IntegerType()), ("start_s", T.DoubleType()),
                                                                        ("end_s", T.DoubleType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("error", T.StringType()))])))
 def clips_of(media: pd.Series) -> pd.Series:
-    return media.map(lambda b: clip_rows(bytes(b) if b is not None else None))
+    return pd.Series(films_rows([bytes(b) if b is not None else None for b in media]), index=media.index, dtype=object)
 
 
 def clips(media: DataFrame, id_col: str, media_col: str) -> DataFrame:

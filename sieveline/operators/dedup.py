@@ -13,19 +13,25 @@ from pyspark.sql.window import Window
 from ..functions.text import prefix_key
 from .components import connected_components
 
-#: Vectors in a block of the pair search: two blocks and their product fit easily in a task.
-BLOCK_ROWS = 2048
+#: Vectors in a block of the pair search, and in a tile of a block: a task holds two blocks and the product of two tiles.
+#: Each vector goes to as many tasks as there are blocks.
+BLOCK_ROWS, TILE = 32_768, 2048
 
 
 def prefix_dedup(df: DataFrame, n: int, order: list, text: str = "text", within: list[str] = ()) -> DataFrame:
     """First row, in `order`, of each md5 of the first n characters (within groups if given). A window, because
     dropDuplicates may keep any row."""
-    w = Window.partitionBy(*within, prefix_key(F.col(text), n)).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.withColumn("_rn", prefix_rank(n, order, text, within)).where("_rn = 1").drop("_rn")
 
 
-def blocks_of(rows: int) -> int:
-    return max(1, math.ceil(rows / BLOCK_ROWS))
+def prefix_rank(n: int, order: list, text: str = "text", within: list[str] = ()):
+    """Rank of a row, in `order`, among those of its first n characters: 1 for the row that prefix_dedup() keeps."""
+    return F.row_number().over(Window.partitionBy(*within, prefix_key(F.col(text), n)).orderBy(*order))
+
+
+def blocks_of(rows: int, tasks: int = 1) -> int:
+    """Blocks of BLOCK_ROWS; smaller ones while pairs of blocks are fewer than tasks that can run."""
+    return max(1, math.ceil(rows / BLOCK_ROWS), min(math.ceil(rows / 256), math.ceil(math.sqrt(2 * tasks))))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int | None = None) -> DataFrame:
@@ -33,7 +39,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
 
     Rows are hashed into blocks; each pair of blocks meets in one task, as a matrix product of whole blocks."""
     v = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    b = blocks or blocks_of(v.count())
+    b = blocks or blocks_of(v.count(), v.sparkSession.sparkContext.defaultParallelism)
     placed = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
     task = F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda o: F.struct(F.least(F.col("b"), o).alias("x"), F.greatest(F.col("b"), o).alias("y"))))
     spread = placed.select("id", "v", "b", task.alias("t")).select("id", "v", "b", "t.x", "t.y")
@@ -48,11 +54,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
         (ia, a), (ib, c) = side(key[0]), side(key[1])
         if not len(ia) or not len(ib):
             return pd.DataFrame({"i": [], "j": [], "similarity": []}).astype({"i": "int64", "j": "int64"})
-        s = a @ c.T
-        x, y = np.nonzero(s > threshold)
-        i, j, s = ia[x], ib[y], s[x, y]
-        one = (x < y) if key[0] == key[1] else np.ones(len(i), bool)
-        return pd.DataFrame({"i": np.minimum(i, j)[one], "j": np.maximum(i, j)[one], "similarity": s[one]})
+        found = []
+        for p in range(0, len(a), TILE):
+            for r in range(p if key[0] == key[1] else 0, len(c), TILE):
+                s = a[p : p + TILE] @ c[r : r + TILE].T
+                x, y = np.nonzero(s > threshold)
+                one = (x + p < y + r) if key[0] == key[1] else np.ones(len(x), bool)
+                i, j = ia[x[one] + p], ib[y[one] + r]
+                found.append(pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": s[x[one], y[one]]}))
+        return pd.concat(found)
 
     return spread.groupBy("x", "y").applyInPandas(pairs, "i bigint, j bigint, similarity double").where("i <> j")
 
@@ -71,10 +81,13 @@ def greedy_cross(pairs: list[tuple[int, int]], length: dict[int, int]) -> set[in
     """Pairs (left, right) by left row: a left row that lives when its turn comes meets all its living right rows,
     even after it has lost to one."""
     gone: set[int] = set()
-    for left in sorted({s for s, _ in pairs}):
+    by_left: dict[int, list[int]] = {}
+    for left, right in sorted(pairs):
+        by_left.setdefault(left, []).append(right)
+    for left, rights in by_left.items():
         if left in gone:
             continue
-        for right in sorted(m for s, m in pairs if s == left):
+        for right in rights:
             if right not in gone:
                 gone.add(right if length[left] >= length[right] else left)
     return gone
@@ -98,22 +111,34 @@ def _resolve(pairs: DataFrame, lengths: DataFrame, rule) -> DataFrame:
     return of.join(li, "i").join(lj, "j").groupBy("root").applyInPandas(replay, "id bigint")
 
 
+def semantic_rejects(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
+    """(id) of the rows that the greedy rule drops. A component of similar rows is replayed in one task, as the rule is
+    sequential; only its pairs, ids and lengths go there."""
+    lengths = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(length_col).alias("length"))
+    return _resolve(similar_pairs(vectors, threshold, id_col, vec_col), lengths, greedy_self)
+
+
 def semantic_dedup(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
     """`vectors` less the rows that the greedy rule drops. Ids give the order of rows and are unique."""
-    lengths = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(length_col).alias("length"))
-    gone = _resolve(similar_pairs(vectors, threshold, id_col, vec_col), lengths, greedy_self)
+    gone = semantic_rejects(vectors, threshold, id_col, vec_col, length_col)
     return vectors.join(gone, vectors[id_col] == gone.id, "left_anti")
 
 
-def cross_source_dedup(vectors: DataFrame, threshold: float, left: str, right: str, source_col: str = "source", id_col: str = "vec_id",
-                       vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
-    """`vectors` less what the bipartite rule drops between two sources; unchanged if one of them is missing."""
+def cross_source_rejects(vectors: DataFrame, threshold: float, left: str, right: str, source_col: str = "source", id_col: str = "vec_id",
+                         vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
+    """(id) of the rows that the bipartite rule drops between two sources; none if one of them is missing."""
     ids = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(length_col).alias("length"), F.col(source_col).alias("s"))
     p = similar_pairs(vectors, threshold, id_col, vec_col)
     a, b = ids.select(F.col("id").alias("i"), F.col("s").alias("si")), ids.select(F.col("id").alias("j"), F.col("s").alias("sj"))
     both = p.join(a, "i").join(b, "j")
     ordered = both.where((F.col("si") == left) & (F.col("sj") == right)).select("i", "j").union(both.where((F.col("si") == right) & (F.col("sj") == left)).select("j", "i"))
-    gone = _resolve(ordered, ids.select("id", "length"), greedy_cross)
+    return _resolve(ordered, ids.select("id", "length"), greedy_cross)
+
+
+def cross_source_dedup(vectors: DataFrame, threshold: float, left: str, right: str, source_col: str = "source", id_col: str = "vec_id",
+                       vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
+    """`vectors` less what the bipartite rule drops between two sources; unchanged if one of them is missing."""
+    gone = cross_source_rejects(vectors, threshold, left, right, source_col, id_col, vec_col, length_col)
     return vectors.join(gone, vectors[id_col] == gone.id, "left_anti")
 
 

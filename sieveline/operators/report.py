@@ -41,12 +41,21 @@ def length_stats(df: DataFrame, length) -> DataFrame:
 def fractions(before: DataFrame, after: DataFrame, key: str = "stratum") -> DataFrame:
     """(stratum, count_before, fraction_before, count_after, fraction_after), shares to 4 places."""
     both = before.select(key, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(key, F.lit(0).alias("b"), F.lit(1).alias("a")))
-    g = both.groupBy(key).agg(F.sum("b").alias("count_before"), F.sum("a").alias("count_after"))
+    return _shares(both.groupBy(key).agg(F.sum("b").alias("count_before"), F.sum("a").alias("count_after")), key)
+
+
+def _shares(g: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(F.lit(1))  # one row per stratum
     share = lambda c: F.coalesce(F.round(F.try_divide(F.col(c), F.sum(c).over(w)), 4), F.lit(0.0))
     return g.select(key, "count_before", share("count_before").alias("fraction_before"), "count_after", share("count_after").alias("fraction_after"))
 
 
+def kept_fractions(df: DataFrame, kept, key: str = "stratum") -> DataFrame:
+    """fractions() of the rows of df and of those that are kept (a condition), from one pass over df."""
+    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("count_before"), F.count(F.when(kept, 1)).alias("count_after"))
+    return _shares(g, key)
+
+
 def retention(initial: DataFrame, final: DataFrame, source: str = "source") -> DataFrame:
     """(source, initial, final, retained_pct) of each source."""
     both = initial.select(source, F.lit(1).alias("i"), F.lit(0).alias("f")).unionByName(final.select(source, F.lit(0).alias("i"), F.lit(1).alias("f")))

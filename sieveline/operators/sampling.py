@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Classifier
-from ..functions.text import seeded
-from .dedup import prefix_dedup
+from ..functions.text import prefix_key, seeded
+from ..sources.files import bounded, cut
+from .ranks import helpers, thresholds, with_thresholds
 
 
 def quotas(c: Classifier, total: int) -> dict[str, int]:
@@ -23,37 +24,60 @@ def _per(values: dict[str, int], key: Column) -> Column:
     return out
 
 
+def picks(df: DataFrame, targets: dict[str, int], seed: int, id_col: str = "id", source: str = "source", stratum: str = "stratum", visits: int = 10) -> DataFrame:
+    """(id, stratum, pick) of round_robin(). Only rows that may be picked reach a window over a stratum: the first
+    visits * target of a source, and of the rest the first target in seeded order, both cut before the shuffle."""
+    most = max(targets.values(), default=0)
+    rows = cut(df.select(F.col(id_col).alias("_i"), F.col(stratum).alias("_s"), F.coalesce(F.col(source), F.lit("unknown")).alias("_src")).where(F.col(stratum).isin(*targets)))
+    # A row per stratum and source.
+    per = Window.partitionBy("_s")
+    pairs = rows.groupBy("_s", "_src").agg(F.lit(1).alias("_one")).drop("_one")
+    pairs = pairs.withColumn("_pos", F.dense_rank().over(per.orderBy(seeded(seed, F.col("_src")), "_src")) - 1).withColumn("_n", F.count(F.lit(1)).over(per)).withColumn("_target", _per(targets, F.col("_s")))
+    pairs = cut(pairs.withColumn("_rounds", F.greatest(F.lit(0), F.ceil((visits * F.col("_target") - F.col("_pos")) / F.col("_n")))))
+    first = rows.withColumn("_round", F.row_number().over(Window.partitionBy("_s", "_src").orderBy("_i"))).where(f"_round <= {visits * most}")
+    near = cut(first.join(bounded(pairs), ["_s", "_src"]).where("_round <= _rounds").select("_i", "_s", "_src", "_target", ((F.col("_round") - 1) * F.col("_n") + F.col("_pos")).alias("_visit")))
+    # Strata that the visits leave short take from the rest of their rows.
+    short = near.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"), F.max("_target").alias("_t")).where("_c < _t").select("_s")
+    last = pairs.join(near.groupBy("_s", "_src").agg(F.max("_i").alias("_last")), ["_s", "_src"], "left").join(F.broadcast(short), "_s", "left_semi").select("_s", "_src", "_target", "_last")
+    rest = rows.join(bounded(cut(last)), ["_s", "_src"]).where("_last is null or _i > _last").withColumn("_key", seeded(seed, F.col("_i")))
+    rest = rest.withColumn("_rn", F.row_number().over(per.orderBy("_key", "_i"))).where(f"_rn <= {most}")
+    both = near.select("_i", "_s", "_target", "_visit", F.lit(None).cast("string").alias("_key")).unionByName(rest.select("_i", "_s", "_target", F.lit(None).cast("bigint").alias("_visit"), "_key"))
+    ranked = both.withColumn("pick", F.row_number().over(per.orderBy(F.col("_key").isNotNull(), "_visit", "_key", "_i"))).where(f"pick <= {most} and pick <= _target")
+    return ranked.select(F.col("_i").alias("id"), F.col("_s").alias("stratum"), "pick")
+
+
 def round_robin(df: DataFrame, targets: dict[str, int], seed: int, id_col: str = "id", source: str = "source", stratum: str = "stratum", visits: int = 10) -> DataFrame:
     """Per stratum, up to its target: sources in seeded order are visited in turn, each giving its next row by id, for
     at most visits * target visits; what is then missing comes from the rest in seeded order. Adds `pick`, the rank.
-    A stratum without rows or target gives none."""
-    per = Window.partitionBy(stratum)
-    src = F.coalesce(F.col(source), F.lit("unknown"))
-    a = df.withColumn("_src", src)
-    a = a.withColumn("_round", F.row_number().over(Window.partitionBy(stratum, "_src").orderBy(id_col)) - 1)
-    a = a.withColumn("_pos", F.dense_rank().over(per.orderBy(seeded(seed, F.col("_src")), "_src")) - 1)
-    a = a.withColumn("_n", F.max("_pos").over(per) + 1).withColumn("_visit", F.col("_round") * F.col("_n") + F.col("_pos"))
-    a = a.withColumn("_target", _per(targets, F.col(stratum))).withColumn("_fill", F.col("_visit") >= visits * F.col("_target"))
-    order = [F.col("_fill"), F.when(~F.col("_fill"), F.col("_visit")), F.when(F.col("_fill"), seeded(seed, F.col(id_col))), F.col(id_col)]
-    most = max(targets.values(), default=0)
-    # The literal bound lets Spark drop rows before the shuffle; the column bound is the exact one.
-    return a.withColumn("pick", F.row_number().over(per.orderBy(*order))).where(f"pick <= {most} and pick <= _target").drop("_src", "_round", "_pos", "_n", "_visit", "_target", "_fill")
+    A stratum without rows or target gives none. Ids are unique. The picked rows, of bounded number, are joined back, so
+    the others' columns aren't moved."""
+    found = cut(picks(df, targets, seed, id_col, source, stratum, visits)).toDF("_i", "_s", "pick")
+    return df.join(bounded(found), df[id_col].eqNullSafe(F.col("_i")) & (df[stratum] == F.col("_s"))).drop("_i", "_s")
+
+
+def chunk_picks(chunks: DataFrame, c: Classifier, total: int, seed: int, id_col: str = "id", short: int = 100, long: int = 150) -> DataFrame:
+    """(id, stratum, pick) of stratified_chunk_sample(), from ids and keys alone."""
+    keys = cut(chunks.select(F.col(id_col).alias("id"), "stratum", "source", prefix_key(F.col("text"), short).alias("k"), prefix_key(F.col("text"), long).alias("kk")))
+    first = F.row_number().over(Window.partitionBy("stratum", "k").orderBy("id"))
+    unique = keys.withColumn("_rn", first).where("_rn = 1").drop("_rn")
+    picked = cut(round_robin(unique, quotas(c, total), seed))
+    rank = _per({s.name: k for k, s in enumerate(c.strata)}, F.col("stratum"))
+    return picked.withColumn("_rn", F.row_number().over(Window.partitionBy("kk").orderBy(rank, "pick"))).where("_rn = 1").select("id", "stratum", "pick")
 
 
 def stratified_chunk_sample(chunks: DataFrame, c: Classifier, total: int, seed: int, id_col: str = "id", short: int = 100, long: int = 150) -> DataFrame:
     """Dedup by short prefix within strata, round-robin sample to the strata's shares of total, dedup by long prefix
-    across strata in order of the strata."""
-    unique = prefix_dedup(chunks, short, [F.col(id_col)], within=["stratum"])
-    picked = round_robin(unique, quotas(c, total), seed, id_col)
-    rank = _per({s.name: k for k, s in enumerate(c.strata)}, F.col("stratum"))
-    return prefix_dedup(picked, long, [rank, F.col("pick")])
+    across strata in order of the strata. Ids are unique; the texts of what isn't picked aren't moved."""
+    found = cut(chunk_picks(chunks, c, total, seed, id_col, short, long)).select(F.col("id").alias("_i"), "pick")
+    return chunks.join(bounded(found), chunks[id_col].eqNullSafe(F.col("_i"))).drop("_i")
 
 
 def stratified_fraction(df: DataFrame, fraction: float, seed: int, id_col: str = "id", stratum: str = "stratum") -> DataFrame:
-    """max(1, floor(n * fraction)) rows of each stratum."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(seeded(seed, F.col(id_col)), id_col))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).drop("_rn", "_n")
+    """max(1, floor(n * fraction)) rows of each stratum, the first in seeded order: those up to a threshold of the key."""
+    key = seeded(seed, F.col(id_col))
+    found = thresholds(df, [stratum], key, id_col, {"kept": F.greatest(F.lit(1), F.floor(F.col("n") * fraction))})
+    both, at = with_thresholds(df, found, [stratum], key, id_col, ["kept"])
+    return both.where(at["kept"]).drop(*helpers(["kept"]))
 
 
 def balance_counts(counts: dict[str, int], share: float = 0.40, rounds: int = 10) -> dict[str, int]:
@@ -70,31 +94,36 @@ def balance_counts(counts: dict[str, int], share: float = 0.40, rounds: int = 10
 
 def balance(df: DataFrame, seed: int, share: float = 0.40, rounds: int = 10, id_col: str = "id", stratum: str = "stratum") -> DataFrame:
     """Rows that the capped counts leave of each stratum, in seeded order. Nested samples of one order collapse to a
-    single rank filter; the driver sees one count per stratum."""
+    single threshold of the key per stratum; the driver sees one count per stratum."""
     counts = {r[0]: r[1] for r in df.groupBy(stratum).agg(F.count(F.lit(1))).collect()}
     caps = balance_counts(counts, share, rounds)
     capped = {k: v for k, v in caps.items() if v < counts[k] and k is not None}
     if not capped:
         return df
-    over = F.coalesce(F.col(stratum).isin(*capped), F.lit(False))
-    # Only strata above their cap are ranked.
-    w = Window.partitionBy(stratum).orderBy(seeded(seed, F.col(id_col)), id_col)
-    kept = df.where(over).withColumn("_rn", F.row_number().over(w)).where(f"_rn <= {max(capped.values())}").where(F.col("_rn") <= _per(capped, F.col(stratum))).drop("_rn")
-    return df.where(~over).unionByName(kept)
+    over, key = F.coalesce(F.col(stratum).isin(*capped), F.lit(False)), seeded(seed, F.col(id_col))
+    found = thresholds(df.where(over), [stratum], key, id_col, {"kept": _per(capped, F.col(stratum))})
+    both, at = with_thresholds(df, found, [stratum], key, id_col, ["kept"])
+    return both.where(~over | at["kept"]).drop(*helpers(["kept"]))
 
 
 def stratified_split(df: DataFrame, seed: int, keys: list[str], train: float = 0.90, valid: float = 0.05, id_col: str = "id") -> DataFrame:
     """Adds split: by group floor(n * train) but 1 at least to train, then valid, the rest test; when these leave
     nothing, valid gives way."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(seeded(seed, F.col(id_col)), id_col))).withColumn("_n", F.count(F.lit(1)).over(w))
-    nt, nv = F.greatest(F.lit(1), F.floor(F.col("_n") * train)), F.floor(F.col("_n") * valid)
-    nv = F.when(nt + nv >= F.col("_n"), F.greatest(F.lit(0), F.col("_n") - nt - 1)).otherwise(nv)
-    split = F.when(F.col("_rn") <= nt, F.lit("train")).when(F.col("_rn") <= nt + nv, F.lit("valid")).otherwise(F.lit("test"))
-    return ranked.withColumn("split", split).drop("_rn", "_n")
+    n = F.col("n")
+    nt, nv = F.greatest(F.lit(1), F.floor(n * train)), F.floor(n * valid)
+    nv = F.when(nt + nv >= n, F.greatest(F.lit(0), n - nt - 1)).otherwise(nv)
+    return _split(df, keys, seed, id_col, nt, nt + nv)
+
+
+def _split(df: DataFrame, keys: list[str], seed: int, id_col: str, train: Column, both: Column) -> DataFrame:
+    """Adds split by thresholds of the seeded key; train and both are ranks, expressions of n. Rows aren't moved."""
+    key, names = seeded(seed, F.col(id_col)), ["train", "valid"]
+    found = thresholds(df, keys, key, id_col, {"train": train, "valid": both})
+    rows, at = with_thresholds(df, found, keys, key, id_col, names)
+    return rows.withColumn("split", F.when(at["train"], "train").when(at["valid"], "valid").otherwise("test")).drop(*helpers(names))
 
 
-def global_rank(df: DataFrame, key: Column, ties: str, bucket_chars: int = 3) -> DataFrame:
+def global_rank(df: DataFrame, key: Column, ties: str, bucket_chars: int = 4) -> DataFrame:
     """Adds _rank (from 1, by the hex key) and _total without a one-partition window: ranks within prefixes of the key
     plus the counts of the prefixes before."""
     a = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, bucket_chars))
@@ -107,25 +136,22 @@ def global_rank(df: DataFrame, key: Column, ties: str, bucket_chars: int = 3) ->
 
 def global_split(df: DataFrame, seed: int, train: int = 80, valid: int = 10, id_col: str = "id") -> DataFrame:
     """Adds split: floor(n * train / 100) rows in seeded order, then valid, the rest test."""
-    r = global_rank(df, seeded(seed, F.col(id_col)), id_col)
-    nt, nv = F.floor(F.col("_total") * train / 100), F.floor(F.col("_total") * valid / 100)
-    split = F.when(F.col("_rank") <= nt, F.lit("train")).when(F.col("_rank") <= nt + nv, F.lit("valid")).otherwise(F.lit("test"))
-    return r.withColumn("split", split).drop("_rank", "_total")
+    nt, nv = F.floor(F.col("n") * train / 100), F.floor(F.col("n") * valid / 100)
+    return _split(df, [], seed, id_col, nt, nt + nv)
 
 
 def halves(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Adds batch: 1 for the first n div 2 rows by id, 2 for the rest. Ids are ranked within hundreds of ranges, not in
-    one partition."""
-    low = df.agg(F.percentile_approx(id_col, [k / 64 for k in range(1, 64)], 10_000).alias("p")).first()["p"]
-    bounds = sorted(set(low or []))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col(id_col) > F.lit(b)).cast("int")
-    a = df.withColumn("_bucket", bucket)
-    counts = a.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_bucket", (F.sum("_c").over(Window.orderBy("_bucket")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    r = a.withColumn("_in", F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col))).join(F.broadcast(offsets), "_bucket")
-    return r.withColumn("batch", F.when(F.col("_in") + F.col("_before") <= F.floor(F.col("_total") / 2), 1).otherwise(2)).drop("_in", "_before", "_total", "_bucket")
+    """Adds batch: 1 for the first n div 2 rows by id, 2 for the rest; null ids come first, and rows of one id stay
+    together. Ids of any ordered type are sorted in ranges, not in one partition."""
+    rows = df.select(F.col(id_col).alias("i")).repartitionByRange("i").sortWithinPartitions("i").select("i", F.monotonically_increasing_id().alias("m"))
+    rows = cut(rows).withColumns({"p": F.shiftright("m", 33), "k": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))})
+    # A row per partition.
+    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    offsets = counts.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
+    last = rows.join(F.broadcast(offsets), "p").where(F.col("before") + F.col("k") + 1 == F.floor(F.col("n") / 2)).first()
+    i = F.col(id_col)
+    first = F.lit(False) if last is None else i.isNull() if last["i"] is None else i.isNull() | (i <= F.lit(last["i"]))
+    return df.withColumn("batch", F.when(first, 1).otherwise(2))
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:

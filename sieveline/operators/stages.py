@@ -69,13 +69,14 @@ def run_funnel(examples: DataFrame, c: FunnelConfig) -> list[StageResult]:
     return out
 
 
-def funnel_report(rejected: DataFrame, c: FunnelConfig, source: str = "source") -> DataFrame:
+def funnel_report(rejected: DataFrame, c: FunnelConfig, source: str = "source", names: tuple[str, ...] = STAGES, skip: frozenset[str] | None = None) -> DataFrame:
     """(stage_no, stage, source, before, rejected, remaining, rate, skipped) of all stages and sources from one
     aggregation by (source, rejected_at). Null sources count as 'unknown', unparsable rows as 'invalid'."""
+    skip = c.skip if skip is None else skip
     tag = F.when(F.col("messages").isNull(), F.lit("invalid")).otherwise(F.coalesce(F.col(source), F.lit("unknown")))
     cells = rejected.groupBy(tag.alias("source"), "rejected_at").agg(F.count(F.lit(1)).alias("n"))
-    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage_no"), F.lit(s).alias("stage"), F.lit(s in c.skip).alias("skipped")) for k, s in enumerate(STAGES, 1)]))
-    at = F.coalesce(F.col("rejected_at"), F.lit(len(STAGES) + 1))
+    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage_no"), F.lit(s).alias("stage"), F.lit(s in skip).alias("skipped")) for k, s in enumerate(names, 1)]))
+    at = F.coalesce(F.col("rejected_at"), F.lit(len(names) + 1))
     long = cells.select("source", "n", at.alias("at"), stages.alias("s")).select("source", "n", "at", "s.*")
     sums = long.groupBy("stage_no", "stage", "source", "skipped").agg(
         F.coalesce(F.sum(F.when(F.col("at") >= F.col("stage_no"), F.col("n"))), F.lit(0)).alias("before"),

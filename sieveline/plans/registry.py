@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions import text as X
 from ..functions.classify import chunk_text, extract_text, stratum
-from ..operators import dedup, evalstats, generation, quality, report, sampling, stages
+from ..operators import dedup, evalstats, funnel, generation, metrics, quality, report, sampling, stages
 from ..sources import files, schema
 from ..sources.files import table
 from ..streaming import incremental
@@ -67,6 +69,11 @@ def classified(spark, sf_dir):
     return c.withColumn("stratum", stratum(C.FIXTURE, chunk_text(F.col("source"), F.col("section_path"), F.col("text")), F.lower("source"), F.col("society"), F.col("category")))
 
 
+def strata(spark, sf_dir):
+    """(id, source, stratum) of classified(), written: the samplers read it more than once."""
+    return files.cut(classified(spark, sf_dir).select("id", "source", "stratum"))
+
+
 # --- Chunks
 
 
@@ -218,6 +225,60 @@ def passed(spark, sf_dir):
     return stages.passing(FX.examples(spark, sf_dir), FUNNEL)
 
 
+#: Vectors and scores for examples: one of the first 500 embeddings each, and a score for one in seven.
+_vec = "(id // 1000 * 5 + id % 1000) % 500"
+_WHOLE = C.FunnelConfig(evasive=C.EVASIVE_FIXTURE, classifier=C.FIXTURE, similarity=0.45, skip=frozenset({"extrapolation"}))
+WHOLE = f"""{PASSED}, fv AS (SELECT ps.id, ps.source, stratum, length(answer) AS length, embedding FROM ps JOIN embeddings ON vec_id = {_vec}),
+fp AS (SELECT row_number() OVER (ORDER BY a.id, b.id) AS n, a.id AS i, b.id AS j, a.length AS li, b.length AS lj FROM fv a JOIN fv b ON a.id < b.id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) > 0.45),
+fg(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN list_contains(gone, p.i) OR list_contains(gone, p.j) THEN gone ELSE list_append(gone, CASE WHEN p.li >= p.lj THEN p.j ELSE p.i END) END FROM fg JOIN fp p ON p.n = fg.k + 1),
+g5 AS (SELECT unnest(gone) AS id FROM fg WHERE k = (SELECT max(k) FROM fg)),
+fr AS (SELECT rj.id, rj.source, CASE WHEN rejected_at IS NOT NULL THEN rejected_at WHEN rj.id IN (SELECT id FROM g5) THEN 5 WHEN rj.id % 7 = 0 AND rj.id % 6 < 3 THEN 7 END AS at FROM rj)"""
+
+
+def whole(spark, sf_dir):
+    e = FX.examples(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings").where("vec_id < 500")
+    vectors = e.select("id", ((F.floor(F.col("id") / 1000) * 5 + F.col("id") % 1000) % 500).alias("vec_id")).join(v, "vec_id").select("id", "embedding")
+    scores = e.where("id % 7 = 0").select("id", (F.col("id") % 6).cast("int").alias("score"))
+    return funnel.run(e, _WHOLE, vectors, scores, ("major", "minor"))
+
+
+@query(f"""WITH RECURSIVE {WHOLE}, s(stage_no, stage) AS (VALUES (1, 'format'), (2, 'response_length'), (3, 'evasive'), (4, 'question_length'), (5, 'semantic_dedup'), (6, 'cross_source_dedup'), (7, 'llm_score'), (8, 'extrapolation')),
+g AS (SELECT stage_no, stage, source, count(CASE WHEN coalesce(at, 9) >= stage_no THEN 1 END) AS before, count(CASE WHEN at = stage_no THEN 1 END) AS rejected FROM fr, s GROUP BY ALL)
+SELECT stage_no, stage, source, before, rejected, before - rejected AS remaining, coalesce(round(rejected / nullif(before, 0), 4), 0) AS rate, stage_no = 8 AS skipped FROM g""")
+def funnel_eight_stages(spark, sf_dir):
+    """The report of the whole funnel; no cross-source pair is left where stage 5 ran. Stage 8 is skipped: SQL can't
+    grow its trees."""
+    return whole(spark, sf_dir).report
+
+
+_fcaps = "n0 AS (SELECT stratum, count(*) AS n FROM fk GROUP BY 1)" + "".join(f", n{k} AS (SELECT stratum, least(n, CAST(floor(sum(n) OVER () * 0.4::DOUBLE) AS BIGINT)) AS n FROM n{k - 1})" for k in range(1, 11))
+
+
+@query(f"""WITH RECURSIVE {WHOLE}, fk AS (SELECT fr.id, fr.source, stratum FROM fr JOIN ps USING (id) WHERE at IS NULL), {_fcaps},
+b AS (SELECT id, source, r.stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || id), id) AS rn FROM fk) r JOIN n10 USING (stratum) WHERE rn <= n),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY source, stratum) AS n FROM b), s AS (SELECT *, greatest(1, floor(n * 0.9::DOUBLE)) AS nt, floor(n * 0.05::DOUBLE) AS nv FROM r)
+SELECT id, source, stratum, CASE WHEN rn <= nt THEN 'train' WHEN rn <= nt + CASE WHEN nt + nv >= n THEN greatest(0, n - nt - 1) ELSE nv END THEN 'valid' ELSE 'test' END AS split FROM s""")
+def funnel_kept_splits(spark, sf_dir):
+    """What the whole funnel and the balance leave, with its split."""
+    return whole(spark, sf_dir).kept.select("id", "source", "stratum", "split")
+
+
+@query(f"WITH {REJECTED}, s(stage_no) AS (SELECT * FROM range(1, 5)) SELECT stage_no, source, count(CASE WHEN rejected_at = stage_no THEN 1 END) AS rejected FROM rj, s WHERE answer IS NOT NULL GROUP BY ALL")
+def s9_s10_funnel_files(spark, sf_dir):
+    """The whole run over files, dry and wet: JSON lines in, report and splits out."""
+    path, e = _stored(spark, "s10"), FX.examples(spark, sf_dir).where("answer is not null")
+    for s in ("major", "minor"):
+        files.write_jsonl(e.where(F.col("source") == s), f"{path}/in/{s}.jsonl")
+    c = C.FunnelConfig(evasive=C.EVASIVE_FIXTURE, classifier=C.FIXTURE, input_dir=f"{path}/in", output_dir=f"{path}/out", inputs=(("major.jsonl", "major"), ("minor.jsonl", "minor"), ("missing.jsonl", "minor")))
+    funnel.run_files(spark, replace(c, dry_run=True))
+    if files.exists(spark, f"{path}/out"):
+        raise AssertionError("a dry run wrote results")
+    done = funnel.run_files(spark, c)
+    back = [spark.read.schema(done.report.schema).json(f"{path}/{d}/cleanup_report") for d in ("in", "out")]
+    return back[0].intersect(back[1]).where("stage_no <= 4").select("stage_no", "source", "rejected")
+
+
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN src ELSE CASE doc_id % 4 WHEN 2 THEN '[]' ELSE 'sorry' END END AS said FROM (SELECT doc_id, '[{{\"q\": \"' || source || '\"}}]' AS src FROM documents)")
@@ -318,12 +379,26 @@ def j5_similar_pairs(spark, sf_dir):
     return dedup.similar_pairs(FX.vectors(spark, sf_dir), 0.45).withColumn("similarity", F.round("similarity", 4))
 
 
-@query()
+_cos = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+def sql_greedy(pairs: str, name: str) -> str:
+    """Recursive CTE `name`(k, gone) over pairs (n from 1 in order, i, j, li, lj): the lists of ids that are dropped."""
+    return f"{name}(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN list_contains(gone, p.i) OR list_contains(gone, p.j) THEN gone ELSE list_append(gone, CASE WHEN p.li >= p.lj THEN p.j ELSE p.i END) END FROM {name} JOIN {pairs} p ON p.n = {name}.k + 1)"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, label AS length, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM embeddings),
+p AS (SELECT row_number() OVER (ORDER BY a.vec_id, b.vec_id) AS n, a.vec_id AS i, b.vec_id AS j, a.length AS li, b.length AS lj FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE {_cos} > 0.45),
+{sql_greedy('p', 'g')} SELECT vec_id, source, length FROM v WHERE vec_id NOT IN (SELECT unnest(gone) FROM g WHERE k = (SELECT max(k) FROM g))""")
 def j5_semantic_dedup(spark, sf_dir):
     return dedup.semantic_dedup(FX.vectors(spark, sf_dir), 0.45).select("vec_id", "source", "length")
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, label AS length, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM embeddings),
+p AS (SELECT row_number() OVER (ORDER BY a.vec_id, b.vec_id) AS n, a.vec_id AS i, b.vec_id AS j, a.length AS li, b.length AS lj FROM v a JOIN v b ON a.source = 'even' AND b.source = 'odd' WHERE {_cos} > 0.45),
+s(k, gone, cur, lives) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, FALSE UNION ALL SELECT k + 1, CASE WHEN (CASE WHEN p.i = cur THEN lives ELSE NOT list_contains(gone, p.i) END) AND NOT list_contains(gone, p.j) THEN list_append(gone, CASE WHEN p.li >= p.lj THEN p.j ELSE p.i END) ELSE gone END,
+p.i, CASE WHEN p.i = cur THEN lives ELSE NOT list_contains(gone, p.i) END FROM s JOIN p ON p.n = s.k + 1)
+SELECT vec_id, source, length FROM v WHERE vec_id NOT IN (SELECT unnest(gone) FROM s WHERE k = (SELECT max(k) FROM s))""")
 def j6_cross_source_dedup(spark, sf_dir):
     return dedup.cross_source_dedup(FX.vectors(spark, sf_dir), 0.45, "even", "odd").select("vec_id", "source", "length")
 
@@ -409,8 +484,8 @@ def a6_distinct_sources(spark, sf_dir):
 @query(f"""WITH {STRATA}, d AS (SELECT stratum, count(*) AS b, count(CASE WHEN rn = 1 THEN 1 END) AS a FROM (SELECT stratum, row_number() OVER (PARTITION BY md5(substr(text, 1, 150)) ORDER BY id) AS rn FROM qc) GROUP BY ALL)
 SELECT stratum, b AS count_before, round(b / sum(b) OVER (), 4) AS fraction_before, a AS count_after, round(a / sum(a) OVER (), 4) AS fraction_after FROM d""")
 def a7_fractions(spark, sf_dir):
-    c = classified(spark, sf_dir)
-    return report.fractions(c, dedup.prefix_dedup(c, 150, [F.col("id")]))
+    c = classified(spark, sf_dir).withColumn("rn", dedup.prefix_rank(150, [F.col("id")]))
+    return report.kept_fractions(c, F.col("rn") == 1)
 
 
 @query(f"WITH {REJECTED} SELECT source, count(*) AS initial, count(CASE WHEN rejected_at IS NULL THEN 1 END) AS final, round(count(CASE WHEN rejected_at IS NULL THEN 1 END) * 100.0::DOUBLE / count(*), 1) AS retained_pct FROM rj GROUP BY ALL")
@@ -534,12 +609,12 @@ b AS (SELECT a.*, r * (max(p) OVER (PARTITION BY stratum) + 1) + p AS visit, tar
 c AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY visit >= 10 * target, CASE WHEN visit < 10 * target THEN visit END NULLS FIRST, CASE WHEN visit >= 10 * target THEN md5('42:' || id) END NULLS FIRST, id) AS pick FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY md5(substr(text, 1, 150)) ORDER BY {_rank}, pick) AS rn2 FROM c WHERE pick <= target) SELECT id, stratum, pick FROM d WHERE rn2 = 1""")
 def w1_w2_w3_round_robin_sample(spark, sf_dir):
-    return sampling.stratified_chunk_sample(classified(spark, sf_dir), C.FIXTURE, 400, 42).select("id", "stratum", "pick")
+    return sampling.chunk_picks(classified(spark, sf_dir), C.FIXTURE, 400, 42)
 
 
 @query(f"WITH {STRATA}, r AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY stratum) AS n FROM qc) SELECT id, stratum FROM r WHERE rn <= greatest(1, floor(n * 0.05::DOUBLE))")
 def w4_stratified_sample(spark, sf_dir):
-    return sampling.stratified_fraction(classified(spark, sf_dir), 0.05, 42).select("id", "stratum")
+    return sampling.stratified_fraction(strata(spark, sf_dir), 0.05, 42).select("id", "stratum")
 
 
 _caps = "n0 AS (SELECT stratum, count(*) AS n FROM qc GROUP BY 1)" + "".join(f", n{k} AS (SELECT stratum, least(n, CAST(floor(sum(n) OVER () * 0.4::DOUBLE) AS BIGINT)) AS n FROM n{k - 1})" for k in range(1, 11))
@@ -547,13 +622,13 @@ _caps = "n0 AS (SELECT stratum, count(*) AS n FROM qc GROUP BY 1)" + "".join(f",
 
 @query(f"WITH {STRATA}, {_caps}, r AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || id), id) AS rn FROM qc) SELECT id, r.stratum FROM r JOIN n10 USING (stratum) WHERE rn <= n")
 def w5_balance_cap(spark, sf_dir):
-    return sampling.balance(classified(spark, sf_dir), 42).select("id", "stratum")
+    return sampling.balance(strata(spark, sf_dir), 42).select("id", "stratum")
 
 
 @query(f"""WITH {STRATA}, r AS (SELECT id, source, stratum, row_number() OVER (PARTITION BY source, stratum ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY source, stratum) AS n FROM qc),
 s AS (SELECT *, greatest(1, floor(n * 0.9::DOUBLE)) AS nt, floor(n * 0.05::DOUBLE) AS nv FROM r) SELECT id, source, stratum, CASE WHEN rn <= nt THEN 'train' WHEN rn <= nt + CASE WHEN nt + nv >= n THEN greatest(0, n - nt - 1) ELSE nv END THEN 'valid' ELSE 'test' END AS split FROM s""")
 def w6_stratified_split(spark, sf_dir):
-    return sampling.stratified_split(classified(spark, sf_dir), 42, ["source", "stratum"]).select("id", "source", "stratum", "split")
+    return sampling.stratified_split(strata(spark, sf_dir), 42, ["source", "stratum"]).select("id", "source", "stratum", "split")
 
 
 @query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_returnflag, l_linestatus FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM r),
@@ -788,6 +863,64 @@ def _scorer():
     return lambda prompt: json.dumps({"score": int(prompt) % 6, "reason": "length"})
 
 
+@query("SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 2 END AS score, CASE n_chars % 5 WHEN 0 THEN '' WHEN 1 THEN 'cut' WHEN 2 THEN 'text' WHEN 3 THEN 'fenced' END AS reason, n_chars % 5 = 4 AS failed, n_chars % 5 IN (1, 2, 4) AS kept FROM documents")
+def x3_llm_scorer(spark, sf_dir):
+    """Replies without a score (0), with 3.7, with "4", in a fence, and without JSON; what has no score stays."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("string").alias("question"), F.lit("").alias("answer"))
+    said = generation.llm_scores(d, _judge, "doc_id", template="%s|%s|")
+    return said.withColumn("kept", F.coalesce(F.col("score") >= 3, F.lit(True)))
+
+
+def _judge():
+    replies = ['{"reason": ""}', 'hm</think>{"score": 3.7, "reason": "cut"}', '{"score": "4", "reason": "text"}', '```json\n{"score": 2, "reason": "fenced"}\n```', "five out of five"]
+    return lambda prompt: replies[int(prompt.split("|")[0]) % 5]
+
+
+@query("SELECT doc_id, CASE n_chars % 50 WHEN 0 THEN '(TIMEOUT)' WHEN 1 THEN '(ERROR: no)' ELSE 'P' || n_chars END AS response, n_chars % 50 < 2 AS failed FROM documents WHERE lang = 'en'")
+def x9_timeouts(spark, sf_dir):
+    """A provider that hangs for some prompts and fails for others; the rows say so."""
+    p = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("P"), "n_chars").alias("prompt"))
+    return generation.generate(p, _hanging, "doc_id", retries=1, timeout=0.05, marks=True).select("doc_id", "response", "failed")
+
+
+def _hanging():
+    def call(prompt: str) -> str:
+        k = int(prompt[1:]) % 50
+        if k == 0:
+            time.sleep(0.5)
+        if k == 1:
+            raise RuntimeError("no")
+        return prompt
+
+    return call
+
+
+@query("SELECT doc_id, round(length(text) / sqrt(length(text) ** 2 + (len(text) - len(replace(text, 'e', ''))) ** 2), 5) AS x, round((len(text) - len(replace(text, 'e', ''))) / sqrt(length(text) ** 2 + (len(text) - len(replace(text, 'e', ''))) ** 2), 5) AS y FROM documents")
+def x1_embeddings(spark, sf_dir):
+    e = generation.embeddings(table(spark, sf_dir, "documents"), _counts, "doc_id")
+    return e.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.round(F.col("embedding")[1].cast("double"), 5).alias("y"))
+
+
+def _counts():
+    """A model of two dimensions: characters, and how many are e."""
+    return lambda texts: [[len(t), t.count("e")] for t in texts]
+
+
+@query("SELECT count(*) AS rows, sum(n_chars) AS chars, count(CASE WHEN n_chars < 80 THEN 1 END) AS short FROM documents")
+def s13_metrics(spark, sf_dir):
+    """Counters taken in the pass that writes."""
+    d, path = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), _stored(spark, "s13")
+    got = metrics.observed(d, lambda x: x.write.parquet(path), "documents", chars=F.sum("n_chars"), short=F.count(F.when(F.col("n_chars") < 80, 1)))
+    return spark.createDataFrame([(got["rows"], got["chars"], got["short"])], "rows bigint, chars bigint, short bigint")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) WHERE doc_id % 3 <> 0")
+def s11_generation_options(spark, sf_dir):
+    """The first 100 chunks less those that are done."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return generation.to_generate(d, d.where("doc_id % 3 = 0"), C.GenerationConfig(limit=100), "doc_id")
+
+
 def _labelled(spark, sf_dir):
     """documents with text features, and quality where labelled."""
     d = table(spark, sf_dir, "documents").withColumn("question", F.substring("text", 1, 60)).withColumn("stratum", F.lit("alpha"))

@@ -7,11 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schema as S
 
+#: Bytes above which a side is no longer broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,21 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; a temporary folder of this machine in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'sieveline-shared')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(base)
+        _delete_at_end(spark, sc._jsc.sc().getCheckpointDir().get())
     return base
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new folder in the shared one, deleted when the application ends."""
     path = f"{shared_dir(spark)}/sieveline-{what}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)  # only what is there is deleted at the end
+    _delete_at_end(spark, path)
     return path
 
 
@@ -47,6 +58,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held_bytes(df: DataFrame) -> int:
+    """About the bytes that the rows of `df` take, strings and arrays by their length."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 16 + 24
+        return F.lit(48 if isinstance(kind, T.StructType) else 16)
+
+    each = sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(each.cast("bigint")), F.lit(0))).first()[0]
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its rows hold no more than `most` bytes; beyond that Spark chooses the join. Reads
+    `df`, so it should be written or checkpointed."""
+    return F.broadcast(df) if held_bytes(df) <= most else df
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(line, messages): blank lines are skipped; what isn't an object with a list of message objects has null
     messages and is kept, so that it is counted. Bytes that aren't UTF-8 don't fail the scan."""
@@ -89,5 +120,13 @@ def write_chunks(chunks: DataFrame, path: str, manifest: DataFrame) -> None:
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def write_report(report: DataFrame, output_dir: str, input_dir: str | None = None, dry_run: bool = False, name: str = "cleanup_report") -> str:
+    """The report as JSON lines under output_dir; a dry run, which writes nothing else, leaves it beside the input.
+    Returns the folder."""
+    path = f"{input_dir if dry_run and input_dir else output_dir}/{name}"
+    report.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
 def append_tier(results: DataFrame, path: str) -> None:
     results.write.mode("append").partitionBy("arena").parquet(path)

@@ -18,9 +18,9 @@ def group_key(groups: list[str]) -> Column:
 
 
 def thresholds(df: DataFrame, groups: list[str], key: Column, id_col: str, wanted: dict[str, Column]) -> DataFrame:
-    """(g, one struct(k, i) per name): for each group and name of `wanted` the key and id of the row whose rank, from 1
-    by (key, id), that expression of n (rows of the group) and the group columns gives; the last row beyond n, null below
-    1. g is group_key(groups).
+    """(g, one struct(k, i, m, c) per name): for each group and name of `wanted` the key and id of the row whose rank, from
+    1 by (key, id), that expression of n (rows of the group) and the group columns gives; the last row beyond n, null
+    below 1. Of c rows with that key and id, m are at or below the rank. g is group_key(groups).
 
     Counts by the first digits of the key find the cell that holds a rank, counts by the next ones a cell within it, and
     only the rows of that are ranked. `df` is read once."""
@@ -34,19 +34,36 @@ def thresholds(df: DataFrame, groups: list[str], key: Column, id_col: str, wante
     inside = rows.select("g", "k", "i", whole.alias("b")).join(bounded(at.select("g", "b").distinct()), ["g", "b"]).withColumn("d", cell)
     run = inside.groupBy("g", "b", "d").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("g", "b").orderBy("d")) - F.col("c"))
     last = run.join(at, ["g", "b"]).where("r > before and r <= before + c").select("g", "b", "d", "name", (F.col("r") - F.col("before")).alias("r"))
-    ranked = inside.join(last.select("g", "b", "d").distinct(), ["g", "b", "d"]).withColumn("r", F.row_number().over(Window.partitionBy("g", "b", "d").orderBy("k", "i")).cast("bigint"))
+    ranked = inside.join(last.select("g", "b", "d").distinct(), ["g", "b", "d"])
+    by = Window.partitionBy("g", "b", "d").orderBy("k", "i")
+    ranked = ranked.withColumns({"r": F.row_number().over(by).cast("bigint"), "m": F.rank().over(by), "c": F.count(F.lit(1)).over(Window.partitionBy("g", "b", "d", "k", "i"))}).withColumn("m", F.col("r") - F.col("m") + 1)
     found = ranked.join(last, ["g", "b", "d", "r"])
-    return found.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.struct("k", "i"))).alias(name) for name in wanted])
+    return found.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.struct("k", "i", "m", "c"))).alias(name) for name in wanted])
 
 
 def with_thresholds(df: DataFrame, found: DataFrame, groups: list[str], key: Column, id_col: str, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """`df` with the thresholds of each row's group, and by name whether the row is at or below them. Drop
-    helpers(names) in the end."""
+    helpers(names) in the end. Of rows with the key and id of a threshold that a rank parts, as many as it says are below;
+    they alone are numbered in a window."""
     small = cut(found.select(F.col("g").alias("_g"), *[F.col(n).alias(f"_t_{n}") for n in names]))
     both = df.withColumn("_g", group_key(groups)).join(bounded(small), "_g", "left")
-    me = F.struct(key.alias("k"), F.col(id_col).alias("i"))
-    return both, {n: F.coalesce(me <= F.col(f"_t_{n}"), F.lit(False)) for n in names}
+    me, limit = F.struct(key.alias("k"), F.col(id_col).alias("i")), {n: F.struct(F.col(f"_t_{n}.k").alias("k"), F.col(f"_t_{n}.i").alias("i")) for n in names}
+    parted = {n: F.coalesce(F.col(f"_t_{n}.m") < F.col(f"_t_{n}.c"), F.lit(False)) for n in names}
+    below = {n: F.col(f"_t_{n}").isNotNull() & (me <= limit[n]) for n in names}
+    if small.where(any_of(parted.values())).take(1):
+        tied = any_of(parted[n] & me.eqNullSafe(limit[n]) for n in names)
+        number = F.row_number().over(Window.partitionBy("_g", key, id_col).orderBy(F.lit(1)))
+        both = both.where(~tied).withColumn("_no", F.lit(0)).unionByName(both.where(tied).withColumn("_no", number))
+        below = {n: below[n] & ((me != limit[n]) | (F.col("_no") <= F.col(f"_t_{n}.m"))) for n in names}
+    return both, {n: F.coalesce(c, F.lit(False)) for n, c in below.items()}
+
+
+def any_of(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def helpers(names: list[str]) -> list[str]:
-    return ["_g", *[f"_t_{n}" for n in names]]
+    return ["_g", "_no", *[f"_t_{n}" for n in names]]

@@ -232,7 +232,7 @@ WHOLE = f"""{PASSED}, fv AS (SELECT ps.id, ps.source, stratum, length(answer) AS
 fp AS (SELECT row_number() OVER (ORDER BY a.id, b.id) AS n, a.id AS i, b.id AS j, a.length AS li, b.length AS lj FROM fv a JOIN fv b ON a.id < b.id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) > 0.45),
 fg(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN list_contains(gone, p.i) OR list_contains(gone, p.j) THEN gone ELSE list_append(gone, CASE WHEN p.li >= p.lj THEN p.j ELSE p.i END) END FROM fg JOIN fp p ON p.n = fg.k + 1),
 g5 AS (SELECT unnest(gone) AS id FROM fg WHERE k = (SELECT max(k) FROM fg)),
-fr AS (SELECT rj.id, rj.source, CASE WHEN rejected_at IS NOT NULL THEN rejected_at WHEN rj.id IN (SELECT id FROM g5) THEN 5 WHEN rj.id % 7 = 0 AND rj.id % 6 < 3 THEN 7 END AS at FROM rj)"""
+fr AS (SELECT rj.id, rj.source, CASE WHEN rejected_at IS NOT NULL THEN rejected_at WHEN rj.id IN (SELECT id FROM g5) THEN 5 WHEN rj.id % 7 = 0 AND rj.id % 6 < 3 THEN 7 END AS gone_at FROM rj)"""
 
 
 def whole(spark, sf_dir):
@@ -244,7 +244,7 @@ def whole(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {WHOLE}, s(stage_no, stage) AS (VALUES (1, 'format'), (2, 'response_length'), (3, 'evasive'), (4, 'question_length'), (5, 'semantic_dedup'), (6, 'cross_source_dedup'), (7, 'llm_score'), (8, 'extrapolation')),
-g AS (SELECT stage_no, stage, source, count(CASE WHEN coalesce(at, 9) >= stage_no THEN 1 END) AS before, count(CASE WHEN at = stage_no THEN 1 END) AS rejected FROM fr, s GROUP BY ALL)
+g AS (SELECT stage_no, stage, source, count(CASE WHEN coalesce(gone_at, 9) >= stage_no THEN 1 END) AS before, count(CASE WHEN gone_at = stage_no THEN 1 END) AS rejected FROM fr, s GROUP BY ALL)
 SELECT stage_no, stage, source, before, rejected, before - rejected AS remaining, coalesce(round(rejected / nullif(before, 0), 4), 0) AS rate, stage_no = 8 AS skipped FROM g""")
 def funnel_eight_stages(spark, sf_dir):
     """The report of the whole funnel; no cross-source pair is left where stage 5 ran. Stage 8 is skipped: SQL can't
@@ -255,7 +255,7 @@ def funnel_eight_stages(spark, sf_dir):
 _fcaps = "n0 AS (SELECT stratum, count(*) AS n FROM fk GROUP BY 1)" + "".join(f", n{k} AS (SELECT stratum, least(n, CAST(floor(sum(n) OVER () * 0.4::DOUBLE) AS BIGINT)) AS n FROM n{k - 1})" for k in range(1, 11))
 
 
-@query(f"""WITH RECURSIVE {WHOLE}, fk AS (SELECT fr.id, fr.source, stratum FROM fr JOIN ps USING (id) WHERE at IS NULL), {_fcaps},
+@query(f"""WITH RECURSIVE {WHOLE}, fk AS (SELECT fr.id, fr.source, stratum FROM fr JOIN ps USING (id) WHERE gone_at IS NULL), {_fcaps},
 b AS (SELECT id, source, r.stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || id), id) AS rn FROM fk) r JOIN n10 USING (stratum) WHERE rn <= n),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY source, stratum) AS n FROM b), s AS (SELECT *, greatest(1, floor(n * 0.9::DOUBLE)) AS nt, floor(n * 0.05::DOUBLE) AS nv FROM r)
 SELECT id, source, stratum, CASE WHEN rn <= nt THEN 'train' WHEN rn <= nt + CASE WHEN nt + nv >= n THEN greatest(0, n - nt - 1) ELSE nv END THEN 'valid' ELSE 'test' END AS split FROM s""")
@@ -728,7 +728,7 @@ def u3_difference(spark, sf_dir):
 
 
 def _stored(spark, what: str):
-    return files.scratch_path(spark, what)
+    return files.scratch_path(spark, what) + "/t"
 
 
 @query(f"WITH {FX.EXAMPLES} SELECT CASE WHEN id % 5 = 0 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM ex WHERE answer IS NOT NULL GROUP BY 1")

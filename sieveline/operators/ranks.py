@@ -18,34 +18,34 @@ def group_key(groups: list[str]) -> Column:
 
 
 def thresholds(df: DataFrame, groups: list[str], key: Column, id_col: str, wanted: dict[str, Column]) -> DataFrame:
-    """(g, one struct(k, i, m, c) per name): for each group and name of `wanted` the key and id of the row whose rank, from
-    1 by (key, id), that expression of n (rows of the group) and the group columns gives; the last row beyond n, null
-    below 1. Of c rows with that key and id, m are at or below the rank. g is group_key(groups).
+    """(_g, one struct(k, i, m, c) per name): for each group and name of `wanted` the key and id of the row whose rank, from
+    1 by (key, id), that expression of _n (rows of the group) and the group columns gives; the last row beyond n, null
+    below 1. Of c rows with that key and id, m are at or below the rank. _g is group_key(groups).
 
     Counts by the first digits of the key find the cell that holds a rank, counts by the next ones a cell within it, and
     only the rows of that are ranked. `df` is read once."""
-    rows = cut(df.select(group_key(groups).alias("g"), *groups, key.alias("k"), F.col(id_col).alias("i")))
-    whole, cell = F.substring("k", 1, FIRST), F.substring("k", FIRST + 1, SECOND)
-    counts = rows.groupBy("g", *groups, whole.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("g")
-    run = counts.withColumn("before", F.sum("c").over(w.orderBy("b")) - F.col("c")).withColumn("n", F.sum("c").over(w))
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(rank.cast("bigint"), F.col("n")).alias("r")) for name, rank in wanted.items()]))
-    at = cut(run.select("g", "b", "before", "c", asked.alias("x")).where("x.r > before and x.r <= before + c").select("g", "b", "x.name", (F.col("x.r") - F.col("before")).alias("r")))
-    inside = rows.select("g", "k", "i", whole.alias("b")).join(bounded(at.select("g", "b").distinct()), ["g", "b"]).withColumn("d", cell)
-    run = inside.groupBy("g", "b", "d").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("g", "b").orderBy("d")) - F.col("c"))
-    last = run.join(at, ["g", "b"]).where("r > before and r <= before + c").select("g", "b", "d", "name", (F.col("r") - F.col("before")).alias("r"))
-    ranked = inside.join(last.select("g", "b", "d").distinct(), ["g", "b", "d"])
-    by = Window.partitionBy("g", "b", "d").orderBy("k", "i")
-    ranked = ranked.withColumns({"r": F.row_number().over(by).cast("bigint"), "m": F.rank().over(by), "c": F.count(F.lit(1)).over(Window.partitionBy("g", "b", "d", "k", "i"))}).withColumn("m", F.col("r") - F.col("m") + 1)
-    found = ranked.join(last, ["g", "b", "d", "r"])
-    return found.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.struct("k", "i", "m", "c"))).alias(name) for name in wanted])
+    rows = cut(df.select(group_key(groups).alias("_g"), *groups, key.alias("_k"), F.col(id_col).alias("_i")))
+    whole, cell = F.substring("_k", 1, FIRST), F.substring("_k", FIRST + 1, SECOND)
+    counts = rows.groupBy("_g", *groups, whole.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_g")
+    run = counts.withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).withColumn("_n", F.sum("_c").over(w))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(rank.cast("bigint"), F.col("_n")).alias("r")) for name, rank in wanted.items()]))
+    at = cut(run.select("_g", "_b", "_before", "_c", asked.alias("_x")).where("_x.r > _before and _x.r <= _before + _c").select("_g", "_b", "_x.name", (F.col("_x.r") - F.col("_before")).alias("_r")))
+    inside = rows.select("_g", "_k", "_i", whole.alias("_b")).join(bounded(at.select("_g", "_b").distinct()), ["_g", "_b"]).withColumn("_d", cell)
+    run = inside.groupBy("_g", "_b", "_d").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_d")) - F.col("_c"))
+    last = run.join(at, ["_g", "_b"]).where("_r > _before and _r <= _before + _c").select("_g", "_b", "_d", "name", (F.col("_r") - F.col("_before")).alias("_r"))
+    ranked = inside.join(last.select("_g", "_b", "_d").distinct(), ["_g", "_b", "_d"])
+    by = Window.partitionBy("_g", "_b", "_d").orderBy("_k", "_i")
+    ranked = ranked.withColumns({"_r": F.row_number().over(by).cast("bigint"), "_m": F.rank().over(by), "_c": F.count(F.lit(1)).over(Window.partitionBy("_g", "_b", "_d", "_k", "_i"))}).withColumn("_m", F.col("_r") - F.col("_m") + 1)
+    found = ranked.join(last, ["_g", "_b", "_d", "_r"])
+    return found.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, F.struct(F.col("_k").alias("k"), F.col("_i").alias("i"), F.col("_m").alias("m"), F.col("_c").alias("c")))).alias(name) for name in wanted])
 
 
 def with_thresholds(df: DataFrame, found: DataFrame, groups: list[str], key: Column, id_col: str, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """`df` with the thresholds of each row's group, and by name whether the row is at or below them. Drop
     helpers(names) in the end. Of rows with the key and id of a threshold that a rank parts, as many as it says are below;
     they alone are numbered in a window."""
-    small = cut(found.select(F.col("g").alias("_g"), *[F.col(n).alias(f"_t_{n}") for n in names]))
+    small = cut(found.select("_g", *[F.col(n).alias(f"_t_{n}") for n in names]))
     both = df.withColumn("_g", group_key(groups)).join(bounded(small), "_g", "left")
     me, limit = F.struct(key.alias("k"), F.col(id_col).alias("i")), {n: F.struct(F.col(f"_t_{n}.k").alias("k"), F.col(f"_t_{n}.i").alias("i")) for n in names}
     parted = {n: F.coalesce(F.col(f"_t_{n}.m") < F.col(f"_t_{n}.c"), F.lit(False)) for n in names}

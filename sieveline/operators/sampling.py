@@ -75,7 +75,7 @@ def stratified_chunk_sample(chunks: DataFrame, c: Classifier, total: int, seed:
 def stratified_fraction(df: DataFrame, fraction: float, seed: int, id_col: str = "id", stratum: str = "stratum") -> DataFrame:
     """max(1, floor(n * fraction)) rows of each stratum, the first in seeded order: those up to a threshold of the key."""
     key = seeded(seed, F.col(id_col))
-    found = thresholds(df, [stratum], key, id_col, {"kept": F.greatest(F.lit(1), F.floor(F.col("n") * fraction))})
+    found = thresholds(df, [stratum], key, id_col, {"kept": F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))})
     both, at = with_thresholds(df, found, [stratum], key, id_col, ["kept"])
     return both.where(at["kept"]).drop(*helpers(["kept"]))
 
@@ -109,14 +109,14 @@ def balance(df: DataFrame, seed: int, share: float = 0.40, rounds: int = 10, id_
 def stratified_split(df: DataFrame, seed: int, keys: list[str], train: float = 0.90, valid: float = 0.05, id_col: str = "id") -> DataFrame:
     """Adds split: by group floor(n * train) but 1 at least to train, then valid, the rest test; when these leave
     nothing, valid gives way."""
-    n = F.col("n")
+    n = F.col("_n")
     nt, nv = F.greatest(F.lit(1), F.floor(n * train)), F.floor(n * valid)
     nv = F.when(nt + nv >= n, F.greatest(F.lit(0), n - nt - 1)).otherwise(nv)
     return _split(df, keys, seed, id_col, nt, nt + nv)
 
 
 def _split(df: DataFrame, keys: list[str], seed: int, id_col: str, train: Column, both: Column) -> DataFrame:
-    """Adds split by thresholds of the seeded key; train and both are ranks, expressions of n. Rows aren't moved."""
+    """Adds split by thresholds of the seeded key; train and both are ranks, expressions of _n. Rows aren't moved."""
     key, names = seeded(seed, F.col(id_col)), ["train", "valid"]
     found = thresholds(df, keys, key, id_col, {"train": train, "valid": both})
     rows, at = with_thresholds(df, found, keys, key, id_col, names)
@@ -136,7 +136,7 @@ def global_rank(df: DataFrame, key: Column, ties: str, bucket_chars: int = 4) ->
 
 def global_split(df: DataFrame, seed: int, train: int = 80, valid: int = 10, id_col: str = "id") -> DataFrame:
     """Adds split: floor(n * train / 100) rows in seeded order, then valid, the rest test."""
-    nt, nv = F.floor(F.col("n") * train / 100), F.floor(F.col("n") * valid / 100)
+    nt, nv = F.floor(F.col("_n") * train / 100), F.floor(F.col("_n") * valid / 100)
     return _split(df, [], seed, id_col, nt, nt + nv)
 
 

@@ -20,8 +20,9 @@ _DCT = np.array([[(np.sqrt(1 / 8) if u == 0 else 0.5) * np.cos((2 * x + 1) * u *
 #: Coefficients in zigzag order to pixels in rows.
 _IDCT = np.einsum("ux,vy->uvxy", _DCT, _DCT).reshape(64, 64)[ZIGZAG]
 
-#: Blocks that are decoded before they are counted, over all frames that are decoded together, and bytes of those frames.
-WINDOW_BLOCKS, TOGETHER_BYTES = 1 << 16, 48 << 20
+#: Blocks that are decoded before they are counted, over all frames that are decoded together; bytes and number of those
+#: frames; films whose rows are made together.
+WINDOW_BLOCKS, TOGETHER_BYTES, TOGETHER_FRAMES, FILMS = 1 << 15, 16 << 20, 2048, 256
 
 
 def _std_tables() -> dict[tuple[int, int], bytes]:
@@ -537,7 +538,7 @@ def _opened(data: bytes) -> tuple[Avi, list[tuple[int, int]]] | str:
 
 def films_rows(films: list[bytes | None]) -> list[list[dict]]:
     """The rows of each film: one per shot; of media that can't be read, one row with the error. Frames of all films
-    are decoded together, TOGETHER_BYTES of them at a time."""
+    are decoded together, TOGETHER_BYTES and TOGETHER_FRAMES of them at most at a time."""
     opened = [None if d is None else _opened(d) for d in films]
     found: list[list] = [[] if isinstance(o, tuple) else None for o in opened]
     some: list[tuple[int, bytes]] = []
@@ -553,7 +554,7 @@ def films_rows(films: list[bytes | None]) -> list[list[dict]]:
             if n:
                 some.append((i, films[i][at : at + n]))
                 held += n
-                if held > TOGETHER_BYTES:
+                if held > TOGETHER_BYTES or len(some) >= TOGETHER_FRAMES:
                     decode()
                     held = 0
     decode()
@@ -586,7 +587,10 @@ def clip_rows(data: bytes | None) -> list[dict]:
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("clip", T.IntegerType()), ("start_frame", T.IntegerType()), ("n_frames", T.IntegerType()), ("start_s", T.DoubleType()),
                                                                        ("end_s", T.DoubleType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("error", T.StringType()))])))
 def clips_of(media: pd.Series) -> pd.Series:
-    return pd.Series(films_rows([bytes(b) if b is not None else None for b in media]), index=media.index, dtype=object)
+    films, out = media.to_numpy(), []
+    for a in range(0, len(films), FILMS):
+        out += films_rows([bytes(b) if b is not None else None for b in films[a : a + FILMS]])
+    return pd.Series(out, index=media.index, dtype=object)
 
 
 def clips(media: DataFrame, id_col: str, media_col: str) -> DataFrame:

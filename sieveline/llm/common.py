@@ -132,12 +132,13 @@ def key_hash(col: Column, seed: str = "") -> Column:
 
 
 def cumulative_thresholds(rows: DataFrame, group: str, h: str, weight: str, targets: DataFrame, bits: int = 60,
-                          steps: tuple[int, ...] = (12, 24, 24)) -> DataFrame:
+                          steps: tuple[int, ...] = (12, 24, 24), reach: bool = False) -> DataFrame:
     """Hash thresholds at which running weights reach targets, found without sorting the rows.
 
     rows: (group, h in [0, 2^bits), weight >= 0). targets: (group, target_id, target). Returns
     (group, target_id, target, threshold): the rows with h < threshold are the longest prefix by h whose weight
-    is <= target; equal hashes stay together, and threshold is 2^bits where the whole group fits.
+    is <= target; equal hashes stay together, and threshold is 2^bits where the whole group fits. reach: they are the
+    shortest prefix whose weight is >= target.
 
     Level 0 sums weights per (group, top 12 bits). Only the bucket that a target falls into is summed again by the
     next bits, and so on; the shuffles carry partial sums. `steps` must add up to `bits`.
@@ -156,21 +157,22 @@ def cumulative_thresholds(rows: DataFrame, group: str, h: str, weight: str, targ
             cells = base.groupBy("g", bucket.alias("b")).agg(F.sum("w").alias("w"))
         else:
             edges = open_.where("threshold is null").select(F.col("g").alias("eg"), F.col("lo").alias("elo")).distinct()
-            inside = base.join(F.broadcast(edges), base.g.eqNullSafe(F.col("eg")) & (F.col("h") - F.pmod("h", F.lit(width)) == F.col("elo")), "left_semi")
+            inside = base.join(bounded(edges), base.g.eqNullSafe(F.col("eg")) & (F.col("h") - F.pmod("h", F.lit(width)) == F.col("elo")), "left_semi")
             cells = inside.groupBy("g", bucket.alias("b")).agg(F.sum("w").alias("w"))
         cells = cut(cells)
         fits = Window.partitionBy("g", "parent").orderBy("b")
         run = cells.withColumn("parent", F.col("b") * (1 << shift) - F.pmod(F.col("b") * F.lit(1 << shift), F.lit(width)) if width < 1 << bits else F.lit(0).cast("bigint"))
         run = run.withColumn("upto", F.sum("w").over(fits)).select(F.col("g").alias("cg"), F.col("parent"), F.col("b"), F.col("w"), F.col("upto"))
         live, settled = open_.where("threshold is null"), open_.where("threshold is not null")
-        # The first cell whose running weight exceeds the target; none: the whole open range fits.
-        hit = (live.join(run, live.g.eqNullSafe(F.col("cg")) & (F.col("parent") == F.col("lo")) & (F.col("done") + F.col("upto") > F.col("target")), "left")
+        # The first cell whose running weight exceeds (reaches) the target; none: the whole open range fits.
+        upto = F.col("done") + F.col("upto")
+        hit = (live.join(run, live.g.eqNullSafe(F.col("cg")) & (F.col("parent") == F.col("lo")) & (upto >= F.col("target") if reach else upto > F.col("target")), "left")
                .groupBy("g", "target_id", "target", "lo", "done").agg(F.min_by(F.struct("b", "w", "upto"), "b").alias("x")))
         nlo = F.col("x.b") * F.lit(1 << shift)
         moved = hit.select("g", "target_id", "target",
                            F.coalesce(nlo, F.col("lo")).alias("lo"),
                            F.when(F.col("x").isNull(), F.col("done")).otherwise(F.col("done") + F.col("x.upto") - F.col("x.w")).alias("done"),
-                           F.when(F.col("x").isNull(), F.col("lo") + F.lit(width)).when(F.lit(shift == 0), nlo).alias("threshold"))
+                           F.when(F.col("x").isNull(), F.col("lo") + F.lit(width)).when(F.lit(shift == 0), nlo + int(reach)).alias("threshold"))
         open_ = cut(moved.unionByName(settled))
         width = 1 << shift
         if not open_.where("threshold is null").take(1):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded, cumulative_thresholds, cut, fresh, key_hash
 
-#: Production parameters. ALPHA: without explicit weights a source weighs tokens^ALPHA. TIERS: nested budgets,
-#: as shares of the largest mixture that repeats nothing.
-ALPHA = 0.7
+#: Production parameters. ALPHA: without explicit weights a source weighs tokens^ALPHA. BUDGET: without an explicit
+#: budget the whole mixture has this share of all tokens. TIERS: nested budgets, as shares of the whole one.
+ALPHA, BUDGET = 0.7, 0.8
 TIERS = (0.25, 0.5, 1.0)
 
 
@@ -18,40 +19,35 @@ def token_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
-def fill(sources: list[tuple], budget: float) -> list[tuple]:
-    """(source, tokens to take) of (source, tokens, weight): in proportion to weight, at most what a source has."""
-    out, left, weight = [], float(budget), sum(w for _, _, w in sources)
-    for s, tokens, w in sorted(sources, key=lambda x: x[1] / x[2]):
-        take = min(tokens, int(left * w / weight + 1e-6)) if weight > 0 else 0
-        out.append((s, take))
-        left, weight = left - take, weight - w
-    return out
-
-
 def mixture_thresholds(rows: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA,
                        tiers=TIERS, budget: int | None = None) -> DataFrame:
     """rows: (source, h, tokens). Returns (source, target_id = tier number from 1, target = its token budget,
     threshold).
 
-    The whole budget is the largest T with T * weight <= tokens of every source of positive weight, so no source
-    is repeated; a tier's budget for a source is floor(share * T * weight). Only one row per source exists here. With an explicit budget of tokens no source sets the
-    others' share: one that falls short of its weight gives all it has, and the rest is spread by weight."""
+    A tier's budget is spread over the sources by weight: each gives level * weight tokens, at most what it has, with
+    the level at which the budget is met. So no source is repeated, none sets the others' share, and what a small one
+    falls short of comes from the rest. A source ends with the document that reaches its share. Beside the rows only one
+    row per source exists here."""
     totals = cut(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     if weights is None:
         weighed = totals.withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(float(alpha))))
     else:
         given = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "wsource string, weight double")
         weighed = totals.join(F.broadcast(given), totals.source.eqNullSafe(F.col("wsource")), "left").select("source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    live = weighed.where("weight > 0 and tokens > 0")
-    if budget is not None:
-        have = [(r["source"], r["tokens"], r["weight"]) for r in live.collect()]
-        filled = [(s, k + 1, x) for k, share in enumerate(tiers) for s, x in fill(have, share * budget)]
-        return cumulative_thresholds(rows, "source", "h", "tokens", rows.sparkSession.createDataFrame(filled, "source string, target_id int, target bigint"))
-    whole = live.agg(F.min(F.col("tokens") / F.col("weight")).alias("t"))
-    shares = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("target_id"), F.lit(float(s)).alias("share")) for k, s in enumerate(tiers)]))
-    targets = (live.crossJoin(F.broadcast(whole)).select("source", "weight", "t", shares.alias("s"))
-               .select("source", "s.target_id", F.floor(F.col("s.share") * F.col("t") * F.col("weight") + F.lit(1e-6)).cast("bigint").alias("target")))
-    return cumulative_thresholds(rows, "source", "h", "tokens", targets)
+    live = weighed.where("weight > 0 and tokens > 0").withColumn("ratio", F.col("tokens") / F.col("weight"))
+    # level >= (budget - before) / rest for every source, where before is what the sources of less ratio have and rest
+    # the weight of the others; at the source where the sources of full use end they are equal.
+    up, down = Window.orderBy("ratio", "source"), Window.orderBy(F.desc("ratio"), F.desc("source"))
+    ranked = live.withColumns({"before": F.sum("tokens").over(up) - F.col("tokens"), "rest": F.sum("weight").over(down)})
+    everything = Window.partitionBy()
+    ranked = ranked.withColumn("budget", F.lit(float(budget)) if budget is not None else F.sum("tokens").over(everything) * F.lit(BUDGET))
+    level = lambda share: F.max((F.lit(float(share)) * F.col("budget") - F.col("before")) / F.col("rest")).over(everything)
+    levelled = ranked.withColumn("levels", F.array(*[F.struct(F.lit(k + 1).alias("target_id"), level(s).alias("level")) for k, s in enumerate(tiers)]))
+    targets = (levelled.select("source", "tokens", "weight", "ratio", F.explode("levels").alias("l")).select("source", "tokens", "l.target_id",
+               F.when(F.col("ratio") <= F.col("l.level") * (1 + 1e-12), F.col("tokens")).otherwise(F.floor(F.col("l.level") * F.col("weight") + F.lit(1e-6)).cast("bigint")).alias("target")))
+    targets = cut(targets.where("target > 0"))
+    found = cumulative_thresholds(rows, "source", "h", "tokens", targets.where("target < tokens").drop("tokens"), reach=True)
+    return found.unionByName(targets.where("target >= tokens").select("source", "target_id", "target", F.lit(1 << 60).alias("threshold")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, tiers=TIERS,
@@ -61,7 +57,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
     A null source is a source of its own; a source without tokens or weight gives nothing; documents without
     tokens of a mixed source are kept where their hash is below the threshold. Repeated ids share a hash and stay
-    or go together. An empty table gives no rows; other columns are ignored."""
+    or go together. A document longer than what is left of its source's share still counts, as the last. An empty table
+    gives no rows; other columns are ignored."""
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key_hash(F.col(id_col), seed).alias("h"), token_count(F.col(text_col)).alias("tokens")))
     return _tiered(rows, mixture_thresholds(rows, weights, alpha, tiers, budget)).select("doc_id", "source", "tokens", "tier")
 
@@ -91,10 +88,13 @@ WITH r AS (
   SELECT doc_id, source, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h,
          CAST(coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS BIGINT) AS tokens FROM documents),
 s AS (SELECT source, pow(CAST(sum(tokens) AS DOUBLE), 0.7) AS weight, sum(tokens) AS tokens FROM r GROUP BY source HAVING sum(tokens) > 0),
-t AS (SELECT min(tokens / weight) AS t FROM s),
-b AS (SELECT source, k AS tier, CAST(floor(share * t * weight + 1e-6) AS BIGINT) AS target FROM s, t, (VALUES (1, 0.25::DOUBLE), (2, 0.5::DOUBLE), (3, 1.0::DOUBLE)) v(k, share)),
-c AS (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r)
+o AS (SELECT *, tokens / weight AS ratio, sum(tokens) OVER () AS total,
+             sum(tokens) OVER (ORDER BY tokens / weight, source ROWS UNBOUNDED PRECEDING) - tokens AS before,
+             sum(weight) OVER (ORDER BY tokens / weight DESC, source DESC ROWS UNBOUNDED PRECEDING) AS rest FROM s),
+l AS (SELECT k AS tier, max((share * total * 0.8::DOUBLE - before) / rest) AS level FROM o, (VALUES (1, 0.25::DOUBLE), (2, 0.5::DOUBLE), (3, 1.0::DOUBLE)) v(k, share) GROUP BY k),
+b AS (SELECT source, tier, CASE WHEN ratio > level * (1 + 1e-12::DOUBLE) THEN floor(level * weight + 1e-6) END AS target FROM o, l),
+c AS (SELECT doc_id, source, tokens, h, sum(tokens) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(tokens) OVER (PARTITION BY source, h) AS before FROM r)
 SELECT c.doc_id, c.source, c.tokens, CAST(min(b.tier) AS INTEGER) AS tier
-FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.upto <= b.target
-GROUP BY c.doc_id, c.source, c.tokens, c.upto
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND (b.target IS NULL OR c.before < b.target)
+GROUP BY c.doc_id, c.source, c.tokens, c.h
 """

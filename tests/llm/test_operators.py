@@ -162,18 +162,25 @@ def test_mixing_edges(spark, edge, empty):
     assert {r["source"] for r in only.collect()} == {"a"} and only.count() == 3
 
 
+def filled(have, weight, budget):
+    """Tokens of each source at the level that meets the budget, by bisection."""
+    lo, hi = 0.0, max(have[s] / weight[s] for s in have)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(have[s], mid * weight[s]) for s in have) < budget else (lo, mid)
+    return {s: min(have[s], hi * weight[s]) for s in have}
+
+
 def test_mixing_budgets_are_nested_and_met(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = mixing.mix(docs, tiers=(0.3, 1.0)).toPandas()
-    all_ = docs.select("source", mixing.token_count(F.col("text")).alias("t")).groupBy("source").agg(F.sum("t").alias("t")).toPandas().set_index("source")["t"]
-    w = all_.astype(float) ** mixing.ALPHA
-    whole = (all_ / w).min()
+    tokens = docs.select("source", mixing.token_count(F.col("text")).alias("t")).groupBy("source").agg(F.sum("t").alias("t"), F.max("t").alias("longest")).toPandas().set_index("source")
+    have = tokens["t"].to_dict()
     for tier, share in ((1, 0.3), (2, 1.0)):
         used = got[got["tier"] <= tier].groupby("source")["tokens"].sum()
-        assert (used <= share * whole * w.loc[used.index] + 1).all()
-        # The next document in the order of hashes, of the longest's length at most, no longer fits.
-        longest = docs.select("source", mixing.token_count(F.col("text")).alias("t")).groupBy("source").agg(F.max("t").alias("t")).toPandas().set_index("source")["t"]
-        assert (used.reindex(w.index, fill_value=0) + longest >= share * whole * w - 1).all()
+        for s, target in filled(have, {s: t**mixing.ALPHA for s, t in have.items()}, share * mixing.BUDGET * sum(have.values())).items():
+            # A source ends with the document that reaches its share.
+            assert target - 1 <= used[s] < target + tokens["longest"][s]
 
 
 def test_mixing_with_a_budget_is_not_set_by_the_smallest_source(spark):
@@ -182,6 +189,18 @@ def test_mixing_with_a_budget_is_not_set_by_the_smallest_source(spark):
     used = {r["source"]: r["t"] for r in mixing.mix(docs, tiers=(1.0,), budget=1002).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     assert used == {"a": 500, "b": 500, None: 2}
     assert mixing.mix_filter(docs, budget=10**9).count() == len(rows)
+    # Nor without a budget: the mixture has its share of all tokens, and the source of one document gives it.
+    used = {r["source"]: r["t"] for r in mixing.mix(docs, tiers=(1.0,)).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert used == {"a": 800, "b": 800, None: 2}
+
+
+def test_a_very_long_document_does_not_end_its_source_early(spark):
+    """Wherever its hash lies, the source gives its share at least."""
+    rows = [(i, "word " * 10, "a") for i in range(100)] + [(1000 + i, "word " * 10, "b") for i in range(100)] + [(5000, "long " * 700, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for seed in ("x:", "y:", "z:"):
+        used = {r["source"]: r["t"] for r in mixing.mix(docs, tiers=(1.0,), budget=1000, weights={"a": 1.0, "b": 1.0}, seed=seed).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+        assert used["b"] == 500 and 500 <= used["a"] < 1200
 
 
 # --- 4 AVI

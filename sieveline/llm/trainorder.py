@@ -22,8 +22,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 EOT, SEQUENCE, SHARD_SLOTS, KEY = 50256, 1024, 8192, 20240229
 #: Rows of the token files are at most this long, so that very long texts need no very long rows; so many of the rows
-#: that place documents are summed at a time.
-PIECE, RUN = 16384, 100_000
+#: that place documents are summed at a time; how hard token files and shuffled pieces are compressed.
+PIECE, RUN, FILE_LEVEL, PIECE_LEVEL = 16384, 100_000, 9, 1
 
 _ENCODERS: dict[bytes, object] = {}
 
@@ -126,7 +126,7 @@ def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             if writer is None:
                 where.create_dir(root, recursive=True)
                 out = where.open_output_stream(made)
-                writer = parquet.ParquetWriter(out, table.schema, compression="zstd")
+                writer = parquet.ParquetWriter(out, table.schema, compression="zstd", compression_level=FILE_LEVEL)
             writer.write_table(table)
         if writer is not None:
             writer.close()
@@ -178,7 +178,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs, parquet
 
-        where, root = fs.FileSystem.from_uri(folder)
+        where, root, codec = *fs.FileSystem.from_uri(folder), pa.Codec("zstd", PIECE_LEVEL)
         starts: dict[int, dict[tuple[int, int, int], int]] = {}
         for batch in batches:
             for part, h, th, size, start in zip(*[c.to_pylist() for c in batch.columns]):
@@ -186,7 +186,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part, first in starts.items():
             o = 0
             for batch in parquet.ParquetFile(where.open_input_file(_token_file(root, part))).iter_batches(1024):
-                out: tuple[list, ...] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for k, (h, th, size, at, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(4)], batch.column(4))):
                     if not at:
                         o = first[h, th, size]
@@ -196,21 +196,22 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     while done < some:
                         s, inside = divmod(o + at + done, sequence)
                         take = min(sequence - inside, some - done)
-                        for c, v in zip(out, (s, inside, k, view.slice(2 * done, 2 * take).to_pybytes())):
+                        for c, v in zip(out, (s, inside, k, take, codec.compress(view.slice(2 * done, 2 * take), asbytes=True))):
                             c.append(v)
                         done += take
                 seq = np.array(out[0], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slots(seq)), pa.array(seq), pa.array(out[1], pa.int32()), batch.column(5).take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.binary())],
-                                                 names=["slot", "seq", "inside", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots(seq)), pa.array(seq), pa.array(out[1], pa.int32()), batch.column(5).take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
+                                                 names=["slot", "seq", "inside", "doc_id", "n", "tokens"])
 
     placed = places(counts, rows).repartitionById(parts + 1, F.col("part"))
-    pieces = placed.mapInArrow(cut_up, f"slot bigint, seq bigint, inside int, doc_id {id_type}, tokens binary")
+    pieces = placed.mapInArrow(cut_up, f"slot bigint, seq bigint, inside int, doc_id {id_type}, n int, tokens binary")
     by_shard = pieces.repartitionById(shards, F.floor(F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot", "inside")
     fill = np.full(sequence, EOT, "<u2").tobytes()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted pieces to whole sequences; a sequence may run on into the next batch."""
         slot = seq = kind = None
+        codec = pa.Codec("zstd")
         raw: list[bytes] = []
         ids: list = []
 
@@ -221,13 +222,13 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             kind = batch.column(3).type
             done: tuple[list, ...] = ([], [], [], [])
-            for s, q, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+            for s, q, d, size, t in zip(*[batch.column(c).to_pylist() for c in (0, 1, 3, 4)], batch.column(5)):
                 if s != slot:
                     if slot is not None:
                         for c, v in zip(done, (slot, seq, ids, whole())):
                             c.append(v)
                     slot, seq, raw, ids = s, q, [], []
-                raw.append(t.as_py())
+                raw.append(codec.decompress(t.as_buffer(), 2 * size, asbytes=True))
                 if not ids or ids[-1] != d:
                     ids.append(d)
             yield records(done, kind)

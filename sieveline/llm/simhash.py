@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, all columns, with one row of each group; cases as in near_duplicates().
+    """`docs`, all columns, with one row of each group; cases as in near_duplicates(). Of repeated rows with the id and
+    text of the one that stays, the least by a hash of all columns stays. Rows with null texts stay.
 
     Only keys of dropped rows are joined back: broadcast up to BROADCAST_BYTES of them, else by a shuffle."""
     rows = duplicate_rows(docs, id_col, text_col)
@@ -254,5 +255,5 @@ def dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on = left[id_col].eqNullSafe(again[i]) & (F.xxhash64(left[text_col]) == again[th]) & left[text_col].isNotNull()
     once = left.join(again, on, "left_anti")
     first = left.join(again, on, "left_semi")
-    w = Window.partitionBy(first[id_col], F.xxhash64(first[text_col])).orderBy(F.lit(1))
+    w = Window.partitionBy(first[id_col], F.xxhash64(first[text_col])).orderBy(F.md5(F.to_json(F.struct(*[first[f"`{c}`"] for c in first.columns]))))
     return once.unionByName(first.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank))

@@ -104,6 +104,18 @@ def test_quality_edges(spark, edge, empty):
     assert quality.quality_filter(edge, edge, labels_of(spark)).count() == 0
     assert quality.quality_filter(empty, empty, labels).count() == 0
     assert "quality_score" in quality.quality_filter(edge, edge, labels, score_col="quality_score").columns
+    one_class = [(i, 1, 0) for i in (1, 2, 8)]
+    assert {r["doc_id"] for r in quality.quality_filter(edge, edge, labels_of(spark, one_class)).collect()} >= {1, 2, 8}
+    assert quality.quality_filter(edge, edge, labels_of(spark, [(i, 0, k) for i, _, k in one_class])).count() == 0
+
+
+def test_quality_vocabulary_is_all_shared_terms(spark):
+    """Every term that two examples share is in the model, with its count over all documents."""
+    texts = [f"shared{i // 2} common word{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, "shared3 shared3 elsewhere")], "doc_id bigint, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int"))
+    have = set().union(*map(quality.terms, texts))
+    assert set(model.vocabulary) == {t for t in have if sum(t in quality.terms(x) for x in texts) > 1}
 
 
 # --- 2 Decontamination
@@ -148,6 +160,15 @@ def test_contamination_edges(spark, edge, empty):
     assert decontam.contamination(empty, bench).count() == 0
     assert decontam.contamination(edge, bench.limit(0)).count() == 0
     assert decontam.decontaminate(edge, bench.limit(0)).count() == edge.count()
+    assert bag(decontam.decontaminate(edge, bench, block_chars=10), "doc_id", "text") == bag(clean, "doc_id", "text")
+
+
+def test_contamination_of_short_items_and_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("d0", "Why?\nHow high is it"), ("d1", "tell me how high is it, please"), ("d2", "多少钱这件衣服现在多少钱呢？请告诉我吧"), (None, "HOW HIGH, is it")], "doc_id string, text string")
+    bench = spark.createDataFrame([("mmlu/1", "How high is it?"), ("zh", "这件衣服现在多少钱呢")], "item_id string, text string")
+    # An item too short to be told from chance counts as a whole line; ten Chinese characters are long enough anywhere.
+    assert bag(decontam.contamination(docs, bench), "doc_id", "item_id", "distance") == sorted([("d0", "mmlu/1", 0), (None, "mmlu/1", 0), ("d2", "zh", 0)], key=repr)
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()} == {"d1"}
 
 
 # --- 3 Mixing
@@ -226,6 +247,25 @@ def test_jpeg_agrees_with_the_jvm(spark):
     assert max(abs(raster.getSample(c, r, 0) - int(ours[r, c])) for r in range(24) for c in range(40)) <= 1
 
 
+@pytest.mark.parametrize("restart", [0, 3])
+def test_frames_decoded_together_agree_with_one_by_one(restart, monkeypatch):
+    """Frames of several sizes and samplings, cut and broken ones among them, in windows of few blocks."""
+    rng, frames = np.random.default_rng(restart), []
+    for k in range(12):
+        side = 32 if k % 2 else 16
+        planes = [rng.integers(0, 256, (side, side)).astype(float)] + [rng.integers(0, 256, (side // 2, side // 2)).astype(float) for _ in range(2 * (k % 3 > 0))]
+        frames.append(avi.encode_jpeg(planes, q=1 + 3 * k, restart=restart, tables=k % 4 == 0))
+    frames += [frames[0][: len(frames[0]) // 2], b"", b"no picture", frames[1].replace(b"\xff\xda", b"\xff\xdb", 1)]
+    monkeypatch.setattr(avi, "WINDOW_BLOCKS", 7)
+    for data, got in zip(frames, avi.histograms(frames), strict=True):
+        try:
+            planes = avi.decode_jpeg(data)
+        except (avi.MediaError, IndexError, ValueError):
+            assert got is None
+            continue
+        assert got[1] == planes[0].shape and np.allclose(got[0], avi.histogram(planes))
+
+
 @pytest.mark.parametrize("index", ["idx1", "absolute", "odml", "none"])
 def test_avi_indexes(index):
     frames = [avi.encode_jpeg([np.full((16, 16), v)]) for v in (10, 12, 200, 201, 90, 91, 92)]
@@ -288,6 +328,26 @@ def test_training_order_round_trip(spark, edge, tmp_path):
         assert [a.tobytes() for a in trainorder.read_slots(uri, start, 64, 100)] == by_slot[start:]
 
 
+def test_training_order_is_that_of_the_keys(spark, edge):
+    """The same rows give the same slots however they lie, and the query agrees with a model on plain data."""
+    docs = edge.select("doc_id", "text")
+    ways = [docs.coalesce(1), docs.repartition(5), docs.orderBy(F.rand(3)).repartition(3)]
+    got = [bag(trainorder.training_order(d, sequence=32, shard_slots=50), "slot", "seq", "tokens") for d in ways]
+    assert got[0] == got[1] == got[2]
+    keyed = docs.where("text is not null").select(key_hash(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")), "order:").alias("h"), "text").collect()
+    stream = np.concatenate([trainorder.encode(r["text"]) for r in sorted(keyed, key=lambda r: r["h"])])
+    stream = np.append(stream, np.full(-len(stream) % 32, trainorder.EOT, "<u2"))
+    n = len(stream) // 32
+    slots = trainorder.SlotPermutation(n, trainorder.KEY)(np.arange(n))
+    assert got[0] == sorted(((int(s), k, bytearray(stream[32 * k : 32 * k + 32].tobytes())) for k, s in enumerate(slots)), key=repr)
+
+
+def test_training_order_of_string_ids(spark):
+    docs = spark.createDataFrame([("d1", "one two"), (None, "three"), ("d1", "one two"), ("d2", "")], "doc_id string, text string")
+    got = trainorder.training_order(docs, sequence=4, shard_slots=2).collect()
+    assert sorted({i for r in got for i in r["doc_ids"]}, key=repr) == sorted(["d1", "d2", None], key=repr)
+
+
 def test_training_order_empty(spark, empty):
     assert trainorder.training_order(empty).count() == 0
 
@@ -334,6 +394,13 @@ def test_styletree_edges(spark):
     assert hosts[4] == "host" and hosts[5] == "c.d" and hosts[1] == ""
 
 
+def test_styletree_by_groups_of_pages_equals_the_broadcast(spark, monkeypatch):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    whole = bag(styletree.extract_pages(pages), "page_id", "text", "nodes", "removed")
+    monkeypatch.setattr(styletree, "GROUP_PAGES", 7)
+    assert bag(styletree.extract_pages(pages, broadcast_rows=0), "page_id", "text", "nodes", "removed") == whole
+
+
 def test_styletree_keeps_unique_texts_beside_repeated_ones(spark):
     """A shared notice goes and the paragraphs of its style stay; one page that repeats a line, or copies of one page, take
     nothing from their host."""
@@ -508,6 +575,13 @@ def test_dedup_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == simhash.dedup_filter(empty).count() == 0
 
 
+def test_of_repeated_rows_the_least_stays(spark):
+    rows = [(1, "the same text in all of these rows", k) for k in range(6)] + [(2, None, 0), (2, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra int")
+    kept = [bag(simhash.dedup_filter(d), "doc_id", "extra") for d in (docs.coalesce(1), docs.repartition(4), docs.orderBy(F.desc("extra")).coalesce(1))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+
+
 def test_near_copies_match_and_others_do_not():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(3000)]
@@ -571,6 +645,23 @@ def test_cards_have_distinct_pseudonyms(bodies):
     assert len(set(made)) == len(made) and all(pii.luhn_digit(m[:-1]) == m[-1] for m in made)
 
 
+def test_no_value_stays_as_it_is():
+    """All dates, all mail names of one and two characters, in permutations: distinct pseudonyms, never the value."""
+    p = pii.Pseudonymiser("k")
+    days = [datetime.date.fromordinal(pii.DAY0 + k).isoformat() for k in range(0, pii.DAYS)]
+    new = [p.replace("date", d) for d in days]
+    assert all(a != b for a, b in zip(days, new)) and len(set(new)) == len(days)
+    names = [*pii.ALPHANUMERIC, *[a + b for a in pii.ALPHANUMERIC for b in pii.ALPHANUMERIC]]
+    mails = [p.replace("email", f"{n}@x.com") for n in names]
+    assert all(m and m != f"{n}@x.com" for m, n in zip(mails, names)) and len(set(mails)) == len(names)
+    spanish = p.replace("email", "ñandú@x.com")
+    assert spanish != "ñandú@x.com" and not set("ñú") & {a for a, b in zip(spanish, "ñandú@x.com") if a == b}
+
+
+def test_only_changed_values_count():
+    assert pii.Pseudonymiser("k").text("mail __@x.com and 2@x.com on 1957-05-14")[1:] == (2, ["date", "email"])
+
+
 def test_pii_edges(spark, edge, empty):
     got = pii.pseudonymise(edge)
     assert bag(got, "doc_id", "text") == bag(edge, "doc_id", "text") and {r[0] for r in got.select("n_pii").distinct().collect()} == {0}
@@ -633,6 +724,37 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.toxicity(empty, toxicity.train(empty, labels)).count() == 0
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    """train() and toxicity() repeated with plain dicts over all terms, ids being strings."""
+    rows = [(f"d{i}", f"{'vile grim' if i % 3 == 0 else 'calm kind'} talk{i % 7} of harbour{i % 5} cranes number{i}", int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [("x", "vile talk3 of nothing"), ("y", "calm harbour2"), (None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id string, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(model.ids) <= {i for i, _, _ in rows} and len(model.ids) > 10
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    of = {i: set(toxicity.words(texts[i] or "")) for i in texts}
+    y = {i: k for i, _, k in rows}
+    known = sorted(set().union(*[of[i] for i in model.ids]))
+    pos, neg = (sum(y[i] == c for i in model.ids) for c in (1, 0))
+    df = {w: sum(w in s for s in of.values()) for w in known}
+    ev = toxicity.evidence(np.array([sum(w in of[i] for i in model.ids if y[i]) for w in known], float), np.array([sum(w in of[i] for i in model.ids if not y[i]) for w in known], float), pos, neg)
+    weight = {w: math.log(1 + len(texts) / df[w]) * e for w, e in zip(known, ev)}
+
+    def vector(i):
+        v = {w: weight[w] for w in of[i] if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    for r in toxicity.toxicity(docs, model).collect():
+        v = vector(r["doc_id"])
+        sims = sorted(((round(sum(x * u.get(w, 0) for w, x in v.items()), 6), i) for i in model.ids for u in [vector(i)]), reverse=True)
+        near = [(s, i) for s, i in sims if s > 0 and s >= (sims[toxicity.NEIGHBOURS - 1][0] if len(sims) > toxicity.NEIGHBOURS else 0) - 2e-6]
+        w = [1 / (1 - s + 0.05) for s, _ in near]
+        vote = sum(a * y[i] for a, (_, i) in zip(w, near)) / (sum(w) + toxicity.PRIOR) if near else 0
+        assert math.isclose(r["vote"], vote, abs_tol=1e-3), r
+        assert [e["similarity"] for e in r["evidence"]] == pytest.approx([s for s, _ in near[: toxicity.EVIDENCE]], abs=2e-6)
+
+
 def test_toxicity_counts_rare_words(spark):
     """Examples without any word of statistical weight vote too: a document that is word for word one of them finds it."""
     clean = [(i, f"ordinary report {i} on harbour traffic, tides and weather number{i}", 0) for i in range(60)]

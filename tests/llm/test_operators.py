@@ -793,6 +793,29 @@ def test_pipeline_against_its_stages_by_brute_force(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
 
 
+def test_pipeline_stages_on_edges(spark, edge, empty, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows and clashing columns, on its predecessor's rows, and on
+    an empty table."""
+    import corpus_pipeline
+
+    item = "the quick brown fox jumps over the lazy dog while seven wise"
+    labels_of(spark, [(1, 1, 0), (2, 1, 0), (8, 1, 0), (7, 0, 0), (None, 1, None)]).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {n: f(spark, edge, str(tmp_path)) for n, f in corpus_pipeline.STAGES}
+    assert not rows["classify"].where("text is null or trim(text) = ''").count()
+    assert bag(rows["dedup"], "doc_id", "source") == sorted([(1, "a"), (3, "b"), (5, None), (None, None), (6, "b"), (8, "c"), (9, "c"), (9, "c")], key=repr)
+    assert rows["decontaminate"].count() == edge.count() - 4
+    assert rows["mix"].count() and bag(rows["reshard"], "doc_id", "text") == bag(edge, "doc_id", "text")
+    now = edge
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, str(tmp_path))
+        assert none.count() == 0, name
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.schema(now.schema).parquet(f"{tmp_path}/{name}")
+        assert name == "reshard" or now.columns == edge.columns, name
+
+
 def edits_within(item, text):
     """Whether the item occurs within its budget, by distance over all of the text."""
     k = int(decontam.ERROR_RATE * len(item))

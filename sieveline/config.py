@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
-
-
-def _words(packed: str) -> tuple[str, ...]:
-    return tuple(packed.split("|"))
+from importlib import resources
 
 
 @dataclass(frozen=True)
@@ -32,74 +30,28 @@ class Classifier:
     boosted: str = ""
 
 
-#: Full-corpus and sampler vocabularies (substring tests, no word bounds), kept as packed, sorted lists.
-SAMPLER = Classifier(
-    (
-        Stratum("tratamiento", _words("adjuvant|chemotherapy|cirugía|first-line|neoadjuvant|quimioterapia|radiation|radioterapia|regimen|second-line|surgery|surgical|systemic|terapia|therapy|tratamiento|treatment"),
-                _words("bladder|brain|breast|cervical|cns|colon|esophageal|gastric|head_and_neck|hepatobiliary|kidney|melanoma|nscl|ovarian|pancreatic|prostate|rectal|sarcoma|sclc|testicular|thyroid|uterine"), 0.30, "therapy protocols"),
-        Stratum("farmacologia", _words("adverse|contraindicacion|dose|dosing|dosis|drug|farmaco|ficha técnica|interaccion|medicamento|pharmacology|side effect|toxicity"), (), 0.25, "drugs and doses"),
-        Stratum("diagnostico", _words("alk|biomarcador|biomarker|biopsia|braf|brca|classification|diagnosis|diagnóstico|egfr|estadificación|fish|grade|her2|histology|immunohistochemistry|ki67|molecular|msi|pathology|pd-l1|staging|tnm"), (), 0.20, "diagnosis and staging"),
-        Stratum("soporte", _words("adverse event|anemia|antiemetic|cuidado paliativo|dolor|fatigue|mucositis|nausea|neuropathy|neutropenia|náusea|pain|palliative|psychosocial|soporte|supportive|toxicity management"),
-                _words("antiemesis|distress|pain|palliative|supportive|survivorship"), 0.15, "supportive care"),
-        Stratum("seguimiento", _words("control|follow-up|monitoreo|monitoring|recurrence|screening|seguimiento|supervivencia|surveillance|survivorship|vigilancia"), _words("follow|survivorship"), 0.10, "follow-up"),
-    ),
-    "tratamiento", "PHARMA", "farmacia", "farmacologia",
-)
-EXTRACTOR = Classifier(
-    (
-        Stratum("tratamiento", _words("adjuvant|chemotherapy|cirugía|neoadjuvant|quimioterapia|radiation|radioterapia|regimen|surgery|systemic|terapia|therapy|tratamiento|treatment")),
-        Stratum("diagnostico", _words("biomarker|biopsia|classification|diagnosis|diagnóstico|estadificación|immunohistochemistry|molecular|pathology|staging|tnm")),
-        Stratum("soporte", _words("adverse event|cuidado paliativo|dolor|nausea|neutropenia|pain|palliative|soporte|supportive|toxicity management")),
-        Stratum("seguimiento", _words("follow-up|monitoring|recurrence|seguimiento|supervivencia|surveillance|survivorship|vigilancia")),
-    ),
-    "tratamiento", "PHARMA", "farmacia", "farmacologia",
-)
-EXAMPLES = Classifier(
-    (
-        Stratum("tratamiento", _words("adyuvan|ciclo|cirugía|esquema|inmunoterapia|línea|neoadyuvan|protocolo|quimioterapia|radioterapia|resección|régimen|terapia|tratamiento")),
-        Stratum("farmacologia", _words("ajuste de dosis|biodisponibilidad|contraindicación|dosis|efecto adverso|farmacocinética|interacción|intravenosa|mg|mg/kg|mg/m2|oral|reacción adversa|subcutánea|toxicidad|vía")),
-        Stratum("diagnostico", _words("alk|biomarcador|biopsia|brca|clasificación|diagnóstico|egfr|estadificación|estadio|genético|her2|histología|inmunohistoquímica|molecular|mutación|patología|pd-l1|ras|tnm")),
-        Stratum("soporte", _words("anemia|antiemético|calidad de vida|cuidado paliativo|dolor|efecto secundario|emesis|fatiga|g-csf|manejo de síntomas|mucositis|neuropatía|neutropenia|náusea|paliativo|soporte")),
-        Stratum("seguimiento", _words("control|imagen de control|marcador tumoral|monitoreo|progresión|recurrencia|remisión|respuesta completa|respuesta parcial|revisión|seguimiento|supervivencia|vigilancia")),
-    ),
-    "otros",
-)
-
-#: Vocabulary for invented prose: frequent syllables, so that every stratum occurs.
-FIXTURE = Classifier(
-    (
-        Stratum("alpha", ("tion", "keit", "mente", "ement"), ("src1",), 0.30, "a"),
-        Stratum("beta", ("ing", "ung", "ado", "eau"), ("src2",), 0.25, "b"),
-        Stratum("gamma", ("ble", "lich", "ción", "aux"), (), 0.20, "c"),
-        Stratum("delta", ("stst", "tz", "rr", "tre"), ("src0", "src5"), 0.15, "d"),
-        Stratum("omega", ("hehe", "pf", "ñ", "oi"), (), 0.10, "e"),
-    ),
-    "alpha", "PHARMA", "fr", "beta",
-)
-
-BOILERPLATE = _words("advisory board|all rights reserved|available at: http|copyright ©|doi.org|figure legend|go to patient version|personal fees|table of contents|this guideline was developed")
-
-#: Refusals and evasions, matched anywhere without word bounds, ignoring case.
-EVASIVE = "|".join((
-    r"I (?:cannot|am sorry|don't have the ability)|I'm (?:sorry|not able to)|as (?:an AI|a language model)",
-    r"busque atenci[oó]n m[eé]dica",
-    r"como (?:modelo de (?:lenguaje|IA)|(?:un )?asistente (?:de IA|virtual)|inteligencia artificial)",
-    r"consult(?:e a su|ar a(?: un| su)?) m[eé]dico",
-    r"(?:acuda a (?:un |su )?(?:m[eé]dico|especialista|profesional))",
-    r"no (?:puedo (?:proporcionar|ofrecer|dar (?:un )?diagn[oó]stico|realizar diagn[oó]sticos)|estoy capacitado|me es posible|soy un m[eé]dico)",
-    r"no (?:reemplaza (?:la |el )?consejo m[eé]dico|sustituye (?:la |el )?(?:consulta|consejo))",
-    r"consult[ea]? (?:con )?(?:su |un )?(?:especialista|profesional)",
-))
-#: A pattern that does occur in the fixtures.
-EVASIVE_FIXTURE = EVASIVE + "|thtion|ciónción"
-
-HINTS = {k: "Enfócate en " + ", ".join(v.split("|")) + "." for k, v in {
-    "tratamiento": "protocolos de tratamiento|esquemas|secuencia terapéutica",
-    "farmacologia": "dosis|vía de administración|efectos adversos|interacciones|contraindicaciones",
-    "diagnostico": "criterios diagnósticos|estadificación|biomarcadores|clasificación",
-    "soporte": "manejo de efectos adversos|cuidado paliativo|calidad de vida",
-    "seguimiento": "protocolos de seguimiento|vigilancia|detección de recurrencia",
-}.items()}
+_DATA = json.loads(resources.files(__package__).joinpath("vocabularies.json").read_text("utf-8"))
+
+
+def _classifier(name: str) -> Classifier:
+    c = _DATA[name]
+    strata = tuple(Stratum(s["name"], tuple(s.get("keywords", ())), tuple(s.get("sources", ())), s.get("share", 0.0), s.get("description", "")) for s in c["strata"])
+    return Classifier(strata, c["fallback"], c["society"], c["category"], c["boosted"])
+
+
+#: Full-corpus and sampler vocabularies (substring tests, no word bounds); FIXTURE: one for invented prose, of frequent
+#: syllables, so that every stratum occurs.
+SAMPLER, EXTRACTOR, EXAMPLES, FIXTURE = map(_classifier, ("sampler", "extractor", "examples", "fixture"))
+
+BOILERPLATE = tuple(_DATA["boilerplate"])
+
+#: Refusals and evasions, matched anywhere without word bounds, ignoring case; with a pattern that does occur in the
+#: fixtures.
+EVASIVE = "|".join(_DATA["evasive"])
+EVASIVE_FIXTURE = "|".join(_DATA["evasive"] + _DATA["evasive_in_fixtures"])
+
+#: What a prompt asks for, by stratum.
+HINTS: dict[str, str] = _DATA["hints"]
 
 
 @dataclass(frozen=True)

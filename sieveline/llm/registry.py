@@ -82,6 +82,7 @@ QUERIES = {
 ORACLE = {
     "op3_mixing": mixing.ORACLE,
     "op4_avi_clips": avi.ORACLE,
+    "op7_resharding": resharding.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -224,3 +224,22 @@ def reshard_files(docs: DataFrame, path: str, **options) -> DataFrame:
     placed = reshard(docs, **options)
     rewrite_shards(placed, path, whole=True)
     return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*[f"`{c}`" for c in placed.columns])
+
+
+#: Prices are alike, so the least cost is known: a shard keeps what fits; what is left goes, in order, to the free room,
+#: in order.
+ORACLE = """
+WITH d AS (SELECT *, ('0x' || substr(md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h, CAST(coalesce(strlen(text), 0) AS BIGINT) AS b FROM documents),
+o AS (SELECT source, CAST(sum(b) AS BIGINT) AS size, row_number() OVER (ORDER BY source IS NOT NULL, length(source), source) - 1 AS i FROM d GROUP BY source),
+m AS (SELECT CAST(ceil(sum(size) * 1.05::DOUBLE / 16) AS BIGINT) AS cap FROM o),
+k AS (SELECT o.*, cap, CASE WHEN i < 16 THEN least(size, cap) ELSE 0 END AS stay FROM o, m),
+g AS (SELECT i, sum(size - stay) OVER (ORDER BY i) - (size - stay) AS a, sum(size - stay) OVER (ORDER BY i) AS z FROM k),
+f AS (SELECT j, m.cap - coalesce(stay, 0) AS free, sum(m.cap - coalesce(stay, 0)) OVER (ORDER BY j) AS z FROM m, range(16) r(j) LEFT JOIN k ON k.i = j),
+t AS (SELECT i, i AS j, 0 AS step, stay AS bytes FROM k WHERE stay > 0
+      UNION ALL SELECT i, j, j + 1, least(g.z, f.z) - greatest(g.a, f.z - free) FROM g JOIN f ON least(g.z, f.z) > greatest(g.a, f.z - free)
+      UNION ALL SELECT i, i % 16, 0, 0 FROM k WHERE size = 0),
+u AS (SELECT i, j, step, sum(bytes) OVER (PARTITION BY i ORDER BY step) AS upto FROM t),
+c AS (SELECT d.*, o.i, o.size, sum(b) OVER (PARTITION BY d.source ORDER BY h) AS so_far FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source)
+SELECT doc_id, text, lang, source, n_chars, CAST(c.i AS INTEGER) AS old_shard, CAST(arg_min(j, step) AS INTEGER) AS new_shard, arg_min(j, step) <> c.i AS moved
+FROM c JOIN u ON c.i = u.i AND (so_far <= upto OR upto = size) GROUP BY doc_id, text, lang, source, n_chars, h, c.i
+"""

@@ -822,7 +822,7 @@ def edits_within(item, text):
     return decontam.myers(item, text, k) is not None
 
 
-@pytest.mark.parametrize("name", ["op3_mixing", "op4_avi_clips"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op4_avi_clips", "op7_resharding"])
 def test_queries_match_their_sql(spark, sf_dir, name):
     c = duckdb.connect()
     for t in ("documents", "embeddings"):

@@ -26,6 +26,8 @@ BUDGET, WIDE_BUDGET = 17, 36
 BLOCKS = [(0, 14), (14, 14), (28, 14), (42, 14), (56, 14), (70, 14), (84, 14), (98, 15), (113, 15)]
 #: Node pairs of at most this many fingerprint pairs are compared outright; larger ones are descended.
 LEAF_PAIRS, CHUNK_PAIRS = 64, 2_000_000
+#: Fingerprints above which a sub-trie is parted among tasks, by the values of the other half of its block.
+SPLIT_ROWS = 1_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -103,23 +105,27 @@ class Components:
                 self.label = up
 
 
-def trie_self_join(bucket: np.ndarray, rotation: np.ndarray, first: np.ndarray, words: np.ndarray, budget: int = BUDGET, wide: int = WIDE_BUDGET) -> Components:
+def trie_self_join(bucket: np.ndarray, rotation: np.ndarray, first: np.ndarray, words: np.ndarray, budget: int = BUDGET, wide: int = WIDE_BUDGET, side: np.ndarray | None = None) -> Components:
     """Components of the matches within buckets.
 
     bucket[i], rotation[i], first[i]: the sub-trie of entry i, the rotation of its bits and how many leading bits
-    are the other half of its block, where one differing bit is allowed. words: (n, 4) uint64.
+    are the other half of its block, where one differing bit is allowed. words: (n, 4) uint64. side[i]: -1, or 0 and 1
+    in a bucket of two nodes of a sub-trie, the lesser and the greater, that are only compared with each other.
 
     Entries are sorted, so that a trie node is a range. Pairs of nodes descend together, one bit at a time, and
     carry the bits that differ so far; a pair beyond the budget is pruned."""
     r0, r1 = rotate(words[:, 0], words[:, 1], rotation)
     order = np.lexsort((r1, r0, bucket))
     bucket, r0, r1, words, first = bucket[order], r0[order], r1[order], words[order], first[order]
+    side = np.full(len(bucket), -1) if side is None else side[order]
     n, found = len(bucket), Components(len(bucket))
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     ends = np.r_[starts[1:], n]
-    many = ends - starts > 1
-    a0, a1 = starts[many], ends[many]
-    b0, b1, acc = a0.copy(), a1.copy(), np.zeros(len(a0), np.int64)
+    two, greater = side[starts] >= 0, np.r_[0, np.cumsum(side == 1)]
+    middle = ends - (greater[ends] - greater[starts])  # the lesser node comes first
+    many = np.where(two, (starts < middle) & (middle < ends), ends - starts > 1)
+    a0, a1, b0, b1 = starts[many], np.where(two, middle, ends)[many], np.where(two, middle, starts)[many], ends[many]
+    acc = np.zeros(len(a0), np.int64)
     for depth in range(129):
         same = a0 == b0
         pairs = np.where(same, (a1 - a0) * (a1 - a0 - 1) // 2, (a1 - a0) * (b1 - b0))
@@ -180,9 +186,13 @@ def _match(i, j, words, found, budget, wide) -> None:
     found.add(i[near], j[near])
 
 
+#: Keys from here on are of pairs of nodes.
+PARTED = 1 << 40
+
+
 def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, w0..w3) of whole sub-tries -> (u, v): every fingerprint that isn't the first of its component here, with
-    the first."""
+    """(key, side, w0..w3) of whole sub-tries, or pairs of their nodes -> (u, v): every fingerprint that isn't the first
+    of its component here, with the first."""
     table = [b for b in batches if b.num_rows]
     if not table:
         return
@@ -190,8 +200,8 @@ def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     key = t.column("key").to_numpy()
     words = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
     tries = np.array(subtries())
-    which = key >> 16
-    label = trie_self_join(key, tries[which, 2], tries[which, 3], words).label
+    which = np.where(key < PARTED, key, (key - PARTED) >> 16) >> 16
+    label = trie_self_join(key, tries[which, 2], tries[which, 3], words, side=t.column("side").to_numpy()).label
     # The same fingerprint is here in several sub-tries; its entries are one node.
     _, node = np.unique(words, axis=0, return_inverse=True)
     node = node.ravel()
@@ -205,34 +215,49 @@ def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(raw(u), pa.binary()), pa.array(raw(v), pa.binary())], names=["u", "v"])
 
 
-def match_edges(prints: DataFrame) -> DataFrame:
-    """prints: distinct fp (binary 32). (u, v): edges whose components are those of the matching pairs."""
+def match_edges(prints: DataFrame, rows: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """prints: distinct fp (binary 32), at most `rows`. (u, v): edges whose components are those of the matching pairs.
+
+    A sub-trie of more than split_rows is parted: its matches differ in one bit at most of the other half of the block, so
+    they lie in one node of that depth or in two whose values differ in one bit; each such pair of nodes is a key of its
+    own. The same pairs are compared either way."""
     w = prints.select("fp", *[c.alias(f"w{k}") for k, c in enumerate(_words(F.col("fp")))])
-    keys = F.explode(F.array(*[F.lit(k << 16).bitwiseOR(_bits(F.col("w0"), F.col("w1"), o, n)).cast("bigint") for k, (o, n, _, _) in enumerate(subtries())]))
-    entries = w.select(keys.alias("key"), "w0", "w1", "w2", "w3")
+    w0, w1 = F.col("w0"), F.col("w1")
+    tries = [F.struct(F.lit(k << 16).bitwiseOR(_bits(w0, w1, o, n)).cast("bigint").alias("key"), _bits(w0, w1, p, m).cast("bigint").alias("v"), F.lit(m).alias("bits")) for k, (o, n, p, m) in enumerate(subtries())]
+    words = ["w0", "w1", "w2", "w3"]
+    entries = w.select(F.explode(F.array(*tries)).alias("e"), *words).select("e.*", *words)
+    if rows <= split_rows:
+        entries = entries.select("key", F.lit(-1).alias("side"), *words)
+    else:
+        # A row for each of at most 2,560 sub-tries.
+        large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_rows).select(F.col("key").alias("large"))
+        parted = F.expr(f"""transform(sequence(0, bits), i -> if(i = 0, named_struct('key', {PARTED} + key * 65536 + v * 256 + v, 'side', -1),
+            named_struct('key', {PARTED} + key * 65536 + least(v, v ^ shiftleft(1L, i - 1)) * 256 + greatest(v, v ^ shiftleft(1L, i - 1)), 'side', if((v & shiftleft(1L, i - 1)) = 0, 0, 1))))""")
+        whole = F.array(F.struct("key", F.lit(-1).alias("side")))
+        entries = entries.join(F.broadcast(cut(large)), F.col("key") == F.col("large"), "left").withColumn("p", F.explode(F.when(F.col("large").isNull(), whole).otherwise(parted))).select("p.*", *words)
     return entries.repartition("key").mapInArrow(_join_partition, "u binary, v binary")
 
 
-def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """One row per distinct (id, text) of each group of two rows or more: (id, th = hash of the text, n = rows of it,
     root = group, kept_id, kept_th, distinct order)."""
     rows = cut(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), fingerprint(F.col(text_col)).alias("fp")))
     ids = rows.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("n"))
-    roots = connected_components(match_edges(rows.select("fp").distinct()))
+    roots = connected_components(match_edges(rows.select("fp").distinct(), rows.count(), split_rows))
     grouped = ids.join(roots, ids.fp == roots.node, "left").select("id", "th", "n", F.coalesce("root", "fp").alias("root"))
     # Group sizes and the row that stays come from an aggregate with partial sums, so a huge group is no hot spot.
     heads = grouped.groupBy("root").agg(F.sum("n").alias("size"), F.min(F.struct(F.col("id").isNull().alias("nid"), "id", "th")).alias("keep")).where("size > 1")
     return cut(grouped.join(heads, "root").select("id", "th", "n", "root", F.col("keep.id").alias("kept_id"), F.col("keep.th").alias("kept_th")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Pairs (doc_id, kept_doc_id): each document that a smaller id of its group stands for.
 
     Groups are the connected components of matching texts. The row of the smallest id stays (null ids last, then by
     hash of the text). A repeated row with the id of the one that stays gives a pair of equal ids. Null texts are
     never compared; empty ones are copies of each other. Long texts count as a whole. An empty table gives no
     rows."""
-    rows = duplicate_rows(docs, id_col, text_col)
+    rows = duplicate_rows(docs, id_col, text_col, split_rows)
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th"))
     times = F.explode(F.sequence(F.lit(1), F.col("n").cast("int") - F.when(same, 1).otherwise(0)))
     return rows.where(~same | (F.col("n") > 1)).select(F.col("id").alias("doc_id"), F.col("kept_id").alias("kept_doc_id"), times.alias("_copy")).drop("_copy")

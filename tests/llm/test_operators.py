@@ -529,6 +529,9 @@ def test_near_duplicates_against_brute_force(spark):
     expect = sorted((int(ids[i]), int(ids[k])) for i, k in enumerate(label) if i != k)
     assert bag(simhash.near_duplicates(docs), "doc_id", "kept_doc_id") == sorted(expect, key=repr) and expect
     assert simhash.dedup_filter(docs).count() == len(ids) - len(expect)
+    # The same with large sub-tries parted by their nodes, and by some of them.
+    for split in (1, 12):
+        assert bag(simhash.near_duplicates(docs, split_rows=split), "doc_id", "kept_doc_id") == sorted(expect, key=repr)
 
 
 def test_trie_join_is_exact_near_the_budget():
@@ -564,6 +567,23 @@ def test_trie_join_is_exact_near_the_budget():
     assert (merged.label == expect.label).all()
 
 
+def test_parted_subtries_find_the_same_pairs(spark):
+    """Pairs that need the other half's bit in their block, through Spark, whole and parted."""
+    rng = np.random.default_rng(6)
+    words = []
+    for _ in range(60):
+        w = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+        x = w.copy()
+        for o, n in simhash.BLOCKS:  # 17 bits: one block differs in one bit, the others in two
+            for b in o + rng.choice(n, 1 if o == 0 else 2, replace=False):
+                x[b // 64] ^= np.uint64(1) << np.uint64(63 - b % 64)
+        words += [w, x]
+    prints = spark.createDataFrame([(bytearray(w.astype(">u8").tobytes()),) for w in words], "fp binary")
+    for rows, split in ((120, 1000), (120, 1), (120, 2)):
+        found = {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in simhash.match_edges(prints, rows, split).collect()}
+        assert found == {frozenset((words[k].astype(">u8").tobytes(), words[k + 1].astype(">u8").tobytes())) for k in range(0, 120, 2)}
+
+
 def test_dedup_edges(spark, edge, empty):
     pairs = bag(simhash.near_duplicates(edge), "doc_id", "kept_doc_id")
     assert pairs == sorted([(2, 1), (2, 1), (None, 1), (4, 3), (7, 6)], key=repr)

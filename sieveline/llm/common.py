@@ -88,15 +88,16 @@ def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
 
 def document_counts(docs: DataFrame, text_col: str, n_terms: int, numberer: Callable) -> tuple[int, np.ndarray]:
     """(documents, documents that hold each of n_terms terms), over all of docs. numberer() is called once a task and
-    gives a function from a text to the numbers of its terms, each once. Each task sends one count per term it met."""
+    gives a function from texts to the numbers of the terms of each, once a text. Each task sends one count per term it
+    met."""
 
     def count(batches):
         numbers, n, seen = numberer(), 0, np.zeros(n_terms, np.int64)
         for pdf in batches:
             n += len(pdf)
-            for t in pdf["t"]:
-                if t:
-                    seen[numbers(t)] += 1
+            texts = [t for t in pdf["t"] if t]
+            for a in range(0, len(texts), 256):
+                seen += np.bincount(numbers(texts[a : a + 256]), minlength=n_terms)
         held = np.flatnonzero(seen)
         yield pd.DataFrame({"term": np.r_[-1, held], "n": np.r_[n, seen[held]]})
 

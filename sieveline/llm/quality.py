@@ -2,9 +2,10 @@
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from operator import eq
 
 import numpy as np
@@ -53,37 +54,85 @@ def terms(text: str) -> Counter:
     return found
 
 
-#: A task keeps the terms of so many tokens of at most so many characters at hand.
-KNOWN, KNOWN_CHARS = 100_000, 40
+#: A task keeps at hand so many tokens whose word is in the vocabulary, of at most so many characters; texts of a block
+#: are taken apart together.
+KNOWN, KNOWN_CHARS = 150_000, 40
 
 
-class Rows:
-    """Counts of a text's terms by their row in the vocabulary; tokens met before are looked up, not taken apart."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def __call__(self, text: str) -> dict[int, int]:
-        known, tokens, out = self.known, text.split(), {}
-        for t, n in Counter(tokens).items():
-            pair = known.get(t)
-            if pair is None:
-                v = self.vocabulary
-                pair = tuple(r for r in (v.get("s:" + shape(t)), v.get("w:" + t.lower().strip(".,;:!?"))) if r is not None)
-                if len(t) <= KNOWN_CHARS:
-                    if len(known) > KNOWN:
-                        known.clear()
-                    known[t] = pair
-            for r in pair:
-                out[r] = out.get(r, 0) + n
-        again = self.vocabulary.get("r:")
-        if again is not None and (n := sum(map(eq, tokens, islice(tokens, 1, None)))):
-            out[again] = n
-        return out
+class Known(dict):
+    """token -> (shape + 1) * (size + 1) + word + 1, of its vocabulary rows, -1 for none. Tokens of words that aren't in
+    the vocabulary are taken apart each time."""
+
+    def __init__(self, shapes: dict[str, int], words: dict[str, int], size: int):
+        self.shapes, self.words, self.step = shapes, words, size + 1
+        self.plain = (shapes.get("a", -1) + 1) * self.step
 
+    def __missing__(self, t: str) -> int:
+        if t.islower() and t.isalpha():  # by far the commonest
+            w = self.words.get(t, -1)
+            if w < 0:
+                return self.plain
+            code = self.plain + w + 1
+        else:
+            w = self.words.get(t.lower().strip(".,;:!?"), -1)
+            code = (self.shapes.get(shape(t), -1) + 1) * self.step + w + 1
+        if w >= 0 and len(t) <= KNOWN_CHARS:
+            self[t] = code
+        return code
 
-def log_tf(counts) -> np.ndarray:
-    return 1 + np.log(np.fromiter(counts, np.float32, len(counts)))
+
+class Rows:
+    """Terms of texts by their row in the vocabulary, which is given as one text, a line a term; many texts at once."""
+
+    def __init__(self, vocabulary: str):
+        terms = vocabulary.split("\n") if vocabulary else []
+        self.size = max(1, len(terms))
+        self.again = next((r for r, t in enumerate(terms) if t == "r:"), None)
+        self.shapes, self.words = ({t[2:]: r for r, t in enumerate(terms) if t.startswith(kind)} for kind in ("s:", "w:"))
+        self.known = Known(self.shapes, self.words, self.size)
+
+    def _found(self, tokens: list) -> np.ndarray:
+        """Sorted text * size + row of every term of the tokens of each text."""
+        if len(self.known) > KNOWN:
+            self.known = Known(self.shapes, self.words, self.size)
+        n = np.array([len(t) for t in tokens], np.int64)
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(tokens)), np.int64, n.sum())
+        rows, text = np.concatenate(np.divmod(codes, self.size + 1)) - 1, np.repeat(np.arange(len(tokens)) * self.size, n)
+        found = (np.concatenate([text, text]) + rows)[rows >= 0]
+        found.sort()
+        return found
+
+    def _again(self, tokens: list[list[str]]) -> np.ndarray:
+        """How often a token of each text repeats the one before."""
+        return np.array([sum(map(eq, t, islice(t, 1, None))) for t in tokens], np.int64) * (self.again is not None)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, counts) of each text."""
+        tokens = [t.split() if t else [] for t in texts]
+        found = self._found(tokens)
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[first, len(found)])
+        text, rows = np.divmod(found[first], self.size)
+        at, again = np.searchsorted(text, np.arange(len(texts) + 1)), self._again(tokens)
+        return [(np.append(rows[a:b], self.again), np.append(counts[a:b], k)) if k else (rows[a:b], counts[a:b]) for a, b, k in zip(at, at[1:], again)]
+
+    def distinct(self, texts: list[str]) -> np.ndarray:
+        """The rows of each text, each once, one text after the other."""
+        tokens = [t.split() for t in texts]
+        found = self._found([set(t) for t in tokens])
+        rows = found[np.r_[True, found[1:] != found[:-1]]] % self.size if len(found) else found
+        return np.append(rows, np.full(np.count_nonzero(self._again(tokens)), self.again or 0))
+
+
+#: The lookup that this process has built, by name: tasks that follow find it again, and the one before goes.
+_BUILT: dict[str, Rows] = {}
+
+
+def rows_of(name: str, vocabulary: str) -> Rows:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Rows(vocabulary)
+    return _BUILT[name]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -92,17 +141,23 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """vocabulary: term -> row of `projection` (idf applied); vectors, labels, weights: the labelled examples."""
+    """vocabulary: the terms by row of `projection` (idf applied); vectors, labels, weights: the labelled examples."""
+
+    def __init__(self, vocabulary: list[str], projection: np.ndarray, vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray):
+        self.terms, self.projection, self.vectors, self.labels, self.weights = "\n".join(vocabulary), projection, vectors, labels, weights
+        self.name = uuid.uuid4().hex
 
-    def __init__(self, vocabulary: dict[str, int], projection: np.ndarray, vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray):
-        self.vocabulary, self.projection, self.vectors, self.labels, self.weights = vocabulary, projection, vectors, labels, weights
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.terms.split("\n") if self.terms else []
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.projection.shape[1]), np.float32)
-        rows = self.rows = getattr(self, "rows", None) or Rows(self.vocabulary)
-        for i, t in enumerate(texts):
-            if t and (found := rows(t)):
-                out[i] = log_tf(found.values()) @ self.projection[list(found)]
+        rows = rows_of(self.name, self.terms)
+        for a in range(0, len(texts), BLOCK):
+            for i, (at, n) in enumerate(rows(texts[a : a + BLOCK]), a):
+                if len(at):
+                    out[i] = (1 + np.log(n.astype(np.float32))) @ self.projection[at]
         return unit(out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -159,7 +214,7 @@ def fit(vocabulary: list[tuple[str, int]], rows: list[tuple[list[int], list[int]
     n, v = len(rows), len(vocabulary)
     start = np.cumsum([0, *[len(at) for at, _ in rows]])
     if not n or not v or not start[-1]:
-        return Model({}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
     idf = np.log(1 + (n_docs or n) / np.maximum(1, np.array([d for _, d in vocabulary], np.float32))).astype(np.float32)
     at = np.concatenate([np.asarray(a, np.int64) for a, _ in rows])
     values = (1 + np.log(np.concatenate([np.asarray(c, np.float32) for _, c in rows]))) * idf[at]
@@ -169,7 +224,7 @@ def fit(vocabulary: list[tuple[str, int]], rows: list[tuple[list[int], list[int]
     y = np.asarray(labels, np.float64)
     vectors = unit(np.stack([values[a:b] @ basis[at[a:b]] for a, b in zip(start[:-1], start[1:])]).astype(np.float32))
     # The rows' lengths cancel: embedded texts are scaled to unit length too.
-    return Model({t: i for i, (t, _) in enumerate(vocabulary)}, idf[:, None] * basis, vectors, y, np.where(y > 0, class_weight[1], class_weight[0]))
+    return Model([t for t, _ in vocabulary], idf[:, None] * basis, vectors, y, np.where(y > 0, class_weight[1], class_weight[0]))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -199,14 +254,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     sample = cut(sample_labelled(docs, labels, label_col, id_col, text_col, per_class))
     shared = sample.select(F.explode(term_set("text")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
     vocabulary = sorted(shared.toArrow()["t"].to_pylist())
-    numbers = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    numbers, name = docs.sparkSession.sparkContext.broadcast("\n".join(vocabulary)), uuid.uuid4().hex
 
     def numberer():
-        rows = Rows(numbers.value)
-        return lambda text: list(rows(text))
+        return rows_of(name, numbers.value).distinct
 
     n_docs, held = document_counts(docs, text_col, len(vocabulary), numberer)
-    got = sample.select("id", "label", _rows_udf(numbers)("text").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
+    got = sample.select("id", "label", _rows_udf(numbers, name)("text").alias("r")).select("id", "label", "r.*").toArrow().sort_by("id")
     label = got["label"].to_pylist()
     have = Counter(label)
     real = {r["l"]: r["n"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -214,12 +268,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit(list(zip(vocabulary, held.tolist())), [(a.values.to_numpy(), n.values.to_numpy()) for a, n in zip(got["at"], got["n"])], label, class_weight=weight, n_docs=n_docs)
 
 
-def _rows_udf(shared):
+def _rows_udf(shared, name: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        rows = Rows(shared.value)
+        rows = rows_of(name, shared.value)
         for texts in batches:
-            found = [rows(t) if t else {} for t in texts]
-            yield pd.DataFrame({"at": [list(f) for f in found], "n": [list(f.values()) for f in found]})
+            found = rows(texts.tolist())
+            yield pd.DataFrame({"at": [a.tolist() for a, _ in found], "n": [n.tolist() for _, n in found]})
 
     return F.pandas_udf(run, T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
 

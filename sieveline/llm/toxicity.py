@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -273,8 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def numberer():
         terms = shared.value
 
-        def of(text: str) -> np.ndarray:
-            at, known = number(terms, hashes(set(words(text))))
+        def of(texts: list[str]) -> np.ndarray:
+            at, known = number(terms, hashes(chain.from_iterable(set(words(t)) for t in texts)))
             return at[known]
 
         return of

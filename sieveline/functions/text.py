@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIST = r"(?mdU)^\s*(?:[-•*]|\d+[.)])\s"
@@ -88,3 +88,19 @@ def prefix_key(text: Column, n: int) -> Column:
 def overlap_chunks(text: Column, size: int = 500, step: int = 400) -> Column:
     """array<string> of pieces of `size` characters that start every `step`; an empty text has one empty piece."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step)), lambda i: F.substring(text, i, F.lit(size)))
+
+
+def content_id(*parts: Column) -> Column:
+    """The same id for the same content: md5 of the parts with ':' between; nulls are left out."""
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def words(text: Column) -> Column:
+    """Lower-case runs of letters."""
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def synonyms(pairs: DataFrame) -> DataFrame:
+    """(a, b) of each pair of names in both directions, once."""
+    first, second = pairs.columns
+    return pairs.toDF("a", "b").union(pairs.select(second, first).toDF("a", "b")).distinct()

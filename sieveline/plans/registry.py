@@ -144,14 +144,13 @@ SYNONYMS = [("thor", "that"), ("erre", "rere"), ("keit", "heit")]
 @query(f"WITH s AS (SELECT * FROM {FX.values(SYNONYMS, 'brand string, generic string')}), w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM benchmark), p AS (SELECT brand AS a, generic AS b FROM s UNION SELECT generic, brand FROM s) SELECT item_id, word, b AS synonym, count(*) AS n FROM w JOIN p ON word = a GROUP BY ALL")
 def p31_synonym_expansion(spark, sf_dir):
     s = spark.createDataFrame(SYNONYMS, "brand string, generic string")
-    both = s.toDF("a", "b").union(s.select("generic", "brand").toDF("a", "b")).distinct()
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    return w.join(F.broadcast(both), F.col("word") == F.col("a")).groupBy("item_id", "word", F.col("b").alias("synonym")).agg(F.count(F.lit(1)).alias("n"))
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.words(F.col("text"))).alias("word"))
+    return w.join(F.broadcast(X.synonyms(s)), F.col("word") == F.col("a")).groupBy("item_id", "word", F.col("b").alias("synonym")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT md5(source || ':' || text) AS example_id, count(*) AS n FROM documents GROUP BY ALL")
 def p32_stable_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5(F.concat_ws(":", "source", "text")).alias("example_id")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").groupBy(X.content_id(F.col("source"), F.col("text")).alias("example_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- Examples and the funnel
@@ -757,9 +756,7 @@ def s4_s7_envelope_roundtrip(spark, sf_dir):
     c = classified(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
     m = c.groupBy().agg(F.lit("1.0").alias("version"), F.count(F.lit(1)).alias("sampled_count"))
     files.write_chunks(c.select(*[f.name for f in schema.CHUNK]), path, m)
-    # Each partition's chunks once more, as whole-file envelopes.
-    env = spark.read.schema(schema.CHUNK).json(f"{path}/chunks").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list(F.struct(*[f.name for f in schema.CHUNK])).alias("chunks")).select(F.to_json(F.struct("chunks")).alias("value"))
-    env.write.text(f"{path}/envelope")
+    files.write_envelopes(spark.read.schema(schema.CHUNK).json(f"{path}/chunks"), f"{path}/envelope", 100)
     return files.read_envelope(spark, f"{path}/envelope").select("id", "stratum", F.md5("text").alias("text"))
 
 

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; a temporary folder of this machine in local mode only."""
+    """spark.checkpoint.dir where it is set; a temporary folder of this machine in local mode only. The application's
+    checkpoints go when it ends."""
     base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
         if not (sc.master == "local" or sc.master.startswith("local[")):
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = f"file://{os.path.join(tempfile.gettempdir(), 'sieveline-shared')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
-        _delete_at_end(spark, sc._jsc.sc().getCheckpointDir().get())
+    _delete_at_end(spark, sc._jsc.sc().getCheckpointDir().get())  # this application's own folder under it
     return base
 
 
@@ -120,6 +121,15 @@ def write_chunks(chunks: DataFrame, path: str, manifest: DataFrame) -> None:
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def write_envelopes(chunks: DataFrame, path: str, rows: int = 10_000) -> None:
+    """Chunks as envelopes of at most `rows` of them, one a file, as read_envelope() takes them."""
+    names = [f.name for f in S.CHUNK]
+    m = F.monotonically_increasing_id()
+    numbered = chunks.select(*names).withColumn("_m", m).select(F.shiftright("_m", 33).alias("_p"), F.floor(F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) / rows).alias("_k"), F.struct(*names).alias("_c"))
+    whole = numbered.groupBy("_p", "_k").agg(F.count(F.lit(1)).alias("sampled_count"), F.collect_list("_c").alias("chunks"))
+    whole.select(F.to_json(F.struct(F.lit("1.0").alias("version"), "sampled_count", "chunks")).alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+
+
 def write_report(report: DataFrame, output_dir: str, input_dir: str | None = None, dry_run: bool = False, name: str = "cleanup_report") -> str:
     """The report as JSON lines under output_dir; a dry run, which writes nothing else, leaves it beside the input.
     Returns the folder."""

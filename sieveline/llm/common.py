@@ -1,89 +1,24 @@
-"""Helpers that the training-data operators share: reading tables, cutting lineage, keyed hashes
-and cumulative hash thresholds."""
+"""Helpers that the training-data operators share: written tables, document counts, keyed hashes and cumulative hash
+thresholds."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bytes above which a side is no longer broadcast.
-BROADCAST_BYTES = 64 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the cluster sets it, else (tests) a
-    temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master.startswith("local[") or master == "local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'sieveline-checkpoints')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage: what was computed outlives its executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new folder name in the shared folder; the folder goes when the application ends."""
-    path = f"{shared_dir(spark)}/sieveline-{what}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)  # deleteOnExit takes only what is there
-    fs.deleteOnExit(hadoop)
-    return path
-
+from ..sources.files import BROADCAST_BYTES, bounded, cut, held_bytes, scratch_path, table  # noqa: F401 - for the operators
 
 def scratch_table(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as compressed Parquet in the shared folder and read it back. Smaller on disk than a
     checkpoint and column-prunable; the folder goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sieveline-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def held_bytes(df: DataFrame) -> int:
-    """About the bytes that the rows of `df` take, strings by their length; call it on a table that is written, or a
-    checkpoint."""
-    def of(field) -> Column:
-        c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
-        if isinstance(field.dataType, T.ArrayType):
-            return F.coalesce(F.size(c), F.lit(0)) * 16 + 24
-        return F.lit(16)
-
-    each = sum((of(f) for f in df.schema.fields), F.lit(16))
-    return df.agg(F.coalesce(F.sum(each.cast("bigint")), F.lit(0))).first()[0]
-
-
-def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
-    """`df` marked for broadcast if its rows hold no more than `most` bytes (BROADCAST_BYTES); beyond that Spark joins
-    it by a shuffle."""
-    return F.broadcast(df) if held_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
+    path = scratch_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def document_counts(docs: DataFrame, text_col: str, n_terms: int, numberer: Callable) -> tuple[int, np.ndarray]:

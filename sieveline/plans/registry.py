@@ -404,8 +404,8 @@ def j6_cross_source_dedup(spark, sf_dir):
 
 @query("SELECT item_id, 'base:' || length(text) AS base_response, 'tuned:' || length(text) AS finetuned_response FROM benchmark")
 def j7_x9_question_by_model(spark, sf_dir):
-    models = spark.createDataFrame([("base",), ("tuned",)], "model string")
-    asked = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(models)).select("item_id", "model", F.concat_ws(":", "model", F.length("text")).alias("prompt"))
+    models = F.explode(F.array(F.lit("base"), F.lit("tuned")))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text", models.alias("model")).select("item_id", "model", F.concat_ws(":", "model", F.length("text")).alias("prompt"))
     keyed = asked.withColumn("k", F.concat_ws("|", "item_id", "model"))
     said = generation.generate(keyed, _echo, "k", "prompt", partitions=4)
     joined = said.withColumn("item_id", F.split("k", r"\|")[0].cast("bigint")).withColumn("model", F.split("k", r"\|")[1])
@@ -419,7 +419,7 @@ def _echo():
 
 @query("SELECT case_id, tier FROM (SELECT unnest(generate_series(1, 15)) AS case_id), (SELECT unnest(['A','B','C','D','E','F','G']) AS tier)")
 def j8_case_by_tier(spark, sf_dir):
-    return spark.range(1, 16).select(F.col("id").alias("case_id")).crossJoin(spark.createDataFrame([(x,) for x in "ABCDEFG"], "tier string"))
+    return spark.range(1, 16).select(F.col("id").alias("case_id"), F.explode(F.array(*map(F.lit, "ABCDEFG"))).alias("tier"))
 
 
 def scores(spark):

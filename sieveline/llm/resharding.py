@@ -158,7 +158,7 @@ def transfer_ranges(docs: DataFrame, n_new: int = NEW_SHARDS, slack: float = SLA
     plan = spark.createDataFrame(targets, schema).withColumn("target_id", F.concat_ws(":", "old_shard", "new_shard"))
     found = cumulative_thresholds(rows, "old", "h", "bytes", plan.where("not last").select("old", "target_id", F.col("upto").alias("target")))
     # The last block of a shard takes all that is left of it, documents of 0 bytes included.
-    ends = plan.join(F.broadcast(found.select("target_id", "threshold")), "target_id", "left").withColumn("hi", F.coalesce("threshold", F.lit(1 << 60)))
+    ends = plan.join(bounded(found.select("target_id", "threshold")), "target_id", "left").withColumn("hi", F.coalesce("threshold", F.lit(1 << 60)))
     empty = [(n, i, i if i < n_new else i % n_new, 0, True) for i, (n, b) in enumerate(sizes) if not b]
     if empty:
         ends = ends.unionByName(spark.createDataFrame(empty, schema).withColumn("target_id", F.lit("")).withColumn("threshold", F.lit(None).cast("bigint")).withColumn("hi", F.lit(1 << 60)))

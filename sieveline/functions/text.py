@@ -95,7 +95,7 @@ def content_id(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def words(text: Column) -> Column:
+def letter_runs(text: Column) -> Column:
     """Lower-case runs of letters."""
     return F.split(F.lower(text), r"[^\p{L}]+")
 

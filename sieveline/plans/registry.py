@@ -144,7 +144,7 @@ SYNONYMS = [("thor", "that"), ("erre", "rere"), ("keit", "heit")]
 @query(f"WITH s AS (SELECT * FROM {FX.values(SYNONYMS, 'brand string, generic string')}), w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM benchmark), p AS (SELECT brand AS a, generic AS b FROM s UNION SELECT generic, brand FROM s) SELECT item_id, word, b AS synonym, count(*) AS n FROM w JOIN p ON word = a GROUP BY ALL")
 def p31_synonym_expansion(spark, sf_dir):
     s = spark.createDataFrame(SYNONYMS, "brand string, generic string")
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.words(F.col("text"))).alias("word"))
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.letter_runs(F.col("text"))).alias("word"))
     return w.join(F.broadcast(X.synonyms(s)), F.col("word") == F.col("a")).groupBy("item_id", "word", F.col("b").alias("synonym")).agg(F.count(F.lit(1)).alias("n"))
 
 

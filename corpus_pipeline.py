@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import decontam, mixing, quality, resharding, simhash
-from sieveline.llm.common import scratch_table, table
+from sieveline.llm.common import scratch_table, spread, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the documents of sf_dir, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = scratch_table(stage(spark, docs, sf_dir), name)
     return docs

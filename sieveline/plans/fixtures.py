@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.generation import chat
-from ..sources.files import table
+from ..sources.files import spread, table
 
 SYSTEM = "You answer from the given guidelines."
 
 
 def chunks(spark, sf_dir: str) -> DataFrame:
     """documents as flat chunks: category is the language, German ones have a society."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("id"), "text", "source", F.when(F.col("lang") == "de", "SOC").otherwise("").alias("society"), F.col("lang").alias("category"), F.lit("").alias("section_path"))
 
 

@@ -134,7 +134,7 @@ def p13_prefix_keys(spark, sf_dir):
 
 @query("SELECT doc_id, k AS piece_no, substr(text, CAST(k * 400 + 1 AS BIGINT), 500) AS piece FROM (SELECT doc_id, text, unnest(generate_series(0, (greatest(length(text), 1) - 1) // 400)) AS k FROM documents WHERE text IS NOT NULL)")
 def p30_overlap_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = files.spread(table(spark, sf_dir, "documents")).where("text is not null")
     return d.select("doc_id", F.posexplode(X.overlap_chunks(F.col("text"))).alias("piece_no", "piece")).withColumn("piece_no", F.col("piece_no").cast("bigint"))
 
 

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` on all cores where its files have parts for less than half of them, as a file of one row group has. Filters
+    above it aren't pushed down to that one task. Tables with parts enough are as they were."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores).where(F.rand(0) >= 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; a temporary folder of this machine in local mode only. The application's
     checkpoints go when it ends."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.files import BROADCAST_BYTES, bounded, cut, held_bytes, scratch_path, table  # noqa: F401 - for the operators
+from ..sources.files import BROADCAST_BYTES, bounded, cut, held_bytes, scratch_path, spread, table  # noqa: F401 - for the operators
 
 def scratch_table(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as compressed Parquet in the shared folder and read it back. Smaller on disk than a

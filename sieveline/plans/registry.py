@@ -860,12 +860,12 @@ def _scorer():
     return lambda prompt: json.dumps({"score": int(prompt) % 6, "reason": "length"})
 
 
-@query("SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 2 END AS score, CASE n_chars % 5 WHEN 0 THEN '' WHEN 1 THEN 'cut' WHEN 2 THEN 'text' WHEN 3 THEN 'fenced' END AS reason, n_chars % 5 = 4 AS failed, n_chars % 5 IN (1, 2, 4) AS kept FROM documents")
+@query("SELECT doc_id, CAST(CASE n_chars % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 2 END AS DOUBLE) AS score, CASE n_chars % 5 WHEN 0 THEN '' WHEN 1 THEN 'cut' WHEN 2 THEN 'text' WHEN 3 THEN 'fenced' END AS reason, n_chars % 5 = 4 AS failed, n_chars % 5 IN (1, 2, 4) AS kept FROM documents")
 def x3_llm_scorer(spark, sf_dir):
     """Replies without a score (0), with 3.7, with "4", in a fence, and without JSON; what has no score stays."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("string").alias("question"), F.lit("").alias("answer"))
     said = generation.llm_scores(d, _judge, "doc_id", template="%s|%s|")
-    return said.withColumn("kept", F.coalesce(F.col("score") >= 3, F.lit(True)))
+    return said.withColumn("kept", F.coalesce(F.col("score") >= 3, F.lit(True))).withColumn("score", F.col("score").cast("double"))
 
 
 def _judge():
@@ -877,14 +877,14 @@ def _judge():
 def x9_timeouts(spark, sf_dir):
     """A provider that hangs for some prompts and fails for others; the rows say so."""
     p = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("P"), "n_chars").alias("prompt"))
-    return generation.generate(p, _hanging, "doc_id", retries=1, timeout=0.05, marks=True).select("doc_id", "response", "failed")
+    return generation.generate(p, _hanging, "doc_id", retries=1, timeout=0.3, marks=True).select("doc_id", "response", "failed")
 
 
 def _hanging():
     def call(prompt: str) -> str:
         k = int(prompt[1:]) % 50
         if k == 0:
-            time.sleep(0.5)
+            time.sleep(1.5)
         if k == 1:
             raise RuntimeError("no")
         return prompt
@@ -892,7 +892,8 @@ def _hanging():
     return call
 
 
-@query("SELECT doc_id, round(length(text) / sqrt(length(text) ** 2 + (len(text) - len(replace(text, 'e', ''))) ** 2), 5) AS x, round((len(text) - len(replace(text, 'e', ''))) / sqrt(length(text) ** 2 + (len(text) - len(replace(text, 'e', ''))) ** 2), 5) AS y FROM documents")
+@query("""WITH n AS (SELECT doc_id, length(text) AS c, len(text) - len(replace(text, 'e', '')) AS e FROM documents), u AS (SELECT doc_id, c, e, sqrt(c * c + e * e) AS norm FROM n)
+SELECT doc_id, CASE WHEN c > 0 THEN round((c / norm)::FLOAT::DOUBLE, 5) ELSE 0 END AS x, CASE WHEN c > 0 THEN round((e / norm)::FLOAT::DOUBLE, 5) ELSE 0 END AS y FROM u""")
 def x1_embeddings(spark, sf_dir):
     e = generation.embeddings(table(spark, sf_dir, "documents"), _counts, "doc_id")
     return e.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.round(F.col("embedding")[1].cast("double"), 5).alias("y"))
@@ -903,7 +904,7 @@ def _counts():
     return lambda texts: [[len(t), t.count("e")] for t in texts]
 
 
-@query("SELECT count(*) AS rows, sum(n_chars) AS chars, count(CASE WHEN n_chars < 80 THEN 1 END) AS short FROM documents")
+@query("SELECT count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars, count(CASE WHEN n_chars < 80 THEN 1 END) AS short FROM documents")
 def s13_metrics(spark, sf_dir):
     """Counters taken in the pass that writes."""
     d, path = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), _stored(spark, "s13")

@@ -24,8 +24,9 @@ from .common import bounded, cut, fresh
 BUDGET, WIDE_BUDGET = 17, 36
 #: Offsets and lengths of the 9 blocks of the first 128 bits.
 BLOCKS = [(0, 14), (14, 14), (28, 14), (42, 14), (56, 14), (70, 14), (84, 14), (98, 15), (113, 15)]
-#: Node pairs of at most this many fingerprint pairs are compared outright; larger ones are descended.
-LEAF_PAIRS, CHUNK_PAIRS = 64, 2_000_000
+#: Node pairs of at most this many fingerprint pairs are compared outright; larger ones are descended. Fingerprint pairs
+#: and node pairs that are held at a time; entries that a task gathers from its sub-tries before it joins them.
+LEAF_PAIRS, CHUNK_PAIRS, FRONTIER, GATHER = 64, 1 << 18, 1 << 15, 1 << 18
 #: Fingerprints above which a sub-trie is parted among tasks, by the values of the other half of its block.
 SPLIT_ROWS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -113,70 +114,91 @@ def trie_self_join(bucket: np.ndarray, rotation: np.ndarray, first: np.ndarray,
     in a bucket of two nodes of a sub-trie, the lesser and the greater, that are only compared with each other.
 
     Entries are sorted, so that a trie node is a range. Pairs of nodes descend together, one bit at a time, and
-    carry the bits that differ so far; a pair beyond the budget is pruned."""
+    carry the bits that differ so far; a pair beyond the budget is pruned. At most FRONTIER pairs descend at a time, the
+    deepest first, so what waits doesn't grow with the pairs that there are."""
     r0, r1 = rotate(words[:, 0], words[:, 1], rotation)
     order = np.lexsort((r1, r0, bucket))
-    bucket, r0, r1, words, first = bucket[order], r0[order], r1[order], words[order], first[order]
-    side = np.full(len(bucket), -1) if side is None else side[order]
-    n, found = len(bucket), Components(len(bucket))
+    bucket, r0, r1, words, first = bucket[order], r0[order], r1[order], np.asfortranarray(words[order]), first[order]
+    side = np.full(len(bucket), -1, np.int8) if side is None else side[order]
+    n, found, ones = len(bucket), Components(len(bucket)), _Ones(r0, r1)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     ends = np.r_[starts[1:], n]
     two, greater = side[starts] >= 0, np.r_[0, np.cumsum(side == 1)]
     middle = ends - (greater[ends] - greater[starts])  # the lesser node comes first
     many = np.where(two, (starts < middle) & (middle < ends), ends - starts > 1)
-    a0, a1, b0, b1 = starts[many], np.where(two, middle, ends)[many], np.where(two, middle, starts)[many], ends[many]
-    acc = np.zeros(len(a0), np.int64)
-    for depth in range(129):
+    roots = [starts[many], np.where(two, middle, ends)[many], np.where(two, middle, starts)[many], ends[many], np.zeros(many.sum(), np.int64)]
+    del bucket, side, greater
+    waiting = [(0, [x[k : k + FRONTIER] for x in roots]) for k in range(0, len(roots[0]), FRONTIER)]
+    while waiting:
+        depth, (a0, a1, b0, b1, acc) = waiting.pop()
         same = a0 == b0
         pairs = np.where(same, (a1 - a0) * (a1 - a0 - 1) // 2, (a1 - a0) * (b1 - b0))
         leaf = (pairs <= LEAF_PAIRS) if depth < 128 else np.ones(len(a0), bool)
         _compare(a0[leaf], a1[leaf], b0[leaf], b1[leaf], words, found, budget, wide)
         a0, a1, b0, b1, acc = (x[~leaf] for x in (a0, a1, b0, b1, acc))
         if not len(a0):
-            break
-        word = r0 if depth < 64 else r1
-        ones = np.r_[0, np.cumsum((word >> np.uint64(63 - depth % 64)) & np.uint64(1)).astype(np.int64)]
-        am, bm, same = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0]), a0 == b0
+            continue
+        am, bm, same = a1 - (ones(depth, a1) - ones(depth, a0)), b1 - (ones(depth, b1) - ones(depth, b0)), a0 == b0
         down = [(a0, am, b0, bm, acc, np.ones(len(a0), bool)), (am, a1, bm, b1, acc, np.ones(len(a0), bool)),
                 (a0, am, bm, b1, acc + 1, np.ones(len(a0), bool)), (am, a1, b0, bm, acc + 1, ~same)]
         a0, a1, b0, b1, acc = (np.concatenate([x[k][x[5]] for x in down]) for k in range(5))
         allowed = np.where(depth < first[np.minimum(a0, n - 1)], 1, budget)
         live = (a1 > a0) & (b1 > b0) & (acc <= allowed) & ~((a0 == b0) & (a1 - a0 < 2))
-        a0, a1, b0, b1, acc = (x[live] for x in (a0, a1, b0, b1, acc))
+        below = [x[live] for x in (a0, a1, b0, b1, acc)]
+        waiting += [(depth + 1, [x[k : k + FRONTIER].copy() for x in below]) for k in range(0, len(below[0]), FRONTIER)]
     out = Components(n)
     out.label = order[found.label][np.argsort(order)]
     return out
 
 
+class _Ones:
+    """ones(depth, i): how many of the first i entries have a one at that bit of r0 r1. A bit and a half an entry for each
+    depth that is asked for."""
+
+    def __init__(self, r0: np.ndarray, r1: np.ndarray):
+        self.words, self.known = (r0, r1), {}
+
+    def __call__(self, depth: int, i: np.ndarray) -> np.ndarray:
+        if depth not in self.known:
+            bits = (self.words[depth // 64] >> np.uint64(63 - depth % 64)).astype(np.uint8) & 1
+            packed = np.packbits(np.r_[bits, np.zeros(64 - len(bits) % 64, np.uint8)], bitorder="little").view("<u8")
+            self.known[depth] = packed, np.r_[0, np.cumsum(np.bitwise_count(packed))].astype(np.int32)
+        packed, before = self.known[depth]
+        at, rest = i >> 6, (i & 63).astype(np.uint64)
+        return before[at] + np.bitwise_count(packed[at] & ((np.uint64(1) << rest) - np.uint64(1))).astype(np.int64)
+
+
 def _compare(a0, a1, b0, b1, words, found, budget, wide) -> None:
     """Join all pairs of these node pairs that match, in chunks of bounded size."""
     same = a0 == b0
     count = (a1 - a0) * (b1 - b0)
+    upto_here = np.r_[0, np.cumsum(count)]
     at = 0
     while at < len(a0):
-        upto = max(at + 1, int(np.searchsorted(np.cumsum(count[at:]), CHUNK_PAIRS)) + at)
+        upto = max(at + 1, int(np.searchsorted(upto_here, upto_here[at] + CHUNK_PAIRS)) - 1)
         s = slice(at, upto)
         at = upto
         if upto - s.start == 1 and count[s.start] > CHUNK_PAIRS:  # one large pair of nodes: by blocks of rows
             x0, x1, y0, y1 = a0[s][0], a1[s][0], b0[s][0], b1[s][0]
             rows = max(1, CHUNK_PAIRS // int(y1 - y0))
             for r in range(x0, x1, rows):
-                i = np.repeat(np.arange(r, min(x1, r + rows)), y1 - y0)
-                j = np.tile(np.arange(y0, y1), len(i) // (y1 - y0))
-                _match(i, j, words, found, budget, wide)
+                i = np.arange(r, min(x1, r + rows))
+                _match(i, np.maximum(i + 1, y0) if same[s][0] else np.full(len(i), y0), np.full(len(i), y1), words, found, budget, wide)
             continue
-        c, width = count[s], (b1 - b0)[s]
+        c = (a1 - a0)[s]
         node = np.repeat(np.arange(len(c)), c)
-        k = np.arange(len(node)) - np.repeat(np.cumsum(c) - c, c)
-        i, j = a0[s][node] + k // width[node], b0[s][node] + k % width[node]
-        once = ~same[s][node] | (i < j)
-        _match(i[once], j[once], words, found, budget, wide)
+        i = np.arange(len(node)) + (a0[s] - (np.cumsum(c) - c))[node]
+        _match(i, np.where(same[s][node], i + 1, b0[s][node]), b1[s][node], words, found, budget, wide)
 
 
-def _match(i, j, words, found, budget, wide) -> None:
+def _match(i, j0, j1, words, found, budget, wide) -> None:
+    """Join every entry i[k] with those of [j0[k], j1[k]) that match it."""
+    c = j1 - j0
+    j = np.arange(c.sum()) + np.repeat(j0 - (np.cumsum(c) - c), c)
+    w = words[:, 0]
+    near = np.flatnonzero(np.bitwise_count(np.repeat(w[i], c) ^ w[j]) <= budget)
+    i, j = i[np.searchsorted(np.cumsum(c), near, side="right")], j[near]
     d = np.bitwise_count(words[i, 0] ^ words[j, 0]).astype(np.int64)
-    near = d <= budget
-    i, j, d = i[near], j[near], d[near]
     d += np.bitwise_count(words[i, 1] ^ words[j, 1])
     near = d <= budget
     i, j, d = i[near], j[near], d[near]
@@ -191,28 +213,47 @@ PARTED = 1 << 40
 
 
 def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, side, w0..w3) of whole sub-tries, or pairs of their nodes -> (u, v): every fingerprint that isn't the first
-    of its component here, with the first."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    t = pa.Table.from_batches(table)
-    key = t.column("key").to_numpy()
-    words = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
-    tries = np.array(subtries())
+    """(key, side, w0..w3) of whole sub-tries, or pairs of their nodes, sorted by key -> (u, v): every fingerprint that
+    isn't the first of its component here, with the first. Joined as they come, once GATHER entries or more are there."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rows >= GATHER:
+            # What came is whole up to where its last key ends in this batch.
+            key = batch.column("key").to_numpy()
+            ends = int(np.searchsorted(key, held[-1].column("key")[-1].as_py(), side="right"))
+            if ends < len(key):
+                yield _join_entries([*held, batch.slice(0, ends)])
+                held, rows, batch = [], 0, batch.slice(ends)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield _join_entries(held)
+
+
+def _join_entries(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    column = lambda name: np.concatenate([b.column(name).to_numpy() for b in batches])
+    key, side, words = column("key"), column("side").astype(np.int8), np.empty((sum(b.num_rows for b in batches), 4), np.uint64)
+    for k in range(4):
+        words[:, k] = column(f"w{k}").view(np.uint64)
+    batches.clear()
+    tries = np.array(subtries(), np.int16)
     which = np.where(key < PARTED, key, (key - PARTED) >> 16) >> 16
-    label = trie_self_join(key, tries[which, 2], tries[which, 3], words, side=t.column("side").to_numpy()).label
+    label = trie_self_join(key, tries[which, 2], tries[which, 3], words, side=side).label
     # The same fingerprint is here in several sub-tries; its entries are one node.
-    _, node = np.unique(words, axis=0, return_inverse=True)
-    node = node.ravel()
-    one = Components(int(node.max()) + 1)
+    order = np.lexsort(words.T[::-1])
+    new = np.r_[True, (words[order[1:]] != words[order[:-1]]).any(1)]
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(new) - 1
+    first_at = order[new]
+    one = Components(len(first_at))
     one.add(node, node[label])
-    first_at = np.zeros(int(node.max()) + 1, np.int64)
-    first_at[node[::-1]] = np.arange(len(node))[::-1]
     member = np.flatnonzero(one.label != np.arange(len(one.label)))
     u, v = words[first_at[member]], words[first_at[one.label[member]]]
     raw = lambda x: [r.tobytes() for r in x.astype(">u8")]
-    yield pa.RecordBatch.from_arrays([pa.array(raw(u), pa.binary()), pa.array(raw(v), pa.binary())], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(raw(u), pa.binary()), pa.array(raw(v), pa.binary())], names=["u", "v"])
 
 
 def match_edges(prints: DataFrame, rows: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -235,7 +276,7 @@ def match_edges(prints: DataFrame, rows: int, split_rows: int = SPLIT_ROWS) -> D
             named_struct('key', {PARTED} + key * 65536 + least(v, v ^ shiftleft(1L, i - 1)) * 256 + greatest(v, v ^ shiftleft(1L, i - 1)), 'side', if((v & shiftleft(1L, i - 1)) = 0, 0, 1))))""")
         whole = F.array(F.struct("key", F.lit(-1).alias("side")))
         entries = entries.join(F.broadcast(cut(large)), F.col("key") == F.col("large"), "left").withColumn("p", F.explode(F.when(F.col("large").isNull(), whole).otherwise(parted))).select("p.*", *words)
-    return entries.repartition("key").mapInArrow(_join_partition, "u binary, v binary")
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(_join_partition, "u binary, v binary")
 
 
 def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_rows: int = SPLIT_ROWS) -> DataFrame:

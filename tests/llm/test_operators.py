@@ -4,10 +4,12 @@ import datetime
 import math
 import os
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -584,6 +586,62 @@ def test_parted_subtries_find_the_same_pairs(spark):
         assert found == {frozenset((words[k].astype(">u8").tobytes(), words[k + 1].astype(">u8").tobytes())) for k in range(0, 120, 2)}
 
 
+def dense_prints(n, seed):
+    """Fingerprints whose bits lean to one side, as those of one language do, so that few pairs are pruned early."""
+    rng = np.random.default_rng(seed)
+    bits = rng.random((n, 256)) < np.clip(rng.normal(0.5, 0.35, 256), 0.02, 0.98)
+    return np.unique(np.packbits(bits, axis=1).view(">u8").astype(np.uint64), axis=0)
+
+
+def test_memory_of_the_join_does_not_grow_with_the_pairs(monkeypatch):
+    words = dense_prints(6000, 8)
+    words = np.r_[words[:5400], words[:600] ^ np.array([1, 0, 0, 0], np.uint64)]
+    one, (_, _, r, rest) = np.ones(len(words), np.int64), simhash.subtries()[0]
+    tracemalloc.start()
+    got = simhash.trie_self_join(one, r * one, rest * one, words).label
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, f"{peak / 1e6:.0f} MB"
+    for name, most in (("FRONTIER", 7), ("CHUNK_PAIRS", 100), ("LEAF_PAIRS", 3)):
+        monkeypatch.setattr(simhash, name, most)
+    small = np.r_[0:300, 5400:5700]
+    few = simhash.trie_self_join(one[small], r * one[small], rest * one[small], words[small]).label
+    monkeypatch.undo()
+    assert (few == simhash.trie_self_join(one[small], r * one[small], rest * one[small], words[small]).label).all()
+    assert len(set(got)) == 5400
+
+
+def test_subtries_of_a_task_are_joined_as_they_come(monkeypatch):
+    words = dense_prints(400, 9)
+    words = np.unique(np.r_[words, words ^ np.array([1, 0, 0, 0], np.uint64)], axis=0)
+    key = np.repeat([5, 6, 7, 40], [300, 1, 150, 349])[: len(words)]
+    order = np.random.default_rng(1).permutation(len(words))
+    batches = [pa.record_batch([key[a : a + 50], np.full(len(key[a : a + 50]), -1), *words[order][a : a + 50].view(np.int64).T], names=["key", "side", "w0", "w1", "w2", "w3"]) for a in range(0, len(key), 50)]
+    asked, links = [], []
+
+    def coming():
+        for k, b in enumerate(batches):
+            asked.append(k)
+            yield b
+
+    whole = [(u.as_py(), v.as_py()) for b in simhash._join_partition(iter(batches)) for u, v in zip(*b.columns)]
+    monkeypatch.setattr(simhash, "GATHER", 120)
+    for b in simhash._join_partition(coming()):
+        links.append((len(asked), [(u.as_py(), v.as_py()) for u, v in zip(*b.columns)]))
+    assert links[0][0] < len(batches) and len(links) == 3
+    assert components([x for _, some in links for x in some]) == components(whole) and whole
+
+
+def components(links):
+    of = {}
+    for u, v in links:
+        a, b = of.setdefault(u, {u}), of.setdefault(v, {v})
+        if a is not b:
+            a |= b
+            of.update(dict.fromkeys(b, a))
+    return {frozenset(g) for g in of.values()}
+
+
 def test_dedup_edges(spark, edge, empty):
     pairs = bag(simhash.near_duplicates(edge), "doc_id", "kept_doc_id")
     assert pairs == sorted([(2, 1), (2, 1), (None, 1), (4, 3), (7, 6)], key=repr)

@@ -24,6 +24,8 @@ EOT, SEQUENCE, SHARD_SLOTS, KEY = 50256, 1024, 8192, 20240229
 #: Rows of the token files are at most this long, so that very long texts need no very long rows; so many of the rows
 #: that place documents are summed at a time; how hard token files and shuffled pieces are compressed.
 PIECE, RUN, FILE_LEVEL, PIECE_LEVEL = 16384, 100_000, 9, 1
+#: Ids that take one byte in shuffled pieces; commonest ids of a file that stand for election.
+COMMON, ELIGIBLE = 255, 1000
 
 _ENCODERS: dict[bytes, object] = {}
 
@@ -87,6 +89,32 @@ class SlotPermutation:
         return self._walk(x, self.keys[::-1], True)
 
 
+class PieceCode:
+    """Shuffled pieces: a byte for each id, its place among `common` or COMMON; then how many others there are, and the
+    low and the high bytes of those; compressed. Any list of common ids gives back the same ids."""
+
+    def __init__(self, common: list[int]):
+        self.ids = np.zeros(COMMON + 1, "<u2")
+        self.ids[: len(common)] = common
+        self.place = np.full(1 << 16, COMMON, np.uint8)
+        self.place[common] = np.arange(len(common))
+        self.codec = pa.Codec("zstd", PIECE_LEVEL)
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        place = self.place[ids]
+        rest = ids[place == COMMON]
+        body = place.tobytes() + rest.view(np.uint8).reshape(-1, 2).T.tobytes()
+        return len(rest).to_bytes(4, "little") + self.codec.compress(body, asbytes=True)
+
+    def unpack(self, raw: pa.Buffer, n: int) -> bytes:
+        some = int.from_bytes(raw.slice(0, 4).to_pybytes(), "little")
+        body = np.frombuffer(self.codec.decompress(raw.slice(4), n + 2 * some, asbytes=True), np.uint8)
+        place = body[:n]
+        ids = self.ids[place]
+        ids[place == COMMON] = np.ascontiguousarray(body[n:].reshape(2, some).T).view("<u2").ravel()
+        return ids.tobytes()
+
+
 def _settle(where, made: str, path: str) -> None:
     """Give a whole file its name, in place of one that is there: another attempt's, which is equal, or an older one."""
     from pyarrow import fs
@@ -103,7 +131,8 @@ def _token_file(root: str, part: int) -> str:
 def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
     """Write the ids of every text, an end-of-text after each, to one file a task under folder, in rows of at most PIECE
     ids. Returns (h, th, n, part, c): c documents of n ids with the hashes h (of id and text) and th (of the text) are in
-    the file of `part`. A file appears when it is whole."""
+    the file of `part`. Rows without h: the id th is there c times; of the ELIGIBLE commonest ids of a file. A file appears
+    when it is whole."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +141,18 @@ def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         where, root = fs.FileSystem.from_uri(folder)
         part, counts, writer = TaskContext.get().partitionId(), Counter(), None
         made, e = f"{root}/.{part:08d}.{TaskContext.get().taskAttemptId()}", encoder(shared.value)
+        seen, few, some = np.zeros(1 << 16, np.int64), [np.zeros(0, "<u2")], 0
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             at: list[int] = []
             for k, (h, th, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3))):
                 ids = np.append(e.encode_to_numpy(text.as_py(), allowed_special=set(), disallowed_special=()), EOT).astype("<u2")
                 counts[h, th, len(ids)] += 1
+                few.append(ids)
+                some += len(ids)
+                if some >= 1 << 18:
+                    seen += np.bincount(np.concatenate(few), minlength=1 << 16)
+                    few, some = [], 0
                 for a in range(0, len(ids), PIECE):
                     at.append(k)
                     for c, v in zip(cols, (h, th, len(ids), a, ids[a : a + PIECE].tobytes())):
@@ -132,7 +167,10 @@ def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             writer.close()
             out.close()
             _settle(where, made, _token_file(root, part))
+        if few:
+            seen += np.bincount(np.concatenate(few), minlength=1 << 16)
         rows = list(counts.items())
+        rows += [((None, int(k), None), int(seen[k])) for k in np.argsort(-seen, kind="stable")[:ELIGIBLE] if seen[k]]
         yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k, _ in rows], pa.int64()) for j in range(3)], pa.array([part] * len(rows), pa.int32()), pa.array([c for _, c in rows], pa.int64())], names=["h", "th", "n", "part", "c"])
 
     th = F.xxhash64(F.col(text_col))
@@ -168,6 +206,8 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     folder = scratch_path(spark, "tokens")
     counts = token_files(docs, folder, id_col, text_col, ranks_path)
+    common = [r["th"] for r in counts.where("h is null").groupBy("th").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "th").limit(COMMON).collect()]
+    counts = counts.where("h is not null")
     rows, parts, total = counts.agg(F.count(F.lit(1)), F.max("part"), F.coalesce(F.sum(F.col("n") * F.col("c")), F.lit(0))).first()
     n = -(-total // sequence)
     if not n:
@@ -178,7 +218,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs, parquet
 
-        where, root, codec = *fs.FileSystem.from_uri(folder), pa.Codec("zstd", PIECE_LEVEL)
+        where, root, code = *fs.FileSystem.from_uri(folder), PieceCode(common)
         starts: dict[int, dict[tuple[int, int, int], int]] = {}
         for batch in batches:
             for part, h, th, size, start in zip(*[c.to_pylist() for c in batch.columns]):
@@ -191,12 +231,12 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if not at:
                         o = first[h, th, size]
                         first[h, th, size] = o + size
-                    view = raw.as_buffer()
-                    some, done = view.size // 2, 0
+                    ids = np.frombuffer(raw.as_buffer(), "<u2")
+                    some, done = len(ids), 0
                     while done < some:
                         s, inside = divmod(o + at + done, sequence)
                         take = min(sequence - inside, some - done)
-                        for c, v in zip(out, (s, inside, k, take, codec.compress(view.slice(2 * done, 2 * take), asbytes=True))):
+                        for c, v in zip(out, (s, inside, k, take, code.pack(ids[done : done + take]))):
                             c.append(v)
                         done += take
                 seq = np.array(out[0], np.int64)
@@ -211,7 +251,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted pieces to whole sequences; a sequence may run on into the next batch."""
         slot = seq = kind = None
-        codec = pa.Codec("zstd")
+        code = PieceCode(common)
         raw: list[bytes] = []
         ids: list = []
 
@@ -228,7 +268,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         for c, v in zip(done, (slot, seq, ids, whole())):
                             c.append(v)
                     slot, seq, raw, ids = s, q, [], []
-                raw.append(codec.decompress(t.as_buffer(), 2 * size, asbytes=True))
+                raw.append(code.unpack(t.as_buffer(), size))
                 if not ids or ids[-1] != d:
                     ids.append(d)
             yield records(done, kind)

@@ -350,6 +350,30 @@ def test_training_order_of_string_ids(spark):
     assert sorted({i for r in got for i in r["doc_ids"]}, key=repr) == sorted(["d1", "d2", None], key=repr)
 
 
+def test_training_order_shuffles_little_beside_the_tokens(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(4)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    docs = spark.createDataFrame(docs.toPandas()).cache()
+    docs.count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    got = trainorder.training_order(docs, shard_slots=64).toPandas()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    size = got["tokens"].map(len).sum()
+    assert written() - before < 0.72 * size, f"{(written() - before) / size:.2f}"
+    ids = np.concatenate([np.frombuffer(t, "<u2") for t in got.sort_values("seq")["tokens"]])
+    said = np.concatenate([trainorder.encode(r["text"]) for r in docs.where("text is not null").collect()])
+    assert (np.bincount(ids[: len(said)], minlength=1 << 16) == np.bincount(said, minlength=1 << 16)).all()
+
+
+@pytest.mark.parametrize("common", [[], [7], list(range(100, 355))])
+def test_pieces_come_back_whole(common):
+    code, rng = trainorder.PieceCode(common), np.random.default_rng(3)
+    for ids in ([], [7], [65535, 0, 100, 354, 355], rng.integers(0, 1 << 16, 1000), rng.integers(90, 360, 1024), np.full(1024, 7)):
+        ids = np.array(ids, "<u2")
+        assert code.unpack(pa.py_buffer(code.pack(ids)), len(ids)) == ids.tobytes()
+
+
 def test_training_order_empty(spark, empty):
     assert trainorder.training_order(empty).count() == 0
 

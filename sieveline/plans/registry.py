@@ -767,7 +767,7 @@ def s5_s6_score_files(spark, sf_dir):
     rows.write.json(f"{path}/lines")
     strict = files.read_jsonl_strict(spark, f"{path}/lines", schema.SCORE)
     # A JSON array per file, as the scorer writes it.
-    strict.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list(F.struct("index", "score", "reason", "stratum")).alias("a")).select(F.to_json("a").alias("value")).write.text(f"{path}/array")
+    files.write_scores(strict, f"{path}/array")
     return files.read_scores(spark, f"{path}/array")
 
 

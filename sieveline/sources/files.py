@@ -130,13 +130,27 @@ def write_chunks(chunks: DataFrame, path: str, manifest: DataFrame) -> None:
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def _pieces(rows: DataFrame, names: list[str], most: int) -> DataFrame:
+    """(n, a): the rows as arrays of at most `most` of them, with their number."""
+    m = F.monotonically_increasing_id()
+    numbered = rows.select(*names).withColumn("_m", m).select(F.shiftright("_m", 33).alias("_p"), F.floor(F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) / most).alias("_k"), F.struct(*names).alias("_c"))
+    return numbered.groupBy("_p", "_k").agg(F.count(F.lit(1)).alias("n"), F.collect_list("_c").alias("a")).select("n", "a")
+
+
+def _write_values(values: DataFrame, path: str) -> None:
+    """One value a file: a reader of whole files takes the first value of each and leaves out what follows it."""
+    values.write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+
+
 def write_envelopes(chunks: DataFrame, path: str, rows: int = 10_000) -> None:
     """Chunks as envelopes of at most `rows` of them, one a file, as read_envelope() takes them."""
-    names = [f.name for f in S.CHUNK]
-    m = F.monotonically_increasing_id()
-    numbered = chunks.select(*names).withColumn("_m", m).select(F.shiftright("_m", 33).alias("_p"), F.floor(F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) / rows).alias("_k"), F.struct(*names).alias("_c"))
-    whole = numbered.groupBy("_p", "_k").agg(F.count(F.lit(1)).alias("sampled_count"), F.collect_list("_c").alias("chunks"))
-    whole.select(F.to_json(F.struct(F.lit("1.0").alias("version"), "sampled_count", "chunks")).alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+    whole = _pieces(chunks, [f.name for f in S.CHUNK], rows)
+    _write_values(whole.select(F.to_json(F.struct(F.lit("1.0").alias("version"), F.col("n").alias("sampled_count"), F.col("a").alias("chunks"))).alias("value")), path)
+
+
+def write_scores(scores: DataFrame, path: str, rows: int = 100_000) -> None:
+    """Scores as JSON arrays of at most `rows` of them, one a file, as read_scores() takes them."""
+    _write_values(_pieces(scores, [f.name for f in S.SCORE], rows).select(F.to_json("a").alias("value")), path)
 
 
 def write_report(report: DataFrame, output_dir: str, input_dir: str | None = None, dry_run: bool = False, name: str = "cleanup_report") -> str:

@@ -12,6 +12,7 @@ from sieveline import config as C
 from sieveline.functions import text as X
 from sieveline.functions.classify import chunk_text, extract_text, stratum
 from sieveline.operators import components, dedup, evalstats, generation, quality, report, sampling, stages
+from sieveline.plans import registry
 from sieveline.sources import files, schema
 from sieveline.streaming import incremental
 
@@ -340,3 +341,12 @@ def test_first_wins_stream(spark, tmp_path):
 
 def test_scratch_folder_is_the_shared_one(spark):
     assert files.scratch_path(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_score_files_of_many_parts_lose_no_row(spark, tmp_path):
+    df = spark.range(100, numPartitions=16).select(F.col("id").alias("index"), F.lit(1).alias("score"), F.lit("q").alias("reason"), F.lit(None).cast("string").alias("stratum"))
+    files.write_scores(df, f"file://{tmp_path}/a", 3)
+    got = files.read_scores(spark, f"file://{tmp_path}/a").collect()
+    assert sorted(got) == sorted(df.collect())
+    df.select(F.col("index").alias("doc_id"), F.col("score").alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert sorted(r["index"] for r in registry.QUERIES["s5_s6_score_files"](spark, f"file://{tmp_path}").collect()) == list(range(100))

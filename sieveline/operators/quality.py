@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -35,15 +40,36 @@ def content_anti(df: DataFrame, passed: DataFrame, question: str, answer: str, n
     return df.join(known, x.eqNullSafe(known["_q"]) & y.eqNullSafe(known["_a"]), "left_anti")
 
 
+#: Labelled rows of a partition of the training: every level of every tree is a job of its own, so that many small
+#: tasks cost more than they share.
+TRAIN_ROWS = 65_536
+
+
+def booster(max_iter: int = 200, seed: int = 42) -> GBTClassifier:
+    return GBTClassifier(labelCol="_label", featuresCol="_features", predictionCol="_prediction", maxIter=max_iter, maxDepth=5, stepSize=0.1, minInstancesPerNode=20, seed=seed)
+
+
 def train(labelled: DataFrame, names: list[str], label: str, max_iter: int = 200, seed: int = 42) -> GBTClassificationModel | None:
     """None where the rows have not two classes: the stage is then skipped."""
-    if labelled.select(label).distinct().count() < 2:
-        return None
-    data = VectorAssembler(inputCols=names, outputCol="_features").transform(labelled).select("_features", F.col(label).cast("double").alias("_label")).persist()
+    return _fitted(lambda: booster(max_iter, seed), labelled, names, label)
+
+
+def _fitted(made: Callable[[], GBTClassifier], labelled: DataFrame, names: list[str], label: str) -> GBTClassificationModel | None:
+    """Rows are placed and ordered by their values, so the trees don't depend on the layout of the input."""
+    rows = labelled.select(*names, F.col(label).cast("double").alias("_label")).persist()
     try:
-        return GBTClassifier(labelCol="_label", featuresCol="_features", predictionCol="_prediction", maxIter=max_iter, maxDepth=5, stepSize=0.1, minInstancesPerNode=20, seed=seed).fit(data)
+        sizes = [r["count"] for r in rows.groupBy("_label").count().collect()]
+        if len(sizes) < 2:
+            return None
+        parts = min(math.ceil(sum(sizes) / TRAIN_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+        placed = rows.repartition(parts, *names).sortWithinPartitions(*names, "_label")
+        data = VectorAssembler(inputCols=names, outputCol="_features").transform(placed).select("_features", "_label").persist()
+        try:
+            return made().fit(data)
+        finally:
+            data.unpersist()
     finally:
-        data.unpersist()
+        rows.unpersist()
 
 
 def predict(model: GBTClassificationModel, df: DataFrame, names: list[str]) -> DataFrame:
@@ -52,20 +78,25 @@ def predict(model: GBTClassificationModel, df: DataFrame, names: list[str]) -> D
 
 
 def cv_f1(labelled: DataFrame, names: list[str], label: str, id_col: str, folds: int = 5, max_iter: int = 200, seed: int = 42) -> DataFrame:
-    """(fold, f1) of the passing class, by stratified folds of equal size."""
+    """(fold, f1) of the passing class, by stratified folds of equal size. All folds are trained at the same time: a
+    training is a long row of short jobs that leave most cores idle."""
     w = Window.partitionBy(label).orderBy(seeded(seed, F.col(id_col)))
-    rows = labelled.withColumn("_fold", F.ntile(folds).over(w)).persist()
-    out = []
-    for k in range(1, folds + 1):
-        model = train(rows.where(F.col("_fold") != k), names, label, max_iter, seed)
+    rows, spark, trees = labelled.withColumn("_fold", F.ntile(folds).over(w)).persist(), labelled.sparkSession, booster(max_iter, seed)
+
+    def fold(k: int) -> tuple[int, float] | None:
+        model = _fitted(lambda: trees, rows.where(F.col("_fold") != k), names, label)
         if model is None:
-            continue
+            return None
         y, p = F.col(label) == 1, F.col("predicted") == 1
         got = predict(model, rows.where(F.col("_fold") == k), names).agg(F.count(F.when(y & p, 1)).alias("tp"), F.count(F.when(~y & p, 1)).alias("fp"), F.count(F.when(y & ~p, 1)).alias("fn")).first()
         d = 2 * got.tp + got.fp + got.fn
-        out.append((k, 2 * got.tp / d if d else 0.0))
+        return k, 2 * got.tp / d if d else 0.0
+
+    rows.count()
+    with ThreadPool(folds) as pool:
+        out = pool.map(inheritable_thread_target(spark)(fold), range(1, folds + 1))
     rows.unpersist()
-    return labelled.sparkSession.createDataFrame(out, "fold int, f1 double")
+    return spark.createDataFrame([x for x in out if x is not None], "fold int, f1 double")
 
 
 def importances(model: GBTClassificationModel, names: list[str], spark) -> DataFrame:

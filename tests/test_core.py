@@ -1,6 +1,7 @@
 """Operators on hand-written edge rows and against naive models."""
 
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -317,6 +318,24 @@ def test_classifier_needs_two_classes(spark):
     assert quality.train(df, ["f"], "y") is None
 
 
+def test_folds_are_trained_at_once_on_few_partitions(spark, monkeypatch):
+    df = spark.range(200, numPartitions=16).select("id", (F.col("id") % 17).cast("double").alias("f"), (F.col("id") % 17 > 8).cast("int").alias("y"))
+    real, met, parts = quality.GBTClassifier, threading.Barrier(5), []
+
+    class Spy:
+        def __init__(self, **parameters):
+            self.parameters = parameters
+
+        def fit(self, data):
+            parts.append(data.rdd.getNumPartitions())
+            met.wait(100)  # until all five are here
+            return real(**self.parameters).fit(data)
+
+    monkeypatch.setattr(quality, "GBTClassifier", Spy)
+    got = quality.cv_f1(df, ["f"], "y", "id", max_iter=1)
+    assert sorted(map(tuple, got.collect())) == [(k, 1.0) for k in range(1, 6)] and parts == [1] * 5
+
+
 # --- Streams and files
 
 

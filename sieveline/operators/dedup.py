@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,9 +16,11 @@ from pyspark.sql.window import Window
 from ..functions.text import prefix_key
 from .components import connected_components
 
-#: Vectors in a block of the pair search, and in a tile of a block: a task holds two blocks and the product of two tiles.
-#: Each vector goes to as many tasks as there are blocks.
-BLOCK_ROWS, TILE = 32_768, 2048
+#: Vectors in a block of the pair search, in a tile of a block, and in a row of the shuffle: a task holds one block, a row
+#: of another and the product of that and a tile. Each vector goes to as many tasks as there are blocks.
+BLOCK_ROWS, TILE, PACK = 32_768, 2048, 1024
+#: Pairs, at least, in a batch of them.
+FOUND = 65_536
 
 
 def prefix_dedup(df: DataFrame, n: int, order: list, text: str = "text", within: list[str] = ()) -> DataFrame:
@@ -37,34 +42,67 @@ def blocks_of(rows: int, tasks: int = 1) -> int:
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(i, j, similarity), i < j, of all pairs of rows whose cosine exceeds threshold: exact.
 
-    Rows are hashed into blocks; each pair of blocks meets in one task, as a matrix product of whole blocks."""
+    Rows are hashed into blocks; each pair of blocks meets in one task, which holds the first block, reads the second row
+    by row and hands on pairs as it finds them."""
     v = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     b = blocks or blocks_of(v.count(), v.sparkSession.sparkContext.defaultParallelism)
-    placed = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
+    placed = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).mapInArrow(_packed, "b int, ids binary, vs binary")
     task = F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda o: F.struct(F.least(F.col("b"), o).alias("x"), F.greatest(F.col("b"), o).alias("y"))))
-    spread = placed.select("id", "v", "b", task.alias("t")).select("id", "v", "b", "t.x", "t.y")
+    spread = placed.select("b", "ids", "vs", task.alias("t")).select("b", "ids", "vs", "t.x", "t.y")
+    met = spread.repartitionById(b * (b + 1) // 2, (F.col("y") * (F.col("y") + 1) / 2 + F.col("x")).cast("int")).sortWithinPartitions("x", "y", "b")
+    return met.mapInArrow(lambda batches: _pairs(batches, threshold), "i bigint, j bigint, similarity double").where("i <> j")
 
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        def side(block: int) -> tuple[np.ndarray, np.ndarray]:
-            some = pdf[pdf["b"] == block].sort_values("id")
-            m = np.stack(some["v"].to_numpy()).astype(np.float64) if len(some) else np.zeros((0, 1))
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, ids, vs): the rows of a block, at most PACK at a time, as bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = np.unique(pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False))
+        if len(lengths) > 1:
+            raise ValueError("vectors differ in length")
+        ids, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "b"))
+        m = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), int(lengths[0]))
+        out = [(k, at[r : r + PACK]) for k in np.unique(block) for at in (np.flatnonzero(block == k),) for r in range(0, len(at), PACK)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([ids[at].astype(np.int64).tobytes() for _, at in out], pa.binary()), pa.array([m[at].tobytes() for _, at in out], pa.binary())], ["b", "ids", "vs"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows that are sorted by (x, y, b): block x against block y, a block against itself where x = y."""
+    at, held, found, n = None, [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        i, j, s = (np.concatenate(c) for c in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(s)], ["i", "j", "similarity"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x, y, block, ids, vs = (batch.column(c)[k].as_py() for c in ("x", "y", "b", "ids", "vs"))
+            if (x, y) != at:
+                at, held = (x, y), []
+            ids = np.frombuffer(ids, np.int64)
+            m = np.frombuffer(vs, np.float32).reshape(len(ids), len(vs) // 4 // len(ids)).astype(np.float64)
             norm = np.linalg.norm(m, axis=1, keepdims=True)
-            return some["id"].to_numpy(), m / np.where(norm > 0, norm, 1)
-
-        (ia, a), (ib, c) = side(key[0]), side(key[1])
-        if not len(ia) or not len(ib):
-            return pd.DataFrame({"i": [], "j": [], "similarity": []}).astype({"i": "int64", "j": "int64"})
-        found = []
-        for p in range(0, len(a), TILE):
-            for r in range(p if key[0] == key[1] else 0, len(c), TILE):
-                s = a[p : p + TILE] @ c[r : r + TILE].T
-                x, y = np.nonzero(s > threshold)
-                one = (x + p < y + r) if key[0] == key[1] else np.ones(len(x), bool)
-                i, j = ia[x[one] + p], ib[y[one] + r]
-                found.append(pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": s[x[one], y[one]]}))
-        return pd.concat(found)
-
-    return spread.groupBy("x", "y").applyInPandas(pairs, "i bigint, j bigint, similarity double").where("i <> j")
+            m /= np.where(norm > 0, norm, 1)
+            if block == y:
+                for others, a in [*held, (ids, m)] if x == y else held:
+                    s = a @ m.T
+                    p, r = np.nonzero(s > threshold)
+                    if others is ids:
+                        p, r = p[p < r], r[p < r]
+                    if len(p):
+                        found.append((others[p], ids[r], s[p, r]))
+                        n += len(p)
+                    if n >= FOUND:
+                        yield flush()
+                        found, n = [], 0
+            if block == x:
+                if held and len(held[-1][0]) + len(ids) <= TILE:
+                    others, a = held.pop()
+                    ids, m = np.concatenate([others, ids]), np.concatenate([a, m])
+                held.append((ids, m))
+    if found:
+        yield flush()
 
 
 def greedy_self(pairs: list[tuple[int, int]], length: dict[int, int]) -> set[int]:

@@ -4,6 +4,7 @@ import json
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,6 +205,16 @@ def test_similar_pairs_against_brute_force(spark, blocks):
     assert {(r["i"], r["j"]) for r in dedup.similar_pairs(df, 0.6, blocks=blocks).collect()} == expect
 
 
+def test_similar_pairs_hold_no_whole_group(spark):
+    df = spark.createDataFrame([(i, [1.0, i / 3000], 1, "a") for i in range(3000)], "vec_id bigint, embedding array<float>, length int, source string")
+    assert "FlatMapGroups" not in dedup.similar_pairs(df, 0.5)._jdf.queryExecution().toString()
+    assert dedup.similar_pairs(df, 0.5, blocks=2).count() == 3000 * 2999 // 2
+    packed = list(dedup._packed([pa.record_batch({"id": pa.array(range(3000)), "v": pa.array([[1.0, i / 3000] for i in range(3000)], pa.list_(pa.float32())), "b": pa.array([0] * 3000, pa.int32())})]))
+    met = (pa.record_batch({"x": p["b"], "y": p["b"], "b": p["b"], "ids": p["ids"], "vs": p["vs"]}) for p in packed)
+    sizes = [b.num_rows for b in dedup._pairs(met, 0.5)]
+    assert sum(sizes) == 3000 * 2999 // 2 and max(sizes) <= dedup.FOUND + dedup.PACK * dedup.TILE
+
+
 def test_cross_source(spark):
     rows = [(0, [1.0, 0.0], 5, "s"), (1, [1.0, 0.0], 9, "m"), (2, [1.0, 0.01], 1, "m"), (3, [0.0, 1.0], 1, "s"), (4, [1.0, 0.0], 1, "s")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, length int, source string")

@@ -7,6 +7,7 @@ import queue
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -103,35 +104,46 @@ def within(call: Provider, seconds: float) -> Provider:
 
 
 def generate(prompts: DataFrame, provider: Callable[[], Provider], id_col: str = "id", prompt_col: str = "prompt", partitions: int = 8, per_minute: float = 0,
-             retries: int = 3, wait: float = 0.0, timeout: float = 0, marks: bool = False) -> DataFrame:
+             retries: int = 3, wait: float = 0.0, timeout: float = 0, marks: bool = False, calls: int = 1) -> DataFrame:
     """(id, response, failed, attempts) of an external model. `provider` is called once per task and makes the call.
 
-    Concurrency is the number of partitions, as far as the cluster has slots, each with an equal part of the rate limit;
-    calls that fail or take more than `timeout` seconds are tried again with growing waits inside the task. A failed one
-    is a row (failed, null response), so it can be run again; marks: its response is (TIMEOUT) or (ERROR: ...)."""
+    Concurrency is the number of partitions, as far as the cluster has slots, times `calls` of a task at the same time
+    (more than one: the call must be safe for threads), so that one that hangs doesn't hold up the others. Each task has
+    an equal part of the rate limit; calls that fail or take more than `timeout` seconds are tried again with growing
+    waits inside the task. A failed one is a row (failed, null response), so it can be run again; marks: its response is
+    (TIMEOUT) or (ERROR: ...)."""
     at_once = min(partitions, prompts.sparkSession.sparkContext.defaultParallelism)
     pause = 60.0 * at_once / per_minute if per_minute else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, due = within(provider(), timeout), 0.0
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["i"], pdf["p"]):
-                answer, tries, mark = None, 0, None
-                while answer is None and tries < retries:
-                    if (left := due - time.monotonic()) > 0:
-                        time.sleep(left)
-                    due, tries = time.monotonic() + pause, tries + 1
-                    try:
-                        answer = call(text)
-                    except TimeoutError:
-                        mark = "(TIMEOUT)"
-                        time.sleep(wait * tries)
-                    except Exception as e:  # noqa: BLE001 - a provider may fail in any way; the row records it
-                        mark = f"(ERROR: {e})"
-                        time.sleep(wait * tries)
-                rows.append((i, mark if answer is None and marks else answer, answer is None, tries))
-            yield pd.DataFrame(rows, columns=["i", "response", "failed", "attempts"])
+        call, due, turn = within(provider(), timeout), 0.0, threading.Lock()
+
+        def paced() -> None:
+            nonlocal due
+            with turn:
+                if (left := due - time.monotonic()) > 0:
+                    time.sleep(left)
+                due = time.monotonic() + pause
+
+        def ask(text: str) -> tuple:
+            answer, tries, mark = None, 0, None
+            while answer is None and tries < retries:
+                paced()
+                tries += 1
+                try:
+                    answer = call(text)
+                except TimeoutError:
+                    mark = "(TIMEOUT)"
+                    time.sleep(wait * tries)
+                except Exception as e:  # noqa: BLE001 - a provider may fail in any way; the row records it
+                    mark = f"(ERROR: {e})"
+                    time.sleep(wait * tries)
+            return mark if answer is None and marks else answer, answer is None, tries
+
+        with ThreadPoolExecutor(calls) as pool:
+            for pdf in batches:
+                said = map(ask, pdf["p"]) if calls == 1 else pool.map(ask, pdf["p"])
+                yield pd.DataFrame([(i, *r) for i, r in zip(pdf["i"], said)], columns=["i", "response", "failed", "attempts"])
 
     kind = dict(prompts.dtypes)[id_col]
     out = prompts.select(F.col(id_col).alias("i"), F.col(prompt_col).alias("p")).repartition(partitions).mapInPandas(run, f"i {kind}, response string, failed boolean, attempts int")

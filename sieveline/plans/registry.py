@@ -875,9 +875,10 @@ def _judge():
 
 @query("SELECT doc_id, CASE n_chars % 50 WHEN 0 THEN '(TIMEOUT)' WHEN 1 THEN '(ERROR: no)' ELSE 'P' || n_chars END AS response, n_chars % 50 < 2 AS failed FROM documents WHERE lang = 'en'")
 def x9_timeouts(spark, sf_dir):
-    """A provider that hangs for some prompts and fails for others; the rows say so."""
+    """A provider that hangs for some prompts and fails for others; the rows say so. A task makes 16 calls at the same
+    time, or its waits for those that hang would add up."""
     p = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("P"), "n_chars").alias("prompt"))
-    return generation.generate(p, _hanging, "doc_id", retries=1, timeout=0.3, marks=True).select("doc_id", "response", "failed")
+    return generation.generate(p, _hanging, "doc_id", retries=1, timeout=0.3, marks=True, calls=16).select("doc_id", "response", "failed")
 
 
 def _hanging():

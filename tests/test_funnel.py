@@ -128,6 +128,17 @@ def test_a_call_that_hangs_is_left_behind(spark):
     assert got == {1: ("(TIMEOUT)", True, 2), 2: ("(ERROR: no)", True, 2), 3: ("fine", False, 1)} and time.monotonic() - began < 25
 
 
+def test_calls_that_hang_do_not_hold_up_the_others(spark):
+    def provider():
+        return lambda prompt: time.sleep(1.5) if prompt == "hang" else prompt
+
+    df = spark.range(160).select("id", F.when(F.col("id") % 2 == 0, "hang").otherwise("fine").alias("prompt"))
+    began = time.monotonic()
+    got = generation.generate(df, provider, partitions=1, retries=1, timeout=0.5, marks=True, calls=40).collect()
+    assert {r["id"]: r["response"] for r in got} == {i: "fine" if i % 2 else "(TIMEOUT)" for i in range(160)}
+    assert time.monotonic() - began < 20  # one after another: 40 s
+
+
 def test_embeddings_are_unit_vectors(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id int, text string")
     got = {r["id"]: [round(x, 3) for x in r["embedding"]] for r in generation.embeddings(df, lambda: lambda texts: [[len(t), 0] for t in texts]).collect()}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -108,31 +108,39 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 def greedy_self(pairs: list[tuple[int, int]], length: dict[int, int]) -> set[int]:
     """Rows that the greedy rule drops: pairs (i < j) in order; a pair counts while both live; the longer stays, the
     earlier at ties."""
+    return set(_drop_self((i, j, length[i] >= length[j]) for i, j in sorted(pairs)))
+
+
+def _drop_self(pairs: Iterable[tuple[int, int, bool]]) -> Iterator[int]:
+    """greedy_self() over sorted pairs (i, j, whether i is as long as j), one by one."""
     gone: set[int] = set()
-    for i, j in sorted(pairs):
+    for i, j, first in pairs:
         if i not in gone and j not in gone:
-            gone.add(j if length[i] >= length[j] else i)
-    return gone
+            gone.add(out := j if first else i)
+            yield out
 
 
 def greedy_cross(pairs: list[tuple[int, int]], length: dict[int, int]) -> set[int]:
     """Pairs (left, right) by left row: a left row that lives when its turn comes meets all its living right rows,
     even after it has lost to one."""
+    return set(_drop_cross((i, j, length[i] >= length[j]) for i, j in sorted(pairs)))
+
+
+def _drop_cross(pairs: Iterable[tuple[int, int, bool]]) -> Iterator[int]:
+    """greedy_cross() over sorted pairs, one by one."""
     gone: set[int] = set()
-    by_left: dict[int, list[int]] = {}
-    for left, right in sorted(pairs):
-        by_left.setdefault(left, []).append(right)
-    for left, rights in by_left.items():
-        if left in gone:
-            continue
-        for right in rights:
-            if right not in gone:
-                gone.add(right if length[left] >= length[right] else left)
-    return gone
+    left, lives = None, False
+    for i, j, first in pairs:
+        if i != left:
+            left, lives = i, i not in gone
+        if lives and j not in gone and (out := j if first else i) not in gone:
+            gone.add(out)
+            yield out
 
 
 def _resolve(pairs: DataFrame, lengths: DataFrame, rule) -> DataFrame:
-    """ids that `rule` drops, replayed apart in each connected component of the sparse pair list."""
+    """ids that `rule` drops, replayed apart in each connected component of the sparse pair list. Pairs of a component are
+    read in order, one by one; only the ids that are gone are held."""
     from ..sources.files import cut
 
     pairs = cut(pairs.select("i", "j"))
@@ -142,18 +150,22 @@ def _resolve(pairs: DataFrame, lengths: DataFrame, rule) -> DataFrame:
     li = lengths.select(F.col("id").alias("i"), F.col("length").alias("li"))
     lj = lengths.select(F.col("id").alias("j"), F.col("length").alias("lj"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        length = dict(zip(pdf["i"], pdf["li"])) | dict(zip(pdf["j"], pdf["lj"]))
-        return pd.DataFrame({"id": sorted(rule(list(zip(pdf["i"], pdf["j"])), length))}, dtype="int64")
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        dropped = (k for _, some in groupby(rows, lambda r: r[0]) for k in rule(r[1:] for r in some))
+        while ids := list(islice(dropped, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["id"])
 
-    return of.join(li, "i").join(lj, "j").groupBy("root").applyInPandas(replay, "id bigint")
+    first = F.coalesce(F.col("li") >= F.col("lj"), F.lit(False)).alias("first")
+    ordered = of.join(li, "i").join(lj, "j").select("root", "i", "j", first).repartition("root").sortWithinPartitions("root", "i", "j")
+    return ordered.mapInArrow(replay, "id bigint")
 
 
 def semantic_rejects(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
     """(id) of the rows that the greedy rule drops. A component of similar rows is replayed in one task, as the rule is
-    sequential; only its pairs, ids and lengths go there."""
+    sequential; only its pairs and which of two is longer go there."""
     lengths = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(length_col).alias("length"))
-    return _resolve(similar_pairs(vectors, threshold, id_col, vec_col), lengths, greedy_self)
+    return _resolve(similar_pairs(vectors, threshold, id_col, vec_col), lengths, _drop_self)
 
 
 def semantic_dedup(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", length_col: str = "length") -> DataFrame:
@@ -170,7 +182,7 @@ def cross_source_rejects(vectors: DataFrame, threshold: float, left: str, right:
     a, b = ids.select(F.col("id").alias("i"), F.col("s").alias("si")), ids.select(F.col("id").alias("j"), F.col("s").alias("sj"))
     both = p.join(a, "i").join(b, "j")
     ordered = both.where((F.col("si") == left) & (F.col("sj") == right)).select("i", "j").union(both.where((F.col("si") == right) & (F.col("sj") == left)).select("j", "i"))
-    return _resolve(ordered, ids.select("id", "length"), greedy_cross)
+    return _resolve(ordered, ids.select("id", "length"), _drop_cross)
 
 
 def cross_source_dedup(vectors: DataFrame, threshold: float, left: str, right: str, source_col: str = "source", id_col: str = "vec_id",

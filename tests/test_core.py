@@ -215,6 +215,15 @@ def test_similar_pairs_hold_no_whole_group(spark):
     assert sum(sizes) == 3000 * 2999 // 2 and max(sizes) <= dedup.FOUND + dedup.PACK * dedup.TILE
 
 
+def test_greedy_reads_pairs_one_by_one(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0], 1) for i in range(50)], "vec_id bigint, embedding array<float>, length int")
+    gone = dedup.semantic_rejects(df, 0.9)
+    assert "FlatMapGroups" not in gone._jdf.queryExecution().toString() and sorted(r["id"] for r in gone.collect()) == list(range(1, 50))
+    seen = []
+    dropped = dedup._drop_self((seen.append(k), (0, k, True))[1] for k in range(1, 1000))
+    assert next(dropped) == 1 and seen == [1]
+
+
 def test_cross_source(spark):
     rows = [(0, [1.0, 0.0], 5, "s"), (1, [1.0, 0.0], 9, "m"), (2, [1.0, 0.01], 1, "m"), (3, [0.0, 1.0], 1, "s"), (4, [1.0, 0.0], 1, "s")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, length int, source string")

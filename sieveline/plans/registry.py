@@ -921,10 +921,12 @@ def s11_generation_options(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    """documents with text features, and quality where labelled."""
-    d = table(spark, sf_dir, "documents").withColumn("question", F.substring("text", 1, 60)).withColumn("stratum", F.lit("alpha"))
+    """documents with text features, and quality where labelled. Labels come first, so that features are made of those
+    documents only that a query goes on with."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    d = files.spread(table(spark, sf_dir, "documents")).join(files.bounded(labels), "doc_id", "left").withColumn("question", F.substring("text", 1, 60)).withColumn("stratum", F.lit("alpha"))
     df, names = quality.with_features(d, "question", "text", C.FIXTURE, "src0")
-    return df.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", *names, "quality"), names
+    return df.select("doc_id", *names, "quality"), names
 
 
 @query()

@@ -86,3 +86,12 @@ def test_boosted_queries_grow_200_trees(spark, monkeypatch):
         with pytest.raises(StopIteration):
             QUERIES[name](spark, SF)
     assert seen == [200] * 3
+
+
+def test_features_are_made_of_the_documents_in_use(spark):
+    """Labels are joined below the features, so training leaves unlabelled documents out before."""
+    from sieveline.plans.registry import _labelled
+
+    df, _ = _labelled(spark, SF)
+    plan = df.where("quality is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan[: plan.index("Join Inner")] and "regexp_extract_all" not in plan[plan.index("Join Inner") :]
